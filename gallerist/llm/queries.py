@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, tiff
+from . import bpe, near_dedup, quality_rules, tiff
 from ._common import documents
 
 
@@ -33,8 +33,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), path, pattern, with_ids=False).drop("ids")
 
 
+def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tiff_media, op5_quality_rules, op8_byte_bpe)}
+    return {f.__name__: f for f in (op2_tiff_media, op5_quality_rules, op8_byte_bpe, op10_setsketch_near_dedup)}
 
 
 _RULE_MEASURES = """
@@ -80,5 +84,25 @@ SELECT doc_id, {_RULE_MEASURES} FROM m
 """
 
 
+NEAR_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM l JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+c AS (
+  SELECT doc_id AS id, doc_id AS root FROM w UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id),
+m AS (SELECT id, min(root) AS component_id FROM c GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = w.doc_id AS kept
+FROM w JOIN m ON m.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_sql()}
+    return {"op10_setsketch_near_dedup": NEAR_SQL, "op5_quality_rules": quality_sql()}
