@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, quality_rules, tiff
+from . import bpe, near_dedup, packing, quality_rules, tiff
 from ._common import documents
 
 
@@ -33,12 +33,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), path, pattern, with_ids=False).drop("ids")
 
 
+def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer("byte_bpe_50k.tiktoken")  # the ranks of byte_bpe_50k.json
+    return packing.pack_documents(documents(spark, sf_dir), path, pattern)
+
+
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tiff_media, op5_quality_rules, op8_byte_bpe, op10_setsketch_near_dedup)}
+    return {f.__name__: f for f in (op2_tiff_media, op5_quality_rules, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
 
 
 _RULE_MEASURES = """
