@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing, quality_rules, tiff
+from . import bpe, near_dedup, packing, quality_rules, suffix_dedup, tiff
 from ._common import documents
 
 
@@ -22,6 +22,10 @@ def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest_pages(tiff.media_documents(documents(spark, sf_dir)))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.score_documents(documents(spark, sf_dir).select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,7 +47,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tiff_media, op5_quality_rules, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
+    return {f.__name__: f for f in (op2_tiff_media, op3_suffix_dedup, op5_quality_rules, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
 
 
 _RULE_MEASURES = """
