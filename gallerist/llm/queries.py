@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing, quality_rules, suffix_dedup, tiff
+from . import bpe, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, tiff
 from ._common import documents
 
 
@@ -18,6 +18,12 @@ def tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = line_dedup.strip_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    stats = [F.col(name)[n].alias(n) for n in ("n_lines", "n_removed", "n_runs", "longest_run")]
+    return out.select("doc_id", *stats, F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
 def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digest_pages(tiff.media_documents(documents(spark, sf_dir)))
 
@@ -47,7 +53,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_tiff_media, op3_suffix_dedup, op5_quality_rules, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_tiff_media, op3_suffix_dedup, op5_quality_rules, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
 
 
 _RULE_MEASURES = """
@@ -93,6 +99,31 @@ SELECT doc_id, {_RULE_MEASURES} FROM m
 """
 
 
+LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+w AS (
+  SELECT doc_id, pos, line, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3
+  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, pos) AS copy
+  FROM w WHERE line3 IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS pos FROM c WHERE copy > 1),
+runs AS (
+  SELECT doc_id, count(*) AS n FROM (
+    SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM gone)
+  GROUP BY doc_id, island),
+r AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run, sum(n) AS n_removed FROM runs GROUP BY doc_id),
+k AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT doc_id, n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0) AS n_runs,
+  coalesce(longest_run, 0)::BIGINT AS longest_run, md5(coalesce(kept, '')) AS kept_md5
+FROM n LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 NEAR_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w
@@ -114,4 +145,4 @@ FROM w JOIN m ON m.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_setsketch_near_dedup": NEAR_SQL, "op5_quality_rules": quality_sql()}
+    return {"op1_line_dedup": LINES_SQL, "op10_setsketch_near_dedup": NEAR_SQL, "op5_quality_rules": quality_sql()}
