@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, tiff
-from ._common import documents
+from . import bpe, line_dedup, near_dedup, packing, quality_rules, suffix_dedup, tiff, toxicity
+from ._common import documents, id_fold
 
 
 def tokenizer(name: str) -> tuple[str, str]:
@@ -32,6 +32,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(documents(spark, sf_dir), labels, id_fold("id", 4) == 2)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.score_documents(documents(spark, sf_dir).select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,7 +58,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_tiff_media, op3_suffix_dedup, op5_quality_rules, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_tiff_media, op3_suffix_dedup, op4_toxicity, op5_quality_rules, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
 
 
 _RULE_MEASURES = """
