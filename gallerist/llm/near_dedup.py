@@ -9,8 +9,8 @@ full sets.
 Whole results without pairs of whole groups:
 * documents with equal sets are one class, found by an aggregation; only one text of a class goes on;
 * each bucket first links its members to its smallest id. What those links join needs no further pair;
-* members of a bucket that are still in different components are compared by their registers in blocks of bounded
-  size, first a few best partners each, then all that are left. Only pairs whose registers allow the threshold go on.
+* members of a bucket that are still in different components are compared on their full sets over an inverted index,
+  in blocks of bounded size, and only links that join components leave the block.
 
 48 bands of 5 among 128 registers miss a pair of similarity 0.8 with a probability of about 5e-9.
 
@@ -188,58 +188,72 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-BLOCK = 2048
+BLOCK = 1024
 
 
-def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sketch: Sketch, percent: int, best: int | None) -> DataFrame:
-    """Pairs (a, b), a < b, of one bucket but different components that their registers allow; at most best for each member if given.
+def spanning_links(ids: np.ndarray, components: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components as all links among the sets would; sets: hashes, counts of them for each id.
 
-    A bucket of more than BLOCK members is dealt into blocks, and each pair of blocks is one piece of work.
+    The shared shingles of one set with all others are counted over an inverted index. Sets go in order of how common
+    their shingles are, so the middle of a group comes first; a set that is in the largest component by its turn is
+    passed over, as each set outside meets all sets when its own turn comes.
+    """
+    owner = np.repeat(np.arange(len(ids)), counts)
+    _, term, common = np.unique(hashes, return_inverse=True, return_counts=True)
+    by_term = np.argsort(term, kind="stable")
+    posting = owner[by_term]
+    begin = np.cumsum(common) - common
+    ends = np.cumsum(counts)
+    popularity = np.add.reduceat(common[term], ends - counts) / counts
+    _, group = np.unique(components, return_inverse=True)
+    sizes = np.bincount(group)
+    links, first = [], True
+    for k in np.argsort(-popularity, kind="stable").tolist():
+        if sizes.max() == len(ids):
+            break
+        if not first and group[k] == sizes.argmax():
+            continue
+        first = False
+        terms = term[ends[k] - counts[k] : ends[k]]
+        n = common[terms]
+        stop = np.cumsum(n)
+        at = np.repeat(begin[terms] - stop + n, n) + np.arange(int(stop[-1]))
+        shared = np.bincount(posting[at], minlength=len(ids))
+        for o in np.flatnonzero((100 * shared >= percent * (counts + counts[k] - shared)) & (group != group[k])).tolist():
+            if group[o] != group[k]:
+                links.append((int(ids[k]), int(ids[o])))
+                gone = group[o]
+                sizes[group[k]] += sizes[gone]
+                sizes[gone] = 0
+                group[group == gone] = group[k]
+    return links
+
+
+def _across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components within each bucket as all its links would.
+
+    Buckets with the same members are looked at once. One of more than BLOCK members is dealt into blocks, and each two
+    blocks are one piece of work.
     """
     tagged = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(3), "id")).alias("x2")]
+    open_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), *members).where("x <> y")
+    open_keys = open_keys.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = tagged.join(open_keys.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    rows = rows.join(reps.select("id", "n_shingles", "sketch"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    floor = int(sketch.registers * percent / 100 - 6 * np.sqrt(sketch.registers * percent / 100 * (1 - percent / 100)))
-
-    def compare(g) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, n = g["id"], g["component"], g["n"]
-        left = np.flatnonzero(g["own"] == g["i"][0])
-        right = np.flatnonzero(g["own"] == g["j"][0])
-        found_a, found_b = [], []
-        registers = g["sketch"]
-        for k in left.tolist():
-            others = right[(comp[right] != comp[k])]
-            if g["i"][0] == g["j"][0]:
-                others = others[ids[others] > ids[k]]
-            low, high = np.minimum(n[others], n[k]), np.maximum(n[others], n[k])
-            others = others[low * 100 >= percent * high]
-            if not len(others):
-                continue
-            equal = (registers[others] == registers[k]).sum(axis=1)
-            ok = equal >= floor
-            others, equal = others[ok], equal[ok]
-            if best is not None and len(others) > best:
-                others = others[np.argsort(-equal, kind="stable")[:best]]
-            found_a.append(np.full(len(others), ids[k]))
-            found_b.append(ids[others])
-        return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64),) * 2
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component")
+    rows = rows.join(texts.select("id", "text"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def links(t) -> list[tuple[int, int]]:
+        hashes, counts = shingle_sets([lowered(x) for x in t["text"].to_pylist()], width)
+        return spanning_links(t["id"].to_numpy(), t["component"].to_numpy(), hashes, counts, percent)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         held = None
-
-        def emit(t):
-            a, b = compare({
-                "id": t["id"].to_numpy(), "component": t["component"].to_numpy(), "n": t["n_shingles"].to_numpy(), "own": t["own"].to_numpy(),
-                "i": t["i"].to_numpy(), "j": t["j"].to_numpy(), "sketch": np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, sketch.registers),
-            })
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -248,14 +262,14 @@ def _across(buckets: DataFrame, labels: DataFrame, reps: DataFrame, sketch: Sket
                 t = pa.concat_tables([held, t]).combine_chunks()
             mark = np.stack([t[c].to_numpy().astype(np.int64) for c in ("key", "i", "j")])
             cuts = [0, *(np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
-            for s, e in zip(cuts[:-2], cuts[1:-1], strict=True):
-                if e - s > 1:
-                    yield emit(t.slice(s, e - s))
+            found = [x for s, e in zip(cuts[:-2], cuts[1:-1], strict=True) for x in links(t.slice(s, e - s))]
             held = t.slice(cuts[-2])
-        if held is not None and held.num_rows > 1:
-            yield emit(held)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+        found = links(held) if held is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -277,16 +291,10 @@ def near_duplicates(
     floor = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / sketch.registers) ** 0.5
     pairs = written(buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     edges = written(_confirmed(_likely(pairs, reps, sketch, floor), texts, width, percent), "links")
-    tested = pairs
     labels = connected_components(edges)
-    for best in (4, None):
-        more = _across(buckets.select("key", "id"), labels, reps, sketch, percent, best).join(tested, ["a", "b"], "left_anti")
-        more = written(more, "pairs")
-        if more.limit(1).count():
-            found = written(_confirmed(_likely(more, reps, sketch, floor), texts, width, percent), "links")
-            edges, tested = edges.union(found), tested.union(more)
-            if found.limit(1).count():
-                labels = connected_components(edges)
+    more = written(_across(buckets.select("key", "id"), labels, texts, width, percent), "links")
+    if more.limit(1).count():
+        labels = connected_components(edges.union(more))
     members = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     out = rows.join(members, "class", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
