@@ -30,11 +30,11 @@ class PieceCoder:
 
     def _forget(self) -> None:
         self.number = _Numbered()
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.zeros(0, np.int64)
         self.starts = self.lengths = np.zeros(0, np.int64)
 
     def encode_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """One uint32 array for each text, in order."""
+        """One array of ids for each text, in order."""
         if len(self.number) > self.max_pieces:
             self._forget()
         known, number = len(self.number), self.number.__getitem__
@@ -43,7 +43,7 @@ class PieceCoder:
             fresh = list(self.number)[known:]
             ids, lengths = self.encode(fresh)
             starts = len(self.flat) + np.cumsum(lengths) - lengths
-            self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+            self.flat = np.concatenate([self.flat, ids])
             self.starts = np.concatenate([self.starts, starts])
             self.lengths = np.concatenate([self.lengths, lengths])
         for pieces in coded:

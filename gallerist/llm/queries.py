@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dedup, packing, ppm_scoring, quality_rules, suffix_dedup, tiff, toxicity
+from . import bpe, line_dedup, near_dedup, packing, ppm_scoring, quality_rules, suffix_dedup, tiff, token_counts, toxicity
 from ._common import documents, id_fold
 
 
@@ -47,6 +47,11 @@ def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scoring.score(documents(spark, sf_dir), id_fold("id", 7) == 2)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer("byte_bpe_50k.tiktoken")
+    return token_counts.count_tokens(documents(spark, sf_dir), path, pattern)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(documents(spark, sf_dir), path, pattern, with_ids=False).drop("ids")
@@ -62,7 +67,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_tiff_media, op3_suffix_dedup, op4_toxicity, op5_quality_rules, op6_ppm_scoring, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_tiff_media, op3_suffix_dedup, op4_toxicity, op5_quality_rules, op6_ppm_scoring, op7_token_counts, op8_byte_bpe, op9_certified_packing, op10_setsketch_near_dedup)}
 
 
 _RULE_MEASURES = """
