@@ -309,17 +309,17 @@ def _result_rows(length: int, with_text: bool):
                     at = e
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                row = (len(data), len(data) - len(rest), len(starts), hashlib.sha256(rest).hexdigest(), rest if with_text else None)
+                row = (len(data), len(data) - len(rest), len(starts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, hot: int = HOT) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs; kept, the bytes left, is null unless with_text."""
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs; kept is null unless with_text: the bytes left as text, without characters of which a part was removed."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     anchors = written(source.mapInArrow(_anchor_rows(length, anchor), "id long, key long, places int"), "anchors")
     shared = anchors.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
@@ -357,9 +357,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         places = places.union(windows.join(twice, ["h1", "h2"]).select("id", F.col("place").alias("first"), F.col("place").alias("last")))
     places = places.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
 
-    result = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    result = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     cut = some.select("id", "text").join(places, "id", "left").mapInArrow(_result_rows(length, with_text), result)
     whole = texts.where("keys IS NULL").select(
-        "id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("text").cast("binary").alias("kept")
+        "id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("text").alias("kept")
     )
     return cut.unionByName(whole).withColumnRenamed("id", id_col)
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs with its text stripped of repeated passages; documents of which nothing is left are dropped."""
+    left = remove_repeats(docs, id_col, text, length, with_text=True).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
+    joined = docs.join(left, docs[id_col].cast("long") == left["__id"], "left").where("__kept IS NULL OR __kept <> ''")
+    return joined.select(*[F.coalesce("__kept", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
