@@ -44,6 +44,10 @@ RULES = (
     Rule("ellipsis_line_ratio", None, 0.50),
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "stop_word_ratio",
+    "dup_line_ratio", "alpha_word_ratio", "bullet_line_ratio", "ellipsis_line_ratio",
+)
 
 
 def _let(value: Column, body) -> Column:
@@ -117,11 +121,13 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]
 def score_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with one struct column of all measures, base_failed and kept, named quality (quality_1, ... if taken)."""
     name = next(x for x in ("quality", *(f"quality_{i}" for i in range(1, 10_000))) if x not in docs.columns)
-    m = F.col(name)
-    failed, kept = verdict(m, rules)
-    return docs.withColumn(name, measures(text_or_empty(text))).withColumn(
-        name, m.withField("base_failed", failed).withField("kept", kept)
-    )
+
+    def judged(m: Column) -> Column:
+        failed, kept = verdict(m, rules)
+        return F.struct(*[m[n].alias(n) for n in MEASURES], failed.alias("base_failed"), kept.alias("kept"))
+
+    # one expression: a filter on a field of it computes the measures once
+    return docs.withColumn(name, _let(measures(text_or_empty(text)), judged))
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
