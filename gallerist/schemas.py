@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 SCHEMA_VERSION = 5
 
@@ -23,7 +23,13 @@ _DDL = {
     "edits": "file_id long, content_hash string, exposure_ev float, highlight_recovery float, shadow_lift float, denoise_luma float, denoise_chroma float, sharpen_amount float, lens_correct boolean, recipe_hash string, decider_version string, renderer string, look_model string, look_version string, lut_hash string, look_applied boolean, iqa_before float, iqa_after float, output_path string, output_size_bytes long, rendered_at long",
     "schema_version": "version int",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {
+    "long": T.LongType(), "int": T.IntegerType(), "short": T.ShortType(), "float": T.FloatType(), "string": T.StringType(), "boolean": T.BooleanType(),
+    "array<float>": T.ArrayType(T.FloatType()),
+}
+SCHEMAS: dict[str, T.StructType] = {
+    name: T.StructType([T.StructField(field.split()[0], _TYPES[field.split()[1]]) for field in ddl.split(", ")]) for name, ddl in _DDL.items()
+}
 KEYS: dict[str, tuple[str, ...]] = {
     "files": ("path",), "exif": ("file_id",), "sharpness": ("file_id",), "exposure": ("file_id",), "iqa": ("file_id",), "embeddings": ("file_id",),
     "defect_flags": ("file_id", "flag_type"), "duplicate_groups": ("id",), "duplicate_members": ("group_id", "file_id"),
