@@ -1,13 +1,14 @@
-"""What the operators of this subpackage share: tables, split folds, and lineage cuts on shared storage."""
+"""What the operators of this subpackage share: tables, split folds, and unclaimed column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gallerist.storage import drop_written, written
+
+__all__ = ["documents", "drop_written", "fresh", "id_fold", "text_or_empty", "WORD_GAP", "written"]
+
 #: A word: characters outside blank and the controls tab to carriage return.
 WORD_GAP = "[ \\t-\\r]+"
 
@@ -20,34 +21,10 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the cluster names none, one of our own is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='gallerist-')}"
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Cuts the lineage: the rows are written to the shared folder as Parquet and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Removes what written() stored, once nothing reads it any more."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or name with a number, such that no column begins with it in any case."""
+    taken = [c.lower() for c in columns]
+    return next(x for x in (name, *(f"{name}_{i}_" for i in range(1, 1_000_000))) if not any(c.startswith(x) for c in taken))
 
 
 def id_fold(id_col: str, modulus: int) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_written, text_or_empty, written
+from ._common import drop_written, fresh, text_or_empty, written
 
 MIN_LINES = 3
 
@@ -77,7 +77,7 @@ def strip_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
 
     The struct has n_lines, n_removed, n_runs and longest_run. A text of which nothing is removed stays as it is.
     """
-    name = next(x for x in ("line_dedup", *(f"line_dedup_{i}" for i in range(1, 10_000))) if x not in docs.columns)
+    name = fresh("line_dedup", docs.columns)
     runs = later_copies(docs, id_col, text, min_lines).groupBy(F.col("id").alias(f"{name}_id")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias(f"{name}_runs"))
     joined = docs.join(runs, F.col(f"`{id_col}`") == F.col(f"{name}_id"), "left")
     runs_col = F.col(f"{name}_runs")

@@ -27,8 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_written, written
-from .components import connected_components
+from gallerist.operators.graph import connected_components
+
+from ._common import drop_written, fresh, written
 from .shingles import lowered, mix, shingle_sets
 
 
@@ -306,5 +307,6 @@ def near_duplicates(
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with the columns of docs; a null id is kept."""
-    found = near_duplicates(docs, id_col, text, width, percent).where("NOT kept").select(F.col(id_col).alias("__gone")).where("__gone IS NOT NULL").distinct()
-    return docs.join(found, docs[id_col].cast("long") == found["__gone"], "left_anti")
+    name = fresh("gone", docs.columns)
+    gone = near_duplicates(docs, id_col, text, width, percent).where("NOT kept").select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

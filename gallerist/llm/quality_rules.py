@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_GAP, text_or_empty
+from ._common import WORD_GAP, fresh, text_or_empty
 
 #: Frequent function words of English, French, Spanish and German.
 STOP_WORDS = (
@@ -119,8 +119,8 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]
 
 
 def score_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with one struct column of all measures, base_failed and kept, named quality (quality_1, ... if taken)."""
-    name = next(x for x in ("quality", *(f"quality_{i}" for i in range(1, 10_000))) if x not in docs.columns)
+    """docs with one struct column of all measures, base_failed and kept, named quality (or with a number, if taken)."""
+    name = fresh("quality", docs.columns)
 
     def judged(m: Column) -> Column:
         failed, kept = verdict(m, rules)

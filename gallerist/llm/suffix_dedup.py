@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_written, written
+from ._common import drop_written, fresh, written
 from .shingles import _BYTE, mix
 from .suffix_sort import common_prefixes, two_stage_suffix_array
 
@@ -367,6 +367,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with its text stripped of repeated passages; documents of which nothing is left are dropped."""
-    left = remove_repeats(docs, id_col, text, length, with_text=True).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
-    joined = docs.join(left, docs[id_col].cast("long") == left["__id"], "left").where("__kept IS NULL OR __kept <> ''")
-    return joined.select(*[F.coalesce("__kept", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    name = fresh("left", docs.columns)
+    key, kept = F.col(f"{name}_id"), F.col(f"{name}_kept")
+    left = remove_repeats(docs, id_col, text, length, with_text=True).where("n_removed > 0").select(F.col(id_col).alias(f"{name}_id"), F.col("kept").alias(f"{name}_kept"))
+    joined = docs.join(left.dropDuplicates([f"{name}_id"]), F.col(f"`{id_col}`").cast("long") == key, "left").where(kept.isNull() | (kept != ""))
+    return joined.select(*[F.coalesce(kept, F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -262,7 +262,7 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED
     ids = labelled.where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.join(F.broadcast(ids), "id").select("text", F.col("toxic").cast("long").alias("toxic"))
-    total = ids.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n_labelled, n_toxic = int(total["n"]), int(total["t"] or 0)
     if not n_toxic or n_toxic == n_labelled:
         voters = Voters(np.zeros(0, np.uint64))
