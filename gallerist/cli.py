@@ -8,7 +8,7 @@ import os
 
 from pyspark.sql import SparkSession
 
-from .engine import Engine, read_any
+from .engine import Engine, doctor, read_any
 from .sources.config import load
 
 
@@ -30,8 +30,14 @@ def main(argv: list[str] | None = None) -> int:
     info.add_argument("folder")
     info.add_argument("file_id", type=int)
     sub.add_parser("libraries")
+    sub.add_parser("doctor")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("gallerist").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.command == "doctor":
+        checks = doctor(spark, a.store)
+        for what, fine, more in checks:
+            print("ok  " if fine else "fail", what, more)
+        return int(not all(fine for _, fine, _ in checks))
     if a.command == "libraries":
         read_any(spark, a.store).show(100, False)
         return 0

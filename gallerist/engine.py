@@ -9,11 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import models
 from .catalog import Catalog
 from .functions import kernels
 from .operators import aggregates, calibration, decisions, develop, duplicates, joins, output, review
 from .schemas import BLUR_FLAGS, SCHEMAS
 from .sinks import trees
+from .sinks.cache import ContentCache
 from .sources import listing
 from .sources.config import Config
 from .streaming.ingest import take_in
@@ -148,6 +150,60 @@ class Engine:
     def export_keepers(self, root: str, regenerate: bool = False) -> trees.CopyReport:
         return trees.materialize(output.keepers_plan(review.keeper_files(self.catalog)), root, "This folder holds copies of kept photos.\n", regenerate)
 
+    def _estimate(self, plan: DataFrame, root: str) -> DataFrame:
+        """(files, bytes) that copying a plan below root would write now."""
+        sources = self.catalog["files"].select("path", "size_bytes", "mtime_ns")
+        there = listing.list_files(self.spark, root) if os.path.isdir(root) and os.listdir(root) else self.spark.createDataFrame([], "path string, mtime_ns long, size_bytes long")
+        there = there.withColumn("rel_path", F.expr(f"substr(path, {len(os.path.realpath(root)) + 2})"))
+        return output.copy_estimate(output.copies_needed(output.unique_names(plan), sources, there))
+
+    def estimate_review_tree(self, root: str, include: tuple[str, ...] = ()) -> DataFrame:
+        return self._estimate(output.review_tree_plan(review.review_entries(self.catalog), review.groups_for_review(self.catalog), include), root)
+
+    def estimate_keepers(self, root: str) -> DataFrame:
+        return self._estimate(output.keepers_plan(review.keeper_files(self.catalog)), root)
+
+    def cache_previews(self) -> int:
+        """Previews of files whose content has none yet, under the hash of the content; the number of contents there are then."""
+        cache = ContentCache(self.spark, f"{self.catalog.root}/cache")
+        todo = cache.missing(self.catalog["files"].where("file_format = 'jpg'").select("content_hash", "path"))
+        images = self.spark.read.format("image").option("recursiveFileLookup", True).load(self.folder)
+        made = kernels.previews(images.withColumn("path", F.regexp_replace("image.origin", "^file:/+", "/")).join(todo.select("path"), "path"), self.cfg.ingest.preview_max_long_edge)
+        cache.add(made.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(todo, "path"))
+        return cache.read().count()
+
+    def analyze_models(self, embedder: models.Embedder | None = None, scorer: models.Scorer | None = None) -> dict[str, int]:
+        """Vectors and scores of files that lack them, by models given as plug-ins; either may be missing."""
+        self.on_step("models")
+        work = joins.work_list(self.catalog["files"], self.catalog["embeddings"], self.catalog["iqa"])
+        images = self.spark.read.format("image").option("recursiveFileLookup", True).load(self.folder)
+        rows = images.withColumn("path", F.regexp_replace("image.origin", "^file:/+", "/")).join(work, "path").select(F.col("id").alias("file_id"), "image")
+        from .storage import written
+
+        found = written(models.infer(rows, embedder, scorer), "models")
+        out = {"embedded": 0, "scored": 0}
+        if embedder:
+            fresh = joins.missing_rows(found.where("vector IS NOT NULL"), self.catalog["embeddings"], "file_id")
+            out["embedded"] = fresh.count()
+            self.catalog.upsert("embeddings", fresh.select("file_id", F.lit(embedder.name).alias("model"), "vector"))
+        if scorer:
+            fresh = joins.missing_rows(found.where("score IS NOT NULL"), self.catalog["iqa"], "file_id")
+            out["scored"] = fresh.count()
+            self.catalog.upsert("iqa", fresh.select("file_id", F.lit(scorer.name).alias("model"), "score"))
+        return out
+
+    def prune_finished(self, root: str) -> int:
+        """Removes outputs and edits of files that aren't kept any more; files below root that no edit records stay."""
+        gone = review.orphaned_edits(self.catalog["edits"], self.catalog["decisions"])
+        removed = 0
+        for r in gone.where("output_path IS NOT NULL").select("output_path").toLocalIterator():
+            path = os.path.realpath(r["output_path"])
+            if path.startswith(os.path.realpath(root) + os.sep) and os.path.exists(path):
+                os.remove(path)
+                removed += 1
+        self.catalog.replace("edits", self.catalog["edits"].join(gone.select("file_id"), "file_id", "left_anti"))
+        return removed
+
     def finish_plan(self, renderer: str = "external") -> DataFrame:
         """What finishing would do with each kept file; rendering itself is left to a renderer given the profile."""
         from .functions.profile import profile_text
@@ -167,4 +223,32 @@ def read_any(spark: SparkSession, store: str) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("last_analyzed"))
 
 
-__all__ = ["Engine", "library_key", "read_any"]
+def find_library(spark: SparkSession, store: str, path: str) -> str | None:
+    """The nearest folder above a file that has a library."""
+    folder = os.path.dirname(os.path.realpath(path))
+    while True:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{library_key(folder)}/library_meta/CURRENT")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return folder
+        if folder == os.path.dirname(folder):
+            return None
+        folder = os.path.dirname(folder)
+
+
+def doctor(spark: SparkSession, store: str) -> list[tuple[str, bool, str]]:
+    """(what, fine, more) of checks on the session and the store."""
+    checks = [("spark", True, spark.version), ("time zone", spark.conf.get("spark.sql.session.timeZone") == "UTC", spark.conf.get("spark.sql.session.timeZone"))]
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    checks.append(("shared folder", named is not None, named or "spark.checkpoint.dir is unset"))
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/.probe")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.create(at, True).close()
+        fs.delete(at, False)
+        checks.append(("store", True, store))
+    except Exception as e:  # whatever the file system reports is the answer
+        checks.append(("store", False, str(e).splitlines()[0]))
+    return checks
+
+
+__all__ = ["Engine", "doctor", "find_library", "library_key", "read_any"]

@@ -159,3 +159,29 @@ def subject_class(coco: Column) -> Column:
 
 def sigmoid(c: Column) -> Column:
     return 1 / (1 + F.exp(-c))
+
+
+def better(mine: Column, theirs: Column) -> Column:
+    """1 if the first score is higher, 2 if the second is; null if they are equal or one is missing."""
+    return F.when(mine > theirs, 1).when(theirs > mine, 2)
+
+
+def natural_key(name: Column) -> Column:
+    """A key that sorts numbers in names by value: digits padded to twenty, letters in lower case."""
+    padded = F.regexp_replace(F.lower(name), r"(\d+)", "00000000000000000000$1")
+    return F.regexp_replace(padded, r"\d*(\d{20})", "$1")
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """As in 5 minutes ago."""
+    s = (now - then).cast("long")
+    ago = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f" {unit}"), F.when(F.floor(n) != 1, "s").otherwise(""), F.lit(" ago"))
+    return F.when(then.isNull(), "never").when(s < 60, "just now").when(s < 3600, ago(s / 60, "minute")).when(s < 86_400, ago(s / 3600, "hour")).otherwise(ago(s / 86_400, "day"))
+
+
+def exif_line(focal: Column, aperture: Column, shutter_seconds: Column, iso: Column) -> Column:
+    """Capture settings in one line, missing ones left out."""
+    return F.concat_ws(
+        " \u00b7 ", F.when(focal.isNotNull(), F.concat(F.round(focal).cast("int").cast("string"), F.lit("mm"))), F.when(aperture.isNotNull(), F.concat(F.lit("f/"), F.round(aperture, 1).cast("string"))),
+        F.when(shutter_seconds.isNotNull(), shutter(shutter_seconds)), F.when(iso.isNotNull(), F.concat(F.lit("ISO "), iso.cast("string"))),
+    )

@@ -244,3 +244,28 @@ def measure_raw(planes: DataFrame) -> DataFrame:
 
     arrow = to_arrow_schema(planes.sparkSession.createDataFrame([], RAW).schema)
     return planes.select("file_id", "samples", "width", "height", "black", "white", "pattern").mapInArrow(run, RAW)
+
+
+def encode_png(rgb: np.ndarray) -> bytes:
+    """An (h, w, 3) image of bytes as PNG."""
+    import struct
+    import zlib
+
+    h, w, _ = rgb.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(rgb).reshape(h, -1)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+
+
+def previews(images: DataFrame, long_edge: int = 2048) -> DataFrame:
+    """(path, bytes): rows of Spark's image source, no longer than long_edge, as PNG; what can't be read is left out."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.column("image").to_pylist():
+                if r["height"] > 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([r["origin"]]), pa.array([encode_png(resize(image_array(r), long_edge))], pa.binary())], names=["path", "bytes"])
+
+    return images.select("image").mapInArrow(run, "path string, bytes binary")

@@ -135,6 +135,17 @@ def filtered(rows: DataFrame, flags: tuple[str, ...] = (), undecided_only: bool
     return rows
 
 
+def sorted_rows(rows: DataFrame, by: str) -> DataFrame:
+    """Review rows by score (best first), name (numbers by value), or flagged (most flags first, then worst score)."""
+    flags = F.size(F.filter(F.split("flags", ","), lambda f: f != ""))
+    orders = {
+        "score": [F.col("iqa_score").desc_nulls_last(), F.col("file_id")],
+        "name": [X.natural_key(X.basename(F.col("path"))), F.col("file_id")],
+        "flagged": [flags.desc(), F.col("iqa_score").asc_nulls_last(), F.col("file_id")],
+    }
+    return rows.orderBy(*orders[by])
+
+
 def keeper_files(cat: Catalogue) -> DataFrame:
     """(file_id, path, content_hash, file_format, year_month) of kept files."""
     kept = cat["decisions"].where("verdict = 'keep'").select("file_id")

@@ -554,6 +554,21 @@ def exif_times(cat):
     return cat["exif"].select("file_id", X.exif_epoch(text).alias("captured_at"))
 
 
+# --- arrays -------------------------------------------------------------------------------------------------------
+
+_LEVEL = "list_sort(list_transform(embedding, lambda x: greatest(0.0, least(1.0, (x + 1) / 2)))::DOUBLE[])"
+
+
+@query(f"""SELECT vec_id AS file_id, round(v[2], 5) AS p1, round(v[33], 5) AS p50, round(v[63], 5) AS p99, round(v[64], 5) AS p999, c / 64.0::DOUBLE AS clipped_frac, b / 64.0::DOUBLE AS black_frac
+FROM (SELECT vec_id, {_LEVEL} AS v, len(list_filter(embedding, lambda x: x >= 1)) AS c, len(list_filter(embedding, lambda x: x <= -1)) AS b FROM embeddings)""")
+def sensor_stats(cat):
+    """Vectors of 64 as planes of eight by eight, black at -1 and white at 1."""
+    from gallerist.functions import kernels
+
+    planes = cat["embeddings"].select("file_id", F.col("vector").alias("samples"), *[F.lit(v).alias(n) for n, v in (("width", 8), ("height", 8), ("black", -1.0), ("white", 1.0), ("pattern", "RGGB"))])
+    return _rounded(kernels.measure_raw(planes), "p1", "p50", "p99", "p999", digits=5).drop("illum_r", "illum_g", "illum_b")
+
+
 # --- libraries ----------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gallerist.catalog import Catalog
-from gallerist.engine import Engine, read_any
+from gallerist.engine import Engine, doctor, find_library, read_any
 from gallerist.sinks import trees
 from gallerist.sinks.cache import ContentCache
 from gallerist.streaming.ingest import run_ingest
@@ -67,6 +67,37 @@ def test_library(spark, folder, tmp_path):
     assert e.finish_plan().count() == 0
 
 
+def test_models_previews_and_the_rest(spark, folder, tmp_path):
+    class Mean:  # within the test, so that it is sent to the workers by value
+        name = "mean"
+
+        def embed(self, rgb):
+            return [rgb.mean() / 255, 1.0]
+
+        def score(self, rgb):
+            return float(rgb.mean() / 255)
+
+    e = Engine(spark, str(folder), str(tmp_path / "store"))
+    e.scan()
+    assert e.analyze_models(Mean(), Mean()) == {"embedded": 3, "scored": 3} and e.analyze_models(Mean(), Mean()) == {"embedded": 0, "scored": 0}
+    assert e.cache_previews() == 3 and e.cache_previews() == 3
+    assert e.dedupe() == {"groups": 0, "members": 0, "keepers": 0}
+    ids = {os.path.basename(r["path"]): r["id"] for r in e.catalog["files"].collect()}
+    for name in ("grey.jpg", "white.jpg"):
+        e.decide(ids[name], "keep")
+    target = tmp_path / "kept"
+    assert e.estimate_keepers(str(target)).first()["files"] == 2
+    e.export_keepers(str(target))
+    assert tuple(e.estimate_keepers(str(target)).first()) == (0, 0) and e.estimate_review_tree(str(tmp_path / "r")).first()["files"] == 2
+    done = tmp_path / "done"
+    done.mkdir()
+    (done / "old.jpg").write_text("x")
+    e.catalog.upsert("edits", spark.createDataFrame([(ids["black.jpg"], str(done / "old.jpg")), (ids["grey.jpg"], str(done / "grey.jpg"))], "file_id long, output_path string"))
+    assert e.prune_finished(str(done)) == 1 and e.catalog["edits"].count() == 1
+    assert find_library(spark, str(tmp_path / "store"), str(folder / "sub" / "x.jpg")) == os.path.realpath(folder) and find_library(spark, str(tmp_path / "store"), "/nowhere/x") is None
+    assert all(fine for _, fine, _ in doctor(spark, str(tmp_path / "store")))
+
+
 def test_catalog(spark, tmp_path):
     c = Catalog(spark, str(tmp_path / "cat"))
     assert c.schema_version() == 5 and c["files"].count() == 0

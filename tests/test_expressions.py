@@ -85,3 +85,16 @@ def test_decide_and_profile(spark):
     text = one(spark, profile_text(off))
     assert text.count("Enabled=false") == 4 and "LensProfile" not in text
     assert one(spark, X.recipe_hash(recipe)) != one(spark, X.recipe_hash(off))
+
+
+def test_natural_order(spark):
+    names = ["IMG_10.jpg", "img_9.jpg", "IMG_1.jpg", "a2b10", "a2b9"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r["n"] for r in df.orderBy(X.natural_key(F.col("n"))).collect()] == ["a2b9", "a2b10", "IMG_1.jpg", "img_9.jpg", "IMG_10.jpg"]
+
+
+def test_display(spark):
+    assert one(spark, X.exif_line(F.lit(50.0), F.lit(2.8), F.lit(0.01), F.lit(200))) == "50mm · f/2.8 · 1/100s · ISO 200"
+    assert [one(spark, X.relative_time(F.lit(t).cast("long"), F.lit(100_000).cast("long"))) for t in (None, 99_990, 99_880, 92_000, 1)] == ["never", "just now", "2 minutes ago", "2 hours ago", "1 day ago"]
+    assert [one(spark, X.better(F.lit(a).cast("double"), F.lit(b).cast("double"))) for a, b in ((1, 0), (0, 1), (1, 1), (None, 1))] == [1, 2, None, None]
+    assert one(spark, X.subject_class(F.lit(14))) == "animal" and one(spark, X.sigmoid(F.lit(0.0))) == 0.5
