@@ -7,7 +7,8 @@
    other. The covariance of conditionally independent voters is of rank one in their class differences; the labels are
    one voter more, which anchors the sign. Pairs that the fit leaves with a large residue are correlated, and a voter's
    weight shrinks by the correlations it has. The posterior of a text follows from the weighted log odds of its votes.
-4. A logistic regression over the counted terms learns the posterior labels of the training rows and scores every text.
+4. A logistic regression over the counted terms learns the posterior labels of the training rows and scores every text; its bias is set so that
+   the boundary that parts the training rows best has the score THRESHOLD.
 
 Bounds: MAX_LABELLED rows and MAX_TERMS terms for learning; all else covers all documents and whole texts. Null and
 empty texts have no terms and get the score of the bias. Without labels of both classes the seed lexicons and set rates
@@ -210,6 +211,16 @@ class Classifier:
         return cls(terms, p[:v] * scale, float(p[v]))
 
 
+def boundary(z: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the widest gap in z among those at which the classes of the training rows part with the best F1."""
+    order = np.argsort(-z, kind="stable")
+    z, hits = z[order], np.cumsum(toxic[order])
+    f1 = 2 * hits / (np.arange(1, len(z) + 1) + hits[-1])
+    gap = np.append(z[:-1] - z[1:], 0.0)
+    at = int(np.argmax(np.where((f1 >= f1.max() - 1e-9) & (gap > 0), gap, -1.0)))
+    return float((z[at] + z[at + 1]) / 2) if at + 1 < len(z) else float(z[at])
+
+
 def _term_counts(rows: DataFrame) -> DataFrame:
     """(term, toxic, clean) over rows of (text, toxic)."""
 
@@ -314,7 +325,11 @@ def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED
     soft = model.posterior(votes)
     odds_ = np.log(np.clip(soft, 1e-6, 1 - 1e-6) / np.clip(1 - soft, 1e-6, 1)) + np.where(toxic > 0, 4.0, -4.0)
     target = 1 / (1 + np.exp(-odds_))
-    return voters, model, Classifier.fit(terms, scale, np.repeat(np.arange(len(lengths)), lengths), columns, values, target)
+    at = np.repeat(np.arange(len(lengths)), lengths)
+    classifier = Classifier.fit(terms, scale, at, columns, values, target)
+    z = classifier.bias + np.bincount(at, weights=classifier.weights[columns] * values, minlength=len(lengths))
+    classifier.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - boundary(z, toxic)  # the boundary gets the score THRESHOLD
+    return voters, model, classifier
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:

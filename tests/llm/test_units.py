@@ -294,3 +294,10 @@ def test_label_model_finds_accuracies():
     assert abs(model.correlation[0, 4]) > 0.2 > abs(model.correlation[0, 1]) and model.weight[4] < model.weight[1]
     p = model.posterior(votes)
     assert p[y].mean() > 0.6 > 0.2 > p[~y].mean()
+
+
+def test_boundary():
+    toxic = np.array([1, 1, 0, 1, 0, 0, 0])
+    assert toxicity.boundary(np.array([5.0, 4.0, 1.0, 3.0, 0.5, 0.4, 0.3]), toxic) == 2.0
+    assert toxicity.boundary(np.array([5.0, 4.0]), np.array([1, 1])) == 4.0
+    assert -1 < toxicity.boundary(np.array([2.0, 1.0, -1.0, 1.5]), np.array([1, 0, 0, 1])) < 2
