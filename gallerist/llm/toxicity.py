@@ -216,7 +216,7 @@ def boundary(z: np.ndarray, toxic: np.ndarray) -> float:
     order = np.argsort(-z, kind="stable")
     z, hits = z[order], np.cumsum(toxic[order])
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + hits[-1])
-    gap = np.append(z[:-1] - z[1:], 0.0)
+    gap = np.append(z[:-1] - z[1:], 1e-9)
     at = int(np.argmax(np.where((f1 >= f1.max() - 1e-9) & (gap > 0), gap, -1.0)))
     return float((z[at] + z[at + 1]) / 2) if at + 1 < len(z) else float(z[at])
 
