@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_written, fresh, text_or_empty, written
+from ._common import drop_written, fresh, join_counted, text_or_empty, written
 
 MIN_LINES = 3
 
@@ -26,27 +26,10 @@ def _lines(text: str) -> Column:
     return F.split(text_or_empty(text), "\n", -1)
 
 
-#: Ranks that hold more than this share of all rows are joined by broadcast; there are fewer of them than its inverse.
-HOT_SHARE = 1 / 4096
-
-
-def _joined(rows: DataFrame, by_rank: DataFrame) -> DataFrame:
-    """rows joined with one row for each rank, of which n says how many rows it has.
-
-    Ranks with more than HOT_SHARE of all rows, at most 4096 of them, are broadcast, so their rows stay where they are;
-    the others are joined by rank.
-    """
-    most = max(1000, int(rows.count() * HOT_SHARE))
-    hot = F.broadcast(by_rank.where(F.col("n") > most))
-    rank = ["r1", "r2"]
-    usual = rows.join(hot.select(*rank), rank, "left_anti").join(by_rank.where(F.col("n") <= most), rank)
-    return rows.join(hot, rank).unionByName(usual)
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose rank another row has; rows: a written table."""
     twice = written(rows.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    return _joined(rows, twice).select("id", "at", "r1", "r2")
+    return join_counted(rows, twice, ["r1", "r2"]).select("id", "at", "r1", "r2")
 
 
 def _longer(rows: DataFrame, step: int) -> DataFrame:
@@ -72,7 +55,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     for df in held:
         drop_written(df)
     first = written(rows.groupBy("r1", "r2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")), "first")
-    copies = _joined(rows, first).where(F.struct("id", "at") != F.col("first")).select("id", "at").distinct()
+    copies = join_counted(rows, first, ["r1", "r2"]).where(F.struct("id", "at") != F.col("first")).select("id", "at").distinct()
     starts = copies.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("starts"))
     # starts at most min_lines apart touch: they belong to one run
     gaps = F.filter(
