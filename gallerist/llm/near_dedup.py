@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gallerist.operators.graph import connected_components
 
-from ._common import drop_written, fresh, written
+from ._common import drop_written, fresh, join_counted, written
 from .shingles import lowered, mix, shingle_sets
 
 
@@ -279,7 +279,7 @@ def near_duplicates(
     """(id_col, n_shingles, component_id, kept) for every row of docs."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = written(_sketch_rows(docs, id_col, text, width, sketch), "sketches")
-    classes = rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
+    classes = rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = written(classes, "classes")
     reps = written(rows.where("class IS NOT NULL").join(classes.select(F.col("rep").alias("id"), "class"), ["id", "class"]).dropDuplicates(["id"]).select("id", "n_shingles", "sketch"), "reps")
 
@@ -296,10 +296,11 @@ def near_duplicates(
     more = written(_across(buckets.select("key", "id"), labels, texts, width, percent), "links")
     if more.limit(1).count():
         labels = connected_components(edges.union(more))
-    members = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(members, "class", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
-    )
+    members = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", "n", F.coalesce("component", "rep").alias("component"))
+    known = F.col("class").isNotNull() & F.col("id").isNotNull()
+    out = join_counted(rows.where(known), members, ["class"]).select("id", "n_shingles", "component")
+    out = out.unionByName(rows.where(~known).select("id", "n_shingles", F.col("id").alias("component")))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
     for df in (texts, buckets, pairs):
         drop_written(df)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
