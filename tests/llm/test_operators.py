@@ -442,3 +442,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_hot_keys(spark):
+    """One line, and one text, with far more rows than any share that is joined by key."""
+    texts = {0: "\n".join(["same"] * 2500), 1: "same\nother\nsame\nsame\nsame", 2: "x\ny\nz"}
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in texts.items()], DOCS)
+    out, name = line_dedup.strip_repeated_lines(df)
+    assert {i: v[0] for i, v in by_id(out.select("doc_id", "text", f"{name}.*"), ["n_lines", "n_removed", "text"]).items()} == stripped(texts, 3)
+    many = spark.range(5, 1505).select(F.col("id").alias("doc_id"), F.lit(PASSAGE).alias("text")).union(spark.createDataFrame([(1, prose(50, 30)), (2, PASSAGE), (3, None)], "doc_id long, text string"))
+    found = near_dedup.near_duplicates(many).groupBy("component_id").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 1), (2, 1501, 1), (3, 1, 1)]
