@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Weights of red, green and blue in luma (Rec. 709).
 LUMA = np.array([0.2126, 0.7152, 0.0722])

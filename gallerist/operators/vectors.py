@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import interval_pairs
+
 BLOCK = 2048
 
 
@@ -71,14 +73,14 @@ def cosine_pairs(df: DataFrame, threshold: float, block: int = BLOCK) -> DataFra
     def emit(t):
         import pyarrow as pa
 
-        _, a, x, b, y = _sides(t)
+        same, a, x, b, y = _sides(t)
         if not len(a) or not len(b):
             return
         p = x @ y.T
         at, to = np.nonzero(p >= threshold)
         first, second = a[at], b[to]
         s = p[at, to]
-        keep = first < second if _ else first != second
+        keep = first < second if same else first != second
         first, second, s = first[keep], second[keep], s[keep]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second)), pa.array(s)], names=["a", "b", "similarity"])
 
@@ -118,8 +120,6 @@ def knn(df: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 
 def similarity_edges(vectors: DataFrame, times: DataFrame, window: int, within: float, overall: float, k: int) -> DataFrame:
     """(a, b): pairs close in time and alike by within, and each vector's k nearest that are alike by overall."""
-    from .joins import interval_pairs
-
     timed = vectors.join(times, "id")
     close = interval_pairs(timed, "id", "captured_at", window, ["vector"]).where(cosine(F.col("a_vector"), F.col("b_vector")) >= within)
     near = knn(vectors, k).where(F.col("similarity") >= overall)
