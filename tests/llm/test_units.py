@@ -185,10 +185,10 @@ def test_ppm_against_its_definition():
             for n in range(order, -1, -1):
                 seen = {s: c for s, c in symbols.get((n, int.from_bytes(d[i - n : i], "big")), {}).items() if s not in out_of}
                 if d[i] in seen:
-                    out += math.log10(seen[d[i]] / (sum(seen.values()) + len(seen)))
+                    out += math.log10((seen[d[i]] - 0.5) / sum(seen.values()))
                     break
                 if seen:
-                    out += math.log10(len(seen) / (sum(seen.values()) + len(seen)))
+                    out += math.log10(len(seen) / 2 / sum(seen.values()))
                 out_of |= set(seen)
             else:
                 out -= math.log10(256 - len(out_of))
