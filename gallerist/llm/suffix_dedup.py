@@ -6,8 +6,9 @@ windows share a bucket wherever they stand, and a run of neighbouring windows wi
 2. The segments of the other anchors are counted by content. A content that occurs twice or more is repeated whole.
 3. Of buckets with different contents, one copy of each is sorted by the two-stage suffix sort; neighbours with a
    common prefix of `length` bytes are repeated windows.
-4. Buckets with more than HOT contents, such as a passage a little too short in countless contexts, are dealt by the
-   hash of each whole window instead and counted after partial aggregation, so that no task holds such a bucket.
+4. In buckets with more than HOT contents, such as a passage a little too short in countless contexts, the windows of one
+   copy of each content are dealt by a hash of the whole window instead and counted after partial aggregation, so that
+   no task holds such a bucket.
 Steps 2 to 4 find windows from the input alone; their bytes are removed together at the end.
 
 Null and empty texts have nothing removed; texts shorter than a window neither. Repeated rows are places of their own:
@@ -28,7 +29,7 @@ from .shingles import _BYTE, mix
 from .suffix_sort import common_prefixes, two_stage_suffix_array
 
 LENGTH, ANCHOR = 400, 200
-HOT = 1000
+HOT = 4096
 BLOCK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 
@@ -266,20 +267,21 @@ def _sorted_rows(length: int, chunk: int = 256_000):
     return run
 
 
-def _hot_rows(length: int, anchor: int):
+def _window_rows(length: int):
+    """A 128-bit hash of each window of each content."""
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
-                ids = batch.column("id").to_pylist()
-                for i, t, p, n, _ in _chosen(batch, length, anchor):
-                    part = np.frombuffer(t[p : p + n + length - 1], np.uint8)
-                    h1, h2 = mix(rolling(part, length)), mix(rolling(part, length, 0xD6E8FEB86659FD93))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, ids[i])), pa.array(np.arange(p, p + n)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["id", "place", "h1", "h2"]
-                    )
+        for batch in batches:
+            for key, content, data in zip(batch.column("key"), batch.column("content"), batch.column("bytes"), strict=True):
+                part = np.frombuffer(data.as_buffer(), np.uint8)
+                h1, h2 = mix(rolling(part, length)), mix(rolling(part, length, 0xD6E8FEB86659FD93))
+                n = len(h1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, key.as_py())), pa.array([content.as_py()] * n, pa.binary()), pa.array(np.arange(n)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    names=["key", "content", "place", "h1", "h2"],
+                )
 
     return run
 
@@ -340,21 +342,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     buckets = written(buckets, "buckets")
     # one content, copied: repeated whole, nothing to sort
     sorting = buckets.where((F.col("different") <= hot) & ~((F.col("different") == 1) & (F.col("most") > 1))).select("key")
-    asked = contents.join(sorting, "key").groupBy(F.col("holder").alias("id")).agg(F.collect_list(F.struct("key", "content")).alias("asked"))
-    bytes_ = asked.join(some.select("id", "text"), "id").mapInArrow(_content_rows(length, anchor), "key long, content binary, bytes binary")
-    found = bytes_.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_rows(length), "key long, content binary, first long, last long")
-    found = written(found.distinct(), "found")
-
-    places = segments.join(contents.where("copies > 1").select("key", "content"), ["key", "content"]).select("id", F.col("place").alias("first"), (F.col("place") + F.col("windows") - 1).alias("last"))
-    sorted_ = segments.join(found, ["key", "content"]).select("id", (F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("last")).alias("last"))
-    places = places.union(sorted_)
+
+    def one_of_each(keys: DataFrame) -> DataFrame:
+        asked = contents.join(keys, "key").groupBy(F.col("holder").alias("id")).agg(F.collect_list(F.struct("key", "content")).alias("asked"))
+        return asked.join(some.select("id", "text"), "id").mapInArrow(_content_rows(length, anchor), "key long, content binary, bytes binary")
+
+    runs = "key long, content binary, first long, last long"
+    found = written(one_of_each(sorting).repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_rows(length), runs).distinct(), "found")
     hot_keys = buckets.where(F.col("different") > hot).select("key")
     if hot_keys.limit(1).count():
-        holders = segments.select("id", "key").join(hot_keys, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
-        windows = some.select("id", "text").join(holders, "id").mapInArrow(_hot_rows(length, anchor), "id long, place long, h1 long, h2 long")
+        windows = one_of_each(hot_keys).mapInArrow(_window_rows(length), "key long, content binary, place long, h1 long, h2 long").distinct()
         windows = written(windows, "windows")
         twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-        places = places.union(windows.join(twice, ["h1", "h2"]).select("id", F.col("place").alias("first"), F.col("place").alias("last")))
+        found = found.union(windows.join(twice, ["h1", "h2"]).select("key", "content", F.col("place").alias("first"), F.col("place").alias("last")))
+
+    whole_copies = segments.join(contents.where("copies > 1").select("key", "content"), ["key", "content"])
+    places = whole_copies.select("id", F.col("place").alias("first"), (F.col("place") + F.col("windows") - 1).alias("last"))
+    inside = segments.join(found, ["key", "content"])
+    places = places.union(inside.select("id", (F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("last")).alias("last")))
     places = places.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
 
     result = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
