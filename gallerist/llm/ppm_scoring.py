@@ -1,13 +1,15 @@
 """Language-model scores by prediction by partial matching over bytes, pretrained on one part of the corpus.
 
 Gathering: every training text, closed by a mark that no UTF-8 text holds, adds its (ORDER + 1)-byte strings and its
-words to counts over the whole corpus. The byte strings give the trie of contexts of 0 to ORDER bytes; the most frequent
-contexts are kept, MAX_CONTEXTS at most, by a threshold on their count, so that with a context its suffixes are kept.
+words to counts over the whole corpus. The byte strings give the trie of contexts of 0 to ORDER bytes. All contexts are
+kept, so the model grows with the training text.
 
-Scoring: a byte is predicted by the longest kept context before it. Escape is estimated by method D (half an
+Scoring: a byte is predicted by the longest context before it that was met. Escape is estimated by method D (half an
 occurrence of each symbol seen is set aside for it), and after an escape the symbols of the longer context are excluded,
-down to all bytes alike. As the symbols of a context are among those of its suffix, each context and byte has one code
-length, and the trie becomes a table: a text is scored by ORDER + 1 table steps for all its bytes at once.
+down to all bytes alike. So each (ORDER + 1)-byte string has one code length. The strings of all documents, those not
+learnt from too, are dealt by the two bytes before the last: a task then has every longer context that it needs, and
+shorter ones are a table of 65,536 counts at most. The code lengths are written; strings as frequent as MAX_GRAMS
+strings are get theirs in place, the others by a join, so none is left out.
 
 Word counts for the add-one base score: words with a count of at least a threshold that MAX_WORDS words pass are looked
 up in place, the others by a join, so none is left out. Words are known by a 64-bit hash.
@@ -30,7 +32,7 @@ from ._common import written
 from .shingles import lowered, word_hashes
 
 ORDER = 5
-MAX_CONTEXTS, MAX_WORDS = 32_768, 1 << 19  # contexts: fewer than 65,536, as steps are 16-bit
+MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 19  # of those looked up in place
 MARK = 0xFF
 _END_WORD = -(1 << 62) + 1  # stands for the end among the hashes of words
 _WORD, _GRAM = 0, 1
@@ -63,33 +65,42 @@ def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def gather(train: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
-    """(kind, key, n): counts of words (kind 0) and byte strings (kind 1) over all rows."""
+def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
+    """(kind, key, n, places): counts of words (kind 0) and byte strings (kind 1) over the rows that are not held_out.
+
+    Byte strings are counted over all rows too, as places; those of held-out rows alone have an n of 0.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        def rows(kind: int, found):
+        def rows(kind: int, found, learnt: bool):
             key, n = found
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+            columns = (np.full(len(key), kind, np.int32), key.view(np.int64), n if learnt else np.zeros(len(key), np.int64), n)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "places"])
 
         for batch in batches:
-            texts = [lowered(x) for x in batch.column("text").to_pylist()]
-            grams, words, s = [], [(np.array([_END_WORD], np.int64).view(np.uint64), np.array([len(texts)]))], 0
-            while s < len(texts):
-                e, size = s, 0
-                while e < len(texts) and size < 1_000_000:
-                    size += len(texts[e])
-                    e += 1
-                grams.append(np.unique(_grams(texts[s:e], order)[0], return_counts=True))
-                words.append(np.unique(word_hashes(b"\n".join(texts[s:e]))[0], return_counts=True))
-                s = e
-            if texts:
-                yield rows(_WORD, _tally(words))
-                yield rows(_GRAM, _tally(grams))
-
-    found = train.select(F.col(text).alias("text")).mapInArrow(run, "kind int, key long, n long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+            out = batch.column("held_out").to_numpy(zero_copy_only=False)
+            every = [lowered(x) for x in batch.column("text").to_pylist()]
+            for learnt in (True, False):
+                texts = [every[i] for i in np.flatnonzero(out != learnt).tolist()]
+                grams, words, s = [], [(np.array([_END_WORD], np.int64).view(np.uint64), np.array([len(texts)]))], 0
+                while s < len(texts):
+                    e, size = s, 0
+                    while e < len(texts) and size < 1_000_000:
+                        size += len(texts[e])
+                        e += 1
+                    grams.append(np.unique(_grams(texts[s:e], order)[0], return_counts=True))
+                    if learnt:
+                        words.append(np.unique(word_hashes(b"\n".join(texts[s:e]))[0], return_counts=True))
+                    s = e
+                if texts:
+                    if learnt:
+                        yield rows(_WORD, _tally(words), True)
+                    yield rows(_GRAM, _tally(grams), learnt)
+
+    found = docs.select("held_out", F.col(text).alias("text")).mapInArrow(run, "kind int, key long, n long, places long")
+    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
 
 
 def _threshold(counts: DataFrame, most: int) -> int:
@@ -109,7 +120,10 @@ def _threshold(counts: DataFrame, most: int) -> int:
 
 @dataclass
 class Trie:
-    """Entries (length of context, context, byte, count), a context's number being its bytes."""
+    """A small model as a whole, by which code_lengths() is tested.
+
+    Entries (length of context, context, byte, count), a context's number being its bytes.
+    """
 
     order: int
     length: np.ndarray
@@ -167,21 +181,59 @@ class Trie:
         return step, log_p
 
 
-def fit(grams: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Trie:
-    """grams: (key, n) of (order + 1)-byte strings. What reaches the driver is bounded by max_contexts times 256 rows."""
-    key = F.col("key")
-    suffixes = [F.struct(F.lit(k).alias("length"), F.shiftright(key, 8).bitwiseAND((1 << 8 * k) - 1).alias("context")) for k in range(order + 1)]
-    entries = grams.select(F.explode(F.array(*suffixes)).alias("c"), key.bitwiseAND(255).cast("int").alias("symbol"), "n")
-    entries = entries.groupBy("c.length", "c.context", "symbol").agg(F.sum("n").alias("n"))
-    entries = written(entries, "contexts")
-    contexts = entries.groupBy("length", "context").agg(F.sum("n").alias("n"))
-    least = _threshold(contexts.where("length > 0"), max_contexts - 1)
-    kept = contexts.where((F.col("length") == 0) | (F.col("n") >= least)).select("length", "context")
-    found = entries.join(kept, ["length", "context"]).select(F.col("length").cast("byte").alias("length"), "context", F.col("symbol").cast("short").alias("symbol"), F.col("n").cast("float").alias("n")).toArrow()
-    return Trie(order, *(found[c].to_numpy() for c in ("length", "context", "symbol", "n")))
+def code_lengths(key: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+    """log10 of the probability of the last byte of each distinct string after the bytes before it.
+
+    n: how often each was met in training; with a string, all that share the two bytes before its last must be here.
+    pairs: (256, 256) counts of byte and byte before it over all training texts.
+    """
+    key, n = key.astype(np.int64), n.astype(np.float64)
+    symbol, before = key & 255, key >> 8 & 255
+    with np.errstate(divide="ignore", invalid="ignore"):
+        single, pairs = pairs.sum(axis=0).astype(np.float64), pairs.astype(np.float64)
+        count, total, kinds = single[symbol], np.full(len(key), single.sum()), np.full(len(key), (single > 0).sum())
+        escaped = -np.log10(np.maximum(256 - kinds, 1))
+        entries = None
+        for k in range(order + 1):
+            if k:
+                fewer, above, below_total = kinds, count, total
+                if k == 1:
+                    seen = (pairs > 0) * single
+                    count, total, kinds, taken = pairs[before, symbol], pairs.sum(axis=1)[before], (pairs > 0).sum(axis=1)[before], seen.sum(axis=1)[before]
+                else:
+                    entry, at = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+                    met = np.bincount(at, weights=n, minlength=len(entry))
+                    _, owner = np.unique(entry >> 8, return_inverse=True)
+                    shorter = pairs[entry >> 8 & 255, entry & 255] if entries is None else entries[1][np.searchsorted(entries[0], entry & ((1 << 8 * k) - 1))]
+                    taken = np.bincount(owner, weights=np.where(met > 0, shorter, 0))[owner][at]
+                    count, total, kinds = met[at], np.bincount(owner, weights=met)[owner][at], np.bincount(owner, weights=met > 0)[owner][at]
+                    entries = entry, met
+                left, new = below_total - taken, fewer - kinds
+                escaped = np.where(above > 0, np.log10((above - 0.5) / left), np.where(new > 0, np.log10(new / 2 / left), 0.0) + escaped)
+            here = np.where(count > 0, np.log10((count - 0.5) / total), np.where(kinds > 0, np.log10(kinds / 2 / total), 0.0) + escaped)
+            out = here if not k else np.where(total > 0, here, out)
+    return out
 
 
-_tables: dict[int, tuple] = {}
+def coded(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, places, log_p) for every row of grams: (key, n, places)."""
+    pairs = np.zeros((256, 256), np.int64)
+    last = grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    pairs.ravel()[last["pair"].to_numpy()] = last["n"].to_numpy()
+    model = grams.sparkSession.sparkContext.broadcast(pickle.dumps(pairs, protocol=5))
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            key = t["key"].to_numpy()
+            log_p = code_lengths(key, t["n"].to_numpy(), pickle.loads(model.value), order)
+            yield from pa.table({"key": t["key"], "places": t["places"], "log_p": pa.array(log_p)}).combine_chunks().to_batches(max_chunksize=100_000)
+
+    dealt = grams.select("key", "n", "places").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))
+    return dealt.mapInArrow(run, "key long, places long, log_p double")
 
 
 def score_texts(texts: list[bytes], order: int, step: np.ndarray, log_p: np.ndarray) -> np.ndarray:
@@ -195,46 +247,52 @@ def score_texts(texts: list[bytes], order: int, step: np.ndarray, log_p: np.ndar
     return np.add.reduceat(p.astype(np.float64), starts) if len(texts) else np.zeros(0)
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, max_contexts: int = MAX_CONTEXTS, max_words: int = MAX_WORDS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs; held_out, over the column id, is not learnt from."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     source = source.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    counts = written(gather(source.where("NOT held_out"), order=order), "counts")
+    counts = written(gather(source, order=order), "counts")
     words = counts.where(F.col("kind") == _WORD).select("key", "n")
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("key") == _END_WORD, F.col("n"))).alias("ends")).first()
     train_tokens, distinct, end = int(totals["n"] or 0), int(totals["v"]), int(totals["ends"] or 0)
-    trie = fit(counts.where(F.col("kind") == _GRAM).select("key", "n"), order, max_contexts)
+    grams = written(coded(counts.where(F.col("kind") == _GRAM), order), "grams")
+    frequent = _threshold(grams.select(F.col("places").alias("n")), max_grams)
+    often = grams.where(F.col("places") >= frequent).select("key", "log_p").toArrow()
+    by = np.argsort(often["key"].to_numpy())
+    gram_keys = often["key"].to_numpy().view(np.uint64)[by]
+    gram_codes = often["log_p"].to_numpy()[by]
 
     least = _threshold(words, max_words)
     top = words.where(F.col("n") >= least).toArrow()
     by = np.argsort(top["key"].to_numpy().view(np.uint64))
     top_keys = top["key"].to_numpy().view(np.uint64)[by]
     top_counts = np.append(top["n"].to_numpy()[by], 0)
-    model = spark.sparkContext.broadcast(pickle.dumps((trie, top_keys, top_counts), protocol=5))
+    model = spark.sparkContext.broadcast(pickle.dumps((gram_keys, gram_codes, top_keys, top_counts), protocol=5))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        trie_, keys, numbers = pickle.loads(model.value)
-        mark = hash((len(model.value), int(trie_.count.sum()), len(trie_.count), model.value[-64:]))
-        if mark not in _tables:
-            _tables.clear()
-            _tables[mark] = trie_.tables()
-        step, log_p = _tables[mark]
+        strings, codes, keys, numbers = pickle.loads(model.value)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [lowered(x) for x in batch.column("text").to_pylist()]
             s = 0
             while s < len(texts):
                 e, size = s, 0
-                while e < len(texts) and size < 500_000:
+                while e < len(texts) and size < 1_000_000:
                     size += len(texts[e])
                     e += 1
                 part = texts[s:e]
-                scores = score_texts(part, order, step, log_p)
+                string, first = _grams(part, order)
+                once, which = np.unique(string, return_inverse=True)
+                at = np.minimum(np.searchsorted(strings, once), len(strings) - 1) if len(strings) else np.zeros(len(once), np.int64)
+                held = strings[at] == once if len(strings) else np.zeros(len(once), bool)
+                scores = np.add.reduceat((np.where(held, codes[at], 0.0) if len(strings) else np.zeros(len(once)))[which], first)
+                other = np.flatnonzero(~held[which])
+                other_cut = np.searchsorted(other, np.append(first, len(string))).astype(np.int32)
                 hashes, starts = word_hashes(b"\n".join(part))
                 owner = np.searchsorted(np.cumsum([0, *(len(x) + 1 for x in part)]), starts, side="right") - 1
                 at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1) if len(keys) else np.zeros(len(hashes), np.int64)
@@ -249,17 +307,21 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
                     [
                         pa.array(np.arange(row, row + len(part))), batch.column("id").slice(s, e - s), batch.column("held_out").slice(s, e - s),
                         pa.array(tokens), pa.array(known), pa.array(base), pa.array(scores), pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[~hit].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(other_cut), pa.array(string[other].view(np.int64))),
                     ],
-                    names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest"],
+                    names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "rest", "others"],
                 )
                 row += len(part)
                 s = e
 
-    rows = written(source.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"), "scores")
+    rows = written(source.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, others array<long>"), "scores")
     rare = rows.select("row", F.explode("rest").alias("key")).join(words.where(F.col("n") < least), "key")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"))
-    out = rows.join(rare, "row", "left").select(
+    others = rows.select("row", F.explode("others").alias("key")).join(grams.where(F.col("places") < frequent).select("key", "log_p"), "key")
+    others = others.groupBy("row").agg(F.sum("log_p").alias("others_score"))
+    out = rows.drop("others").join(rare, "row", "left").join(others, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(train_tokens + distinct + 1)))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(train_tokens + distinct + 1)))).alias("base_score"),
+        (F.col("score") + F.coalesce("others_score", F.lit(0.0))).alias("score"),
     )
     return out

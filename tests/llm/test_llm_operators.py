@@ -336,6 +336,23 @@ def test_ppm(docs, empty):
     assert ppm_scoring.score(docs.where("doc_id = -1").union(docs.where("doc_id = 12")), F.lit(True)).first()["n_known"] == 0
 
 
+def test_ppm_keeps_all_contexts(spark):
+    """More contexts than any fixed table: each string of a training text is predicted from its own five bytes."""
+    r = random.Random(8)
+    texts = {i: "".join(r.choice("abcdefghijklmnopqrstuvwxyz 0123456789") for _ in range(2000)) for i in range(40)}
+    data = {i: b"\xff" * 5 + t.encode() + b"\xff" for i, t in texts.items()}
+    strings = Counter(d[k : k + 6] for d in data.values() for k in range(len(d) - 5))
+    contexts = Counter()
+    for x, n in strings.items():
+        contexts[x[:5]] += n
+    assert len(contexts) > 65_536
+    want = {i: sum(math.log10((strings[d[k : k + 6]] - 0.5) / contexts[d[k : k + 5]]) for k in range(len(d) - 5)) for i, d in data.items()}
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in texts.items()], DOCS)
+    for most in (1 << 20, 50):  # with few strings looked up in place, the join gives the rest
+        got = {x["doc_id"]: x["score"] for x in ppm_scoring.score(df, F.lit(False), max_grams=most).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_toxicity(spark, docs):
     r = random.Random(5)
     rows, labels = [], []

@@ -198,6 +198,28 @@ def test_ppm_against_its_definition():
     assert ppm_scoring.score_texts(tests, order, step, log_p).tolist() == pytest.approx([definition(t) for t in tests], abs=1e-4)
 
 
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_code_lengths_as_the_whole_model(order):
+    learnt, others = ([lowered(t) for t in random_texts(seed, 40, "abcd é\n")] for seed in (3, 4))
+    others.append(b"zz\x01ab")
+    key, n = np.unique(ppm_scoring._grams(learnt, order)[0], return_counts=True)
+    entries = Counter()
+    for k, count in zip(key.tolist(), n.tolist(), strict=True):
+        for size in range(order + 1):
+            entries[size, (k >> 8) & ((1 << 8 * size) - 1), k & 255] += count
+    step, log_p = ppm_scoring.Trie(order, *(np.array(x, np.int64) for x in zip(*[(*e, c) for e, c in entries.items()], strict=True))).tables()
+    pairs = np.zeros((256, 256), np.int64)
+    np.add.at(pairs, ((key >> np.uint64(8) & np.uint64(255)).astype(int), (key & np.uint64(255)).astype(int)), n)
+    every = np.union1d(key, ppm_scoring._grams(others, order)[0])
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, key)] = n
+    codes = ppm_scoring.code_lengths(every, counts, pairs, order)
+    for t in learnt + others:
+        got = codes[np.searchsorted(every, ppm_scoring._grams([t], order)[0])].sum()
+        assert got == pytest.approx(ppm_scoring.score_texts([t], order, step, log_p)[0], abs=1e-3)
+    assert ppm_scoring.code_lengths(every, counts * 0, pairs * 0, order) == pytest.approx(np.full(len(every), -math.log10(256)))
+
+
 def test_empty_ppm_model():
     none = np.zeros(0, np.int64)
     step, log_p = ppm_scoring.Trie(2, none, none, none, none).tables()
