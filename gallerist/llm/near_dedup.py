@@ -196,8 +196,9 @@ def spanning_links(ids: np.ndarray, components: np.ndarray, hashes: np.ndarray,
     """Links that join the components as all links among the sets would; sets: hashes, counts of them for each id.
 
     The shared shingles of one set with all others are counted over an inverted index. Sets go in order of how common
-    their shingles are, so the middle of a group comes first; a set that is in the largest component by its turn is
-    passed over, as each set outside meets all sets when its own turn comes.
+    their shingles are, so the middle of a group comes first. One component is the main one from the start on: the
+    largest, or of those as large the one met first. It only grows, and a set that is in it by its turn is passed over,
+    as each set that is outside by its own turn meets all sets then.
     """
     owner = np.repeat(np.arange(len(ids)), counts)
     _, term, common = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -209,10 +210,12 @@ def spanning_links(ids: np.ndarray, components: np.ndarray, hashes: np.ndarray,
     _, group = np.unique(components, return_inverse=True)
     sizes = np.bincount(group)
     links, first = [], True
-    for k in np.argsort(-popularity, kind="stable").tolist():
-        if sizes.max() == len(ids):
+    turns = np.argsort(-popularity, kind="stable")
+    main = group[turns[sizes[group[turns]].argmax()]]
+    for k in turns.tolist():
+        if sizes[main] == len(ids):
             break
-        if not first and group[k] == sizes.argmax():
+        if not first and group[k] == main:
             continue
         first = False
         terms = term[ends[k] - counts[k] : ends[k]]
@@ -224,6 +227,7 @@ def spanning_links(ids: np.ndarray, components: np.ndarray, hashes: np.ndarray,
             if group[o] != group[k]:
                 links.append((int(ids[k]), int(ids[o])))
                 gone = group[o]
+                main = group[k] if gone == main else main
                 sizes[group[k]] += sizes[gone]
                 sizes[gone] = 0
                 group[group == gone] = group[k]

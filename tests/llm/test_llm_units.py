@@ -98,6 +98,32 @@ def test_spanning_links():
         assert groups(got) == groups(linked)
 
 
+def test_spanning_links_of_chains():
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        words, sets = list(range(60)), []
+        for _ in range(30):  # each an edited copy of the one before
+            words = words.copy()
+            for _ in range(rng.integers(1, 7)):
+                words[rng.integers(len(words))] = int(rng.integers(1, 1 << 40))
+            sets.append(np.unique(np.array(words[: rng.integers(50, 61)], np.uint64)))
+        n = len(sets)
+        labels = rng.permutation(n)
+        start = [(i, int(rng.integers(n))) for i in range(0, n, 4)] if rng.integers(2) else []
+        linked = [(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+        def groups(edges):
+            g = np.arange(n)
+            for a, b in edges:
+                g[g == max(g[a], g[b])] = min(g[a], g[b])
+            return g.tolist()
+
+        components = labels[np.array(groups(start))]
+        got = near_dedup.spanning_links(np.arange(n), components, np.concatenate(sets), np.array([len(s) for s in sets]), 80)
+        assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in linked}
+        assert groups(start + got) == groups(start + linked)
+
+
 @pytest.fixture(scope="module")
 def multi():
     return bpe.ByteBPE.from_file(public.path("byte_bpe_multi_50k.tiktoken"))
