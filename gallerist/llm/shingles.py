@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = np.ones(1, np.uint64)
+_powers = np.ones(0, np.uint64)
 
 
 def _power(n: int) -> np.ndarray:

@@ -11,6 +11,9 @@ windows share a bucket wherever they stand, and a run of neighbouring windows wi
    no task holds such a bucket.
 Steps 2 to 4 find windows from the input alone; their bytes are removed together at the end.
 
+strip_passages() also removes passages of over 50 words that are shorter than a window: the same steps run over texts in
+which each word is the 8 bytes of its hash, so that a window is a number of words.
+
 Null and empty texts have nothing removed; texts shorter than a window neither. Repeated rows are places of their own:
 their windows count twice. Rows with a null id count as places but are left whole. An empty table gives an empty result.
 """
@@ -25,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import drop_written, fresh, written
-from .shingles import _BYTE, mix
+from .shingles import _BYTE, mix, word_hashes
 from .suffix_sort import common_prefixes, two_stage_suffix_array
 
 LENGTH, ANCHOR = 400, 200
+WORDS, CODE = 51, 8  # words of a passage, bytes of a word's hash
 HOT = 4096
 BLOCK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
@@ -127,7 +131,7 @@ def blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], int, li
 
 
 def _utf8(texts) -> list[bytes]:
-    return [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+    return [x if isinstance(x, bytes) else (x or "").encode("utf-8", "surrogatepass") for x in texts]
 
 
 def _anchor_rows(length: int, anchor: int):
@@ -320,9 +324,8 @@ def _result_rows(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, hot: int = HOT) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs; kept is null unless with_text: the bytes left as text, without characters of which a part was removed."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _repeated(source: DataFrame, length: int, anchor: int, with_text: bool, hot: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(the rows of source with the buckets they have in common, (id, found): its repeated windows, written tables that found reads); source: (id, text)."""
     anchors = written(source.mapInArrow(_anchor_rows(length, anchor), "id long, key long, places int"), "anchors")
     shared = anchors.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key")
     named = anchors.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
@@ -348,11 +351,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return asked.join(some.select("id", "text"), "id").mapInArrow(_content_rows(length, anchor), "key long, content binary, bytes binary")
 
     runs = "key long, content binary, first long, last long"
+    held = [segments, contents, buckets]
     found = written(one_of_each(sorting).repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_rows(length), runs).distinct(), "found")
+    held.append(found)
     hot_keys = buckets.where(F.col("different") > hot).select("key")
     if hot_keys.limit(1).count():
         windows = one_of_each(hot_keys).mapInArrow(_window_rows(length), "key long, content binary, place long, h1 long, h2 long").distinct()
         windows = written(windows, "windows")
+        held.append(windows)
         twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
         found = found.union(windows.join(twice, ["h1", "h2"]).select("key", "content", F.col("place").alias("first"), F.col("place").alias("last")))
 
@@ -361,7 +367,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     inside = segments.join(found, ["key", "content"])
     places = places.union(inside.select("id", (F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("last")).alias("last")))
     places = places.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    return texts, places, held
 
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs; kept is null unless with_text: the bytes left as text, without characters of which a part was removed."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts, places, _ = _repeated(source, length, anchor, with_text, hot)
+    some = texts.where("keys IS NOT NULL").select("id", "text")
     result = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     cut = some.select("id", "text").join(places, "id", "left").mapInArrow(_result_rows(length, with_text), result)
     whole = texts.where("keys IS NULL").select(
@@ -370,10 +383,65 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return cut.unionByName(whole).withColumnRenamed("id", id_col)
 
 
-def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs with its text stripped of repeated passages; documents of which nothing is left are dropped."""
+def _put_back(docs: DataFrame, left: DataFrame, id_col: str, text: str) -> DataFrame:
+    """docs with the texts of left, (id, kept), for those it has; documents of which nothing is left are dropped."""
     name = fresh("left", docs.columns)
     key, kept = F.col(f"{name}_id"), F.col(f"{name}_kept")
-    left = remove_repeats(docs, id_col, text, length, with_text=True).where("n_removed > 0").select(F.col(id_col).alias(f"{name}_id"), F.col("kept").alias(f"{name}_kept"))
-    joined = docs.join(left.dropDuplicates([f"{name}_id"]), F.col(f"`{id_col}`").cast("long") == key, "left").where(kept.isNull() | (kept != ""))
+    left = left.toDF(f"{name}_id", f"{name}_kept").dropDuplicates([f"{name}_id"])
+    joined = docs.join(left, F.col(f"`{id_col}`").cast("long") == key, "left").where(kept.isNull() | (kept != ""))
     return joined.select(*[F.coalesce(kept, F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs with its text stripped of repeated passages; documents of which nothing is left are dropped."""
+    left = remove_repeats(docs, id_col, text, length, with_text=True).where("n_removed > 0").select(id_col, "kept")
+    return _put_back(docs, left, id_col, text)
+
+
+def _word_rows(batches) -> Iterator:
+    """The hashes of a text's words, one after the other, in place of the text."""
+    import pyarrow as pa
+
+    for batch in batches:
+        coded = [word_hashes(t)[0].tobytes() for t in _utf8(batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(coded, pa.binary())], names=["id", "text"])
+
+
+def _stripped_rows(length: int, words: int):
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for data, found, passages in zip(_utf8(batch.column("text").to_pylist()), batch.column("found").to_pylist(), batch.column("passages").to_pylist(), strict=True):
+                spans = [(r["first"], r["last"] + length) for r in found or ()]
+                if passages:
+                    places = word_hashes(data)[1]
+                    bounds = np.concatenate([[0], places[1:], [len(data)]])  # a word goes with the gap after it
+                    first, last = (np.array([r[k] for r in passages], np.int64) for k in ("first", "last"))
+                    begin, end = covered(-(-first // CODE) * CODE, last // CODE * CODE, words * CODE, len(places) * CODE)
+                    spans += zip(bounds[begin // CODE].tolist(), bounds[end // CODE].tolist(), strict=True)
+                kept, at = [], 0
+                for s, e in sorted(spans):
+                    kept.append(data[at:s])
+                    at = max(at, e)
+                kept.append(data[at:])
+                out.append(b"".join(kept).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "kept"])
+
+    return run
+
+
+def strip_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+    """docs as of strip_repeats(), stripped also of all runs of so many words that stand in two places or more, whatever the gaps between the words."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    coded = source.mapInArrow(_word_rows, "id long, text binary")
+    found = []
+    for rows, size, part in ((source, length, anchor), (coded, words * CODE, max(1, words // 2) * CODE)):
+        texts, places, held = _repeated(rows, size, part, False, hot)
+        found.append(written(places, "places"))
+        for df in (texts, *held):
+            drop_written(df)
+    both = found[0].join(found[1].withColumnRenamed("found", "passages"), "id", "full")
+    left = source.join(both, "id").mapInArrow(_stripped_rows(length, words), "id long, kept string")
+    return _put_back(docs, left, id_col, text)

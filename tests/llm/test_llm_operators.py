@@ -170,6 +170,22 @@ def test_strip_repeats(docs):
     assert 5 not in ids and 6 not in ids and ids[15] == 2 and ids[0] == 1 and ids[1] == 1
 
 
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_pipeline_strips_passages_of_51_words(spark, hot):
+    import corpus_pipeline
+
+    r = random.Random(21)
+    short, longer = (" ".join(r.choice("abcdefghij") for _ in range(n)) for n in (51, 60))
+    spaced, few = prose(22, 51), prose(23, 50)
+    texts = {i: (prose(100 + i, 40), p, prose(200 + i, 40)) for i, p in enumerate([short, short, few, few, spaced, spaced.replace(" ", "\n"), longer, longer])}
+    assert len(short) == 101
+    df = spark.createDataFrame([(i, " ".join(t), "", "", 0) for i, t in texts.items()] + [(8, short + "\n", "", "", 0), (9, None, "", "", 0), (10, few, "", "", 0)], DOCS)
+    stage = corpus_pipeline.passages(spark, df, "") if hot else suffix_dedup.strip_passages(df, hot=0)
+    got = {x["doc_id"]: (x["text"] or "").split() for x in stage.collect()}
+    want = {i: (f"{a} {z}" if i not in (2, 3) else f"{a} {p} {z}").split() for i, (a, p, z) in texts.items()}
+    assert got == want | {9: [], 10: few.split()}
+
+
 def test_long_text_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     texts = [[t] for t in [prose(11, 400).encode() + b"#" + prose(12, 80).encode(), prose(12, 80).encode() * 3]]
