@@ -209,7 +209,7 @@ class Engine:
 
 def read_any(spark: SparkSession, store: str) -> DataFrame:
     """(folder_path, created_at, last_analyzed) of all libraries below store, the latest analysed first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/*/library_meta/CURRENT")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/*/library_meta/_log")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
     metas = [Catalog(spark, f.getPath().getParent().getParent().toString())["library_meta"] for f in found]
     out = spark.createDataFrame([], SCHEMAS["library_meta"])
@@ -222,7 +222,7 @@ def find_library(spark: SparkSession, store: str, path: str) -> str | None:
     """The nearest folder above a file that has a library."""
     folder = os.path.dirname(os.path.realpath(path))
     while True:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{library_key(folder)}/library_meta/CURRENT")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{library_key(folder)}/library_meta/_log")
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return folder
         if folder == os.path.dirname(folder):

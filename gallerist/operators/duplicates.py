@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gallerist.functions import expressions as X
-from gallerist.storage import written
+from gallerist.storage import in_order
 
 from .graph import connected_components
 from .vectors import normalize, similarity_edges
@@ -70,15 +70,7 @@ def numbered(elected: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Numbers come from a sort by range and an offset for each partition, so no task sees all groups.
     """
-    spark = elected.sparkSession
-    groups = elected.select("component").distinct().repartitionByRange("component").sortWithinPartitions("component")
-    placed = groups.withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    placed = written(placed, "groups")
-    before, total = {}, 0
-    for r in placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
-        before[r["part"]], total = total, total + r["n"]
-    offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
-    ids = placed.join(F.broadcast(offsets), "part").select("component", (F.col("n") + F.col("before") + 1).alias("group_id"))
+    ids = in_order(elected.select("component").distinct(), ["component"], "before", label="groups").select("component", (F.col("before") + 1).alias("group_id"))
     members = elected.join(ids, "component").select("group_id", F.col("id").alias("file_id"), "is_suggested_keeper", "quality_score")
     return ids, members
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gallerist.functions import expressions as X
-from gallerist.storage import written
+from gallerist.storage import in_order
 
 Catalogue = Mapping[str, DataFrame]
 
@@ -99,17 +99,9 @@ def score_percentiles(iqa: DataFrame) -> DataFrame:
     Ranks over the whole table come from counts of distinct scores, summed by range: the rows themselves stay spread.
     """
     scored = iqa.where("score IS NOT NULL").select("file_id", F.col("score").cast("double").alias("score"))
-    counts = scored.groupBy("score").agg(F.count("*").alias("n")).repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
-    counts = written(counts, "scores")
-    parts = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    before, total = [], 0
-    for r in parts:
-        before.append((r["part"], total))
-        total += r["n"]
-    offsets = iqa.sparkSession.createDataFrame(before or [(0, 0)], "part int, before long")
-    within = F.sum("n").over(Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    ranks = counts.withColumn("within", within).join(F.broadcast(offsets), "part").select("score", (F.col("within") + F.col("before") + 1).alias("rank"))
-    percent = F.round(F.col("rank") / F.lit(float(max(total, 1))) * 100).cast("int")
+    ranks = in_order(scored.groupBy("score").agg(F.count("*").alias("n")), [F.desc("score")], "before", "n", "scores")
+    ranks = ranks.join(F.broadcast(ranks.agg(F.sum("n").alias("total"))), F.lit(True)).select("score", "total", (F.col("before") + 1).alias("rank"))
+    percent = F.round(F.col("rank") / F.col("total") * 100).cast("int")
     return scored.join(ranks, "score").select("file_id", "score", X.clamp(percent, 1, 100).alias("top_percent"))
 
 

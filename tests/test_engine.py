@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gallerist.catalog import Catalog
+from gallerist.catalog import Catalog, ConcurrentWrite
 from gallerist.engine import Engine, doctor, find_library, read_any
 from gallerist.sinks import trees
 from gallerist.sinks.cache import ContentCache
+from gallerist.storage import shared_dir
 from gallerist.streaming.ingest import run_ingest
 
 
@@ -146,3 +147,43 @@ def test_safety(tmp_path):
     (tmp_path / "mine" / trees.MARKER).write_text("")
     trees.remove_managed(str(tmp_path / "mine"))
     assert not (tmp_path / "mine").exists()
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000, 1_000_000])
+def test_catalog_gives_each_row_an_id_of_its_own(spark, tmp_path, n):
+    c = Catalog(spark, str(tmp_path / "cat"))
+    c.upsert("files", spark.createDataFrame([("/0", "x")], "path string, content_hash string"))
+    c.upsert("files", spark.range(n).select(F.concat(F.lit("/"), F.col("id").cast("string")).alias("path"), F.lit("h").alias("content_hash")))
+    got = c["files"].agg(F.count("*"), F.countDistinct("id"), F.countDistinct("path"), F.min("id"), F.max("id")).first()
+    assert tuple(got) == (n, n, n, 1, n)
+    assert c["files"].where("path = '/0'").first()["id"] == 1
+    if n == 20_000:  # in order of path
+        rows = [r["path"] for r in c["files"].where("id > 1").orderBy("id").select("path").collect()]
+        assert rows == sorted(rows)
+
+
+def test_second_of_two_writers_is_refused(spark, tmp_path):
+    one, two = (Catalog(spark, str(tmp_path / "cat")) for _ in range(2))
+    row = lambda i: spark.createDataFrame([(i, 0.5)], "file_id long, score float")
+    one.upsert("iqa", row(1))
+    base = two.version("iqa")
+    one.upsert("iqa", row(2))
+    with pytest.raises(ConcurrentWrite):
+        two.replace("iqa", row(3), base)
+    assert sorted(r["file_id"] for r in two["iqa"].collect()) == [1, 2]
+    for i in range(4, 10):
+        one.upsert("iqa", row(i))
+    assert one.expire("iqa", 2) == 6 and one["iqa"].count() == 8 and one.expire("iqa", 2) == 0
+
+
+def test_shared_folder_must_be_named_off_local_masters():
+    class Off:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Off)
