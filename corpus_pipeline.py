@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gallerist.llm import line_dedup, near_dedup, packing, quality_rules, suffix_dedup
+from gallerist.llm import line_dedup, near_dedup, quality_rules, suffix_dedup
+from gallerist.llm import queries as thin
 from gallerist.llm._common import documents, written
-from gallerist.llm.queries import tokenizer
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -38,8 +38,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path, pattern = tokenizer("byte_bpe_50k.tiktoken")
-    return packing.pack_documents(docs, path, pattern)
+    return thin.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

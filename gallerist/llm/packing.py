@@ -5,8 +5,10 @@ feasible functions tells how many sequences its pieces need at least. A partitio
 sequences, but for the least full one; one with a gap keeps only its full ones. What was not kept is exchanged: dealt
 anew into fewer partitions and packed again, until one partition holds the rest or a round has nothing to exchange.
 
-Null and empty texts have one piece, the end token. Repeated rows are separate pieces; an empty table gives an empty
-result. Other columns are not carried.
+Null and empty texts have one piece, the end token. Repeated rows, also those of one id with different texts, are
+separate pieces, and rows with a null id have pieces with a null id; an empty table gives an empty result. Pieces of one
+length are alike to the packing, so ties change no count of sequences. Other columns are not carried. A text is encoded
+whole, in one task; only its pieces go on.
 """
 
 from __future__ import annotations
@@ -69,8 +71,23 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, places
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """PIECE rows: a document's ids and the end token, cut into pieces of capacity tokens of which the first may be shorter."""
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens that a tokenizer's JSON file adds to its vocabulary: they are found in running text before it is split."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    odd = [t["content"] for t in added if t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if odd:
+        raise ValueError(f"added tokens that take in their surroundings: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int, id_col: str = "doc_id", text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
+    """PIECE rows: a document's ids and the end token, cut into pieces of capacity tokens of which the first may be shorter.
+
+    added: strings that are one token wherever they stand in a text.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -78,12 +95,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, ca
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {}).encode_to_numpy
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for key, text_ in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(text_, disallowed_special=()).astype("<u4"), end) if text_ else end
+                ids = np.append(encode(text_, allowed_special="all", disallowed_special=()).astype("<u4"), end) if text_ else end
                 first = (len(ids) - 1) % capacity + 1
                 for k, stop in enumerate(range(first, len(ids) + 1, capacity)):
                     start = max(0, stop - capacity) if k else 0
@@ -149,6 +166,8 @@ def pack(pieces: DataFrame, capacity: int, dealt: int = DEALT, max_rounds: int =
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    pieces = written(token_pieces(docs, vocabulary, pattern, end_id, capacity, id_col, text), "pieces")
+def pack_documents(
+    docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text: str = "text", added: dict[str, int] | None = None
+) -> DataFrame:
+    pieces = written(token_pieces(docs, vocabulary, pattern, end_id, capacity, id_col, text, added), "pieces")
     return pack(pieces, capacity).withColumnRenamed("id", id_col)

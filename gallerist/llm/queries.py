@@ -18,6 +18,12 @@ def tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """docs packed by byte_bpe_50k.json, whose vocabulary the ranks are, with its added tokens."""
+    path, pattern = tokenizer("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(docs, path, pattern, added=packing.added_tokens(tokenizer("byte_bpe_50k.json")[0]))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = line_dedup.strip_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     stats = [F.col(name)[n].alias(n) for n in ("n_lines", "n_removed", "n_runs", "longest_run")]
@@ -58,8 +64,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = tokenizer("byte_bpe_50k.tiktoken")  # the ranks of byte_bpe_50k.json
-    return packing.pack_documents(documents(spark, sf_dir), path, pattern)
+    return pack(documents(spark, sf_dir))
 
 
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

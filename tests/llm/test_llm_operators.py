@@ -281,7 +281,6 @@ def pieces_of(texts, capacity=1024):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = []
     for i, text in texts:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -307,12 +306,17 @@ def packed_well(rows, capacity=1024):
 @pytest.mark.parametrize("dealt", [100_000, 10])
 def test_packing(docs, empty, dealt):
     path = public.path("byte_bpe_50k.tiktoken")
-    pieces = packing.token_pieces(docs, path, public.PATTERN, 2, 1024)
+    marked = [(100, "a <|endoftext|> b"), (101, "<|endoftext|><|endoftext|>\n <|endoftext|"), (102, "x  <|endoftext|>  y"), (102, "another text")]
+    more = docs.sparkSession.createDataFrame(marked, "doc_id long, text string")
+    added = packing.added_tokens(public.path("byte_bpe_50k.json"))
+    pieces = packing.token_pieces(docs.select("doc_id", "text").union(more), path, public.PATTERN, 2, 1024, added=added)
     rows = packing.pack(pieces, 1024, dealt).collect()
-    assert sorted((r["id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == pieces_of([*enumerate(TEXTS), (5, TEXTS[5]), (15, TEXTS[15])])
+    assert sorted((r["id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == pieces_of([*enumerate(TEXTS), (5, TEXTS[5]), (15, TEXTS[15]), *marked])
     bound = packing.lower_bound(np.array([r["length"] for r in rows]), 1024)
     assert bound <= packed_well(rows) <= bound + (1 if dealt > 10 else 3)
     assert packing.pack_documents(empty, path, public.PATTERN).count() == 0
+    null_id = docs.sparkSession.createDataFrame([(None, "one text"), (None, None)], "doc_id long, text string")
+    assert sorted(r["length"] for r in packing.pack_documents(null_id, path, public.PATTERN).where("doc_id IS NULL").collect()) == [1, 3]
 
 
 # --- media --------------------------------------------------------------------------------------------------------
