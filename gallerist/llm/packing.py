@@ -3,7 +3,8 @@
 Pieces are dealt into partitions of bounded size. Each is packed by best fit decreasing, and a lower bound from dual
 feasible functions tells how many sequences its pieces need at least. A partition that meets its bound keeps its
 sequences, but for the least full one; one with a gap keeps only its full ones. What was not kept is exchanged: dealt
-anew into fewer partitions and packed again, until one partition holds the rest or a round has nothing to exchange.
+anew into fewer partitions and packed again, until one partition holds the rest, a round has nothing to exchange, or an
+exchange among the largest partitions allowed gains nothing more. So no task ever holds more than MOST_DEALT pieces.
 
 Null and empty texts have one piece, the end token. Repeated rows, also those of one id with different texts, are
 separate pieces, and rows with a null id have pieces with a null id; an empty table gives an empty result. Pieces of one
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ._common import written
 
-#: Pieces that one partition packs at a time, about.
-DEALT = 100_000
+#: Pieces that one partition packs at a time, about: at first, and at most once exchange stalls (some 100 MB).
+DEALT, MOST_DEALT = 100_000, 1_600_000
 PIECE = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -144,10 +145,10 @@ def pack(pieces: DataFrame, capacity: int, dealt: int = DEALT, max_rounds: int =
     full = pieces.where(F.col("length") == capacity).select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     full = full.withColumn("sequence_id", -1 - F.col("sequence_id"))
     rest, done = pieces.where(F.col("length") < capacity), [full]
-    count = rest.count()
+    count, stalled = rest.count(), False
     for number in range(max_rounds):
         parts = max(1, -(-count // dealt))
-        last = parts == 1 or number == max_rounds - 1
+        last = parts == 1 or stalled or number == max_rounds - 1
         dealt_out = rest.repartition(parts, F.xxhash64("id", "piece", F.lit(number))) if parts > 1 else rest.coalesce(1)
         packed = written(_round(dealt_out, capacity, number, last), "packed")
         done.append(packed.where("kept").select(*names, "sequence_id", "offset"))
@@ -158,7 +159,8 @@ def pack(pieces: DataFrame, capacity: int, dealt: int = DEALT, max_rounds: int =
         if not left:
             break
         if left > 0.9 * count:  # an exchange among as many partitions would not help: let fewer meet more
-            dealt *= 4
+            stalled = dealt >= MOST_DEALT
+            dealt = min(dealt * 4, max(dealt, MOST_DEALT))
         count = left
     out = done[0]
     for df in done[1:]:
