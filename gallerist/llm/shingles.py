@@ -48,6 +48,22 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64)), starts
 
 
+def word_places(data: bytes, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of a long text, worked on in parts of about size bytes that end in gaps."""
+    if len(data) <= size:
+        return word_hashes(data)
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        end = at + size
+        while end < len(data) and not _GAP[data[end]]:
+            end += 1
+        h, p = word_hashes(data[at:end])
+        hashes.append(h)
+        places.append(p + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingles of all texts, one text after the other, and how many each text has.
 

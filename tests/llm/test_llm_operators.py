@@ -163,6 +163,39 @@ def test_suffix_dedup(docs, empty, length, anchor, hot):
     assert suffix_dedup.remove_repeats(empty, length=length, anchor=anchor).count() == 0
 
 
+def passage_words_of(texts, n):
+    """How many words of each text are covered by runs of n words that stand in two places."""
+    words = [(t or "").encode().split() for t in texts]
+    counts = Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1))
+    out = []
+    for w in words:
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - n + 1):
+            if counts[tuple(w[k : k + n])] > 1:
+                gone[k : k + n] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_passages_of_300_and_of_450_bytes(spark, hot):
+    """What removal by 400 bytes leaves, the count of words tells; ids may be missing or stand for several texts."""
+    r = random.Random(31)
+    shorter, longer, few = (" ".join(r.choice(WORDS) for _ in range(n)) for n in (66, 100, 50))
+    assert len(shorter) < 390 and len(longer) > 450
+    texts = [f"{prose(600 + i, 30)} {p} {prose(700 + i, 30)}" for i, p in enumerate([shorter, shorter.replace(" ", "\n"), longer, longer, few, few])]
+    ids = [1, None, 1, None, 4, 5]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = sorted(tuple(x) for x in suffix_dedup.remove_repeats(df, hot=hot).select("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "doc_id").collect())
+    gone = passages_of(list(enumerate(texts)), 400)
+    want = sorted((*gone[i], w, ids[i]) for i, w in enumerate(passage_words_of(texts, 51)))
+    assert got == want and [g[1] > 0 for g in gone.values()] == [False, False, True, True, False, False]
+    assert [w > 50 for w in passage_words_of(texts, 51)] == [True] * 4 + [False] * 2
+    left = sorted(x["text"] for x in suffix_dedup.strip_passages(df, hot=hot).collect())
+    # bytes before a passage that happen to agree go with it, so a word of one letter may
+    assert len(left) == 6 and all(len(x.split()) in ((110,) if x in texts[4:] else (59, 60)) for x in left)
+
+
 def test_strip_repeats(docs):
     out = suffix_dedup.strip_repeats(docs)
     assert out.columns == docs.columns
@@ -188,7 +221,8 @@ def test_pipeline_strips_passages_of_51_words(spark, hot):
 
 def test_long_text_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
-    texts = [[t] for t in [prose(11, 400).encode() + b"#" + prose(12, 80).encode(), prose(12, 80).encode() * 3]]
+    texts = [[np.frombuffer(t, np.uint8)] for t in [prose(11, 400).encode() + b"#" + prose(12, 80).encode(), prose(12, 80).encode() * 3]]
+    texts += [[suffix_dedup.word_places(prose(11, 2000).encode())[0]]]
     for t in texts:
         found = {}
         for _, shift, part in suffix_dedup.blocks(t, 60):
@@ -429,7 +463,10 @@ def test_query_has_a_row_for_each_document(spark, name):
 def test_op3_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in entry.queries()["op3_suffix_dedup"](spark, SF).collect()}
-    assert got == passages_of([(r["doc_id"], r["text"]) for r in docs.collect()], 400)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert got == passages_of(rows, 400)
+    words = {r["doc_id"]: r["n_passage_words"] for r in entry.queries()["op3_suffix_dedup"](spark, SF).collect()}
+    assert words == dict(zip([i for i, _ in rows], passage_words_of([t for _, t in rows], 51), strict=True))
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
