@@ -253,13 +253,26 @@ def _content_rows(kinds: tuple[Kind, ...]):
     return run
 
 
+def _digits(parts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """(parts of numbers as parts of bytes, bytes for each): the digits of each number's rank, so that the sort scans 256 buckets."""
+    every, ranks = np.unique(np.concatenate(parts), return_inverse=True)
+    wide = max(1, -(-(len(every) - 1).bit_length() // 8))
+    digits = ranks.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - wide :].ravel()
+    return np.split(digits, np.cumsum([wide * len(p) for p in parts])[:-1]), wide
+
+
 def repeated_windows(parts: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each part, the places of its windows that start anywhere else in the parts."""
+    """For each part, of bytes or of numbers, the places of its windows that start anywhere else in the parts."""
+    wide = 1
+    if parts[0].dtype != np.uint8:
+        parts, wide = _digits(parts)
+    length *= wide
     order, s = two_stage_suffix_array(parts, length)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     starts = np.cumsum(lengths + 1) - lengths - 1
     owner = np.repeat(np.arange(len(parts)), lengths + 1)
-    window = np.arange(len(s)) - starts[owner] + length <= lengths[owner]
+    place = np.arange(len(s)) - starts[owner]
+    window = (place + length <= lengths[owner]) & (place % wide == 0)
     order = order[window[order]]
     met = common_prefixes(s, order[:-1], order[1:], length) >= length if len(order) > 1 else np.zeros(0, bool)
     found = np.zeros(len(s), bool)
@@ -267,7 +280,7 @@ def repeated_windows(parts: list[np.ndarray], length: int) -> list[np.ndarray]:
     found[order[1:][met]] = True
     at = np.flatnonzero(found)
     cuts = np.searchsorted(owner[at], np.arange(len(parts) + 1))
-    return [at[x:y] - starts[i] for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    return [(at[x:y] - starts[i]) // wide for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +291,7 @@ def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]
 
 
-def _sorted_rows(kinds: tuple[Kind, ...], chunk: int = 256_000):
+def _sorted_rows(kinds: tuple[Kind, ...], chunk: int = 1 << 20):
     """Suffix-sorts whole buckets of one kind together, about chunk bytes at a time; rows come sorted by kind and bucket."""
 
     def run(batches) -> Iterator:

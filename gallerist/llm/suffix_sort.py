@@ -1,4 +1,4 @@
-"""Two-stage suffix sorting of byte or number sequences, and common prefixes of neighbours, to a bounded depth.
+"""Two-stage suffix sorting of bytes, and common prefixes of neighbours, to a bounded depth.
 
 Stage one sorts directly only the suffixes that are smaller than their successors. Stage two induces the others by one
 scan over the buckets of first bytes in rising order: a suffix that is larger than its successor stands in its bucket
@@ -15,7 +15,7 @@ def smaller_than_successor(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last suffix, of one symbol, is larger than the empty one."""
     n = len(s)
     step = np.zeros(n, np.int8)
-    step[:-1] = (s[1:] > s[:-1]).astype(np.int8) - (s[1:] < s[:-1])
+    step[:-1] = np.sign(s[1:].astype(np.int16) - s[:-1].astype(np.int16))
     step[-1:] = -1
     # a run of equal symbols takes the answer of its last place
     known = np.where(step != 0, np.arange(n), n)
@@ -24,13 +24,12 @@ def smaller_than_successor(s: np.ndarray) -> np.ndarray:
 
 
 def _sorted_directly(s: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-    """The places in first by the depth symbols from each on: by the first eight bytes' worth, then within each group of equals.
+    """The places in first by the depth symbols from each on: by eight symbols at once, then within each group of equals.
 
     So only one group's strings are held at a time.
     """
-    top = s.max(initial=0)
-    scale = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4  # bytes of a symbol
-    data = s.astype(f">u{scale}").tobytes()
+    scale = 2 if s.max(initial=0) > 255 else 1  # bytes 0 to 254 fit one byte each when raised by one
+    data = s.astype(">u2").tobytes() if scale == 2 else s.astype(np.uint8).tobytes()
     ahead = 8 // scale
     padded = np.concatenate([s, np.zeros(ahead, s.dtype)]).astype(np.uint64)
     key = np.zeros(len(first), np.uint64)
@@ -49,17 +48,15 @@ def _sorted_directly(s: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray
 
 
 def two_stage_suffix_array(parts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, symbols): the parts, each closed by a symbol below all others, and their suffixes sorted by depth symbols.
+    """(order, symbols): the parts, each closed by a symbol below all bytes, and their suffixes sorted by depth symbols.
 
-    Suffixes that agree on depth symbols stand together. Bytes are symbols themselves, other numbers by their rank.
+    Suffixes that agree on depth symbols stand together.
     """
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    every = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-    every = every.astype(np.uint32) if every.dtype == np.uint8 else np.unique(every, return_inverse=True)[1].astype(np.uint32)
-    s = np.zeros(len(every) + len(parts), np.uint16 if every.max(initial=0) < 65_534 else np.uint32)
+    s = np.zeros(int(lengths.sum()) + len(parts), np.uint16)
     closed = np.zeros(len(s), bool)
     closed[np.cumsum(lengths + 1) - 1] = True
-    s[~closed] = every + 1
+    s[~closed] = (np.concatenate(parts) if parts else s[:0]).astype(np.uint16) + 1
     small = smaller_than_successor(s)
     first = np.flatnonzero(small)
     direct = _sorted_directly(s, first, depth)
@@ -100,10 +97,9 @@ def two_stage_suffix_array(parts: list[np.ndarray], depth: int) -> tuple[np.ndar
 
 def common_prefixes(s: np.ndarray, left: np.ndarray, right: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at left and right, at most depth."""
-    per = 8 // s.itemsize
-    padded = np.concatenate([s, np.full(8, np.iinfo(s.dtype).max, s.dtype)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, per)
-    words = np.ascontiguousarray(words).view(np.uint64).ravel()  # as many symbols from each place on
+    padded = np.concatenate([s.astype(np.uint16), np.full(8, 0xFFFF, np.uint16)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 4)
+    words = np.ascontiguousarray(words).view(np.uint64).ravel()  # four symbols from each place on
     out = np.zeros(len(left), np.int64)
     open_ = np.arange(len(left))
     at = 0
@@ -113,12 +109,12 @@ def common_prefixes(s: np.ndarray, left: np.ndarray, right: np.ndarray, depth: i
         i, j, open_ = i[inside], j[inside], open_[inside]
         equal = words[i] == words[j]
         i, j, parted = i[~equal], j[~equal], open_[~equal]
-        for k in range(per - 1):
+        for k in range(3):
             step = padded[i + k] == padded[j + k]
             step &= np.maximum(i, j) + k < len(s)
             i, j, parted = i[step], j[step], parted[step]
             out[parted] += 1
         open_ = open_[equal]
-        at += per
+        at += 4
         out[open_] = at
     return np.minimum(out, depth)
