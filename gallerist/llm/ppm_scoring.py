@@ -4,25 +4,29 @@ Gathering: every training text, closed by a mark that no UTF-8 text holds, adds
 words to counts over the whole corpus. The byte strings give the trie of contexts of 0 to ORDER bytes. All contexts are
 kept, so the model grows with the training text.
 
-Scoring: a byte is predicted by the longest context before it that was met. Escape is estimated by method D (half an
-occurrence of each symbol seen is set aside for it), and after an escape the symbols of the longer context are excluded,
-down to all bytes alike. So each (ORDER + 1)-byte string has one code length. The strings of all documents, those not
-learnt from too, are dealt by the two bytes before the last: a task then has every longer context that it needs, and
-shorter ones are a table of 65,536 counts at most. The code lengths are written; strings as frequent as MAX_GRAMS
-strings are get theirs in place, the others by a join, so none is left out.
+Scoring: a byte is predicted by the longest context before it that was met; counts of shorter contexts tell in how many
+longer ones a byte was met (update exclusion). The mass of escape is estimated from what each occurrence in a context
+would have met had it been left out: contexts are classed by their last two bytes, length, total and number of symbols,
+and a class with little evidence leans on method D (half an occurrence of each symbol). After an escape the symbols of the
+longer context are excluded, down to all bytes alike. So each (ORDER + 1)-byte string has one code length. The strings of
+all documents, those not learnt from too, are dealt by the two bytes before the last: a task then has every longer
+context that it needs, whole groups at a time, and shorter ones are a table of 65,536 counts at most. The code lengths are
+written; strings as frequent as MAX_GRAMS strings are get theirs in place, the others by a join, so none is left out.
 
 Word counts for the add-one base score: words with a count of at least a threshold that MAX_WORDS words pass are looked
 up in place, the others by a join, so none is left out. Words are known by a 64-bit hash.
 
-Null and empty texts consist of the end alone. Repeated rows count and are scored each. Without training rows all
-contexts are empty: bytes are alike and no word is known.
+Null and empty texts consist of the end alone. Repeated rows count and are scored each; rows of one id with different
+texts are scored by their own, and rows with a null id are learnt from and come out with a null id. Without training rows
+all contexts are empty: bytes are alike and no word is known. An empty table gives an empty result. Ties of frequency at a
+bound fall on one side together. Only the id and the text are read, so other columns may have any names. A long text is
+worked on whole, in some 20 times its size.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,8 +35,9 @@ from pyspark.sql import functions as F
 from ._common import written
 from .shingles import lowered, word_hashes
 
-ORDER = 5
-MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 19  # of those looked up in place
+ORDER = 6
+MAX_GRAMS, MAX_WORDS = 1 << 21, 1 << 19  # of those looked up in place
+LEAN = 16  # occurrences that method D counts for in a class of contexts
 MARK = 0xFF
 _END_WORD = -(1 << 62) + 1  # stands for the end among the hashes of words
 _WORD, _GRAM = 0, 1
@@ -118,135 +123,100 @@ def _threshold(counts: DataFrame, most: int) -> int:
     return int(least)
 
 
-@dataclass
-class Trie:
-    """A small model as a whole, by which code_lengths() is tested.
+def _class(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """A number below 1024 for contexts of about as many occurrences, of about as many symbols; small numbers exactly."""
+    step = lambda x: np.where(x < 8, x, 8 + np.minimum(np.floor(2 * np.log2(np.maximum(x, 8) / 8)), 23)).astype(np.int64)
+    return step(total) * 32 + step(kinds)
 
-    Entries (length of context, context, byte, count), a context's number being its bytes.
-    """
 
-    order: int
-    length: np.ndarray
-    context: np.ndarray
-    symbol: np.ndarray
-    count: np.ndarray
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """(next context, log10 of the probability) for each context, the empty one first, and byte."""
-        order = self.order
-        keys = [np.unique(self.context[self.length == k]) for k in range(order + 1)]
-        keys[0] = np.zeros(1, np.int64)
-        first = np.cumsum([0, *map(len, keys)])
-        total = int(first[-1])
-
-        def place(k: int, key: np.ndarray) -> np.ndarray:
-            """Numbers of contexts of k bytes, or -1."""
-            if not len(keys[k]):
-                return np.full(key.shape, -1)
-            at = np.minimum(np.searchsorted(keys[k], key), len(keys[k]) - 1)
-            return np.where(keys[k][at] == key, first[k] + at, -1)
-
-        counts = np.zeros((total, 256), np.float32)
-        for k in range(order + 1):
-            mine = self.length == k
-            counts[place(k, self.context[mine]), self.symbol[mine]] = self.count[mine]
-        step = np.zeros((total, 256), np.uint16)
-        log_p = np.zeros((total, 256), np.float32)
-        escaped = np.zeros((total, 256), np.float32)  # after an escape from the context
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for k in range(order + 1):
-                rows = np.arange(first[k], first[k + 1])
-                for part in np.array_split(rows, max(1, len(rows) // 4096)):
-                    if not len(part):
-                        continue
-                    c = counts[part]
-                    seen, n, d = c > 0, c.sum(axis=1, dtype=np.float64), (c > 0).sum(axis=1)
-                    if k == 0:
-                        escaped[part] = -np.log10(np.maximum(256 - d, 1))[:, None]
-                    else:
-                        up = place(k - 1, keys[k][part - first[k]] & ((1 << 8 * (k - 1)) - 1))
-                        above = counts[up]
-                        left = (above.sum(axis=1, dtype=np.float64) - np.where(seen, above, 0).sum(axis=1, dtype=np.float64))[:, None]
-                        new = ((above > 0).sum(axis=1) - d)[:, None]
-                        further = np.where(new > 0, np.log10(new / 2 / left), 0.0)
-                        escaped[part] = np.where(above > 0, np.log10((above - 0.5) / left), further + escaped[up])
-                    escape = np.where(d > 0, np.log10(d / 2 / n), 0.0)[:, None]
-                    log_p[part] = np.where(seen, np.log10((c - 0.5) / n[:, None]), escape + escaped[part])
-                    longer = keys[k][part - first[k]][:, None] << 8 | np.arange(256)
-                    to = np.full(longer.shape, -1)
-                    for size in range(min(k + 1, order), 0, -1):
-                        open_ = to < 0
-                        to[open_] = place(size, longer[open_] & ((1 << 8 * size) - 1))
-                    step[part] = np.maximum(to, 0)
-        return step, log_p
+def _short_contexts(pairs: np.ndarray) -> np.ndarray:
+    """(256, 256) probabilities of a byte after the one before it; pairs: in how many longer contexts each was met."""
+    pairs = pairs.astype(np.float64)
+    single = (pairs > 0).sum(axis=0).astype(np.float64)
+    kinds, n = (single > 0).sum(), single.sum()
+    none = np.where(single > 0, (single - 0.5) / n, kinds / 2 / n / max(256 - kinds, 1)) if n else np.full(256, 1 / 256)
+    total, kinds = pairs.sum(axis=1, keepdims=True), (pairs > 0).sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        escape = kinds / 2 / total
+        left = 1 - ((pairs > 0) * none).sum(axis=1, keepdims=True)
+        one = np.where(pairs > 0, (1 - escape) * pairs / total, escape * none / left)
+    return np.where(total > 0, one, none)
 
 
 def code_lengths(key: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
     """log10 of the probability of the last byte of each distinct string after the bytes before it.
 
     n: how often each was met in training; with a string, all that share the two bytes before its last must be here.
-    pairs: (256, 256) counts of byte and byte before it over all training texts.
+    pairs: (256, 256), byte before and byte: the number of bytes met before both in training.
     """
-    key, n = key.astype(np.int64), n.astype(np.float64)
-    symbol, before = key & 255, key >> 8 & 255
+    entries, counts = {order: key.astype(np.int64)}, {order: n.astype(np.float64)}
+    for k in range(order - 1, 1, -1):
+        entries[k], at = np.unique(entries[k + 1] & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        counts[k] = np.bincount(at, weights=counts[k + 1] > 0, minlength=len(entries[k]))
+    out = None
     with np.errstate(divide="ignore", invalid="ignore"):
-        single, pairs = pairs.sum(axis=0).astype(np.float64), pairs.astype(np.float64)
-        count, total, kinds = single[symbol], np.full(len(key), single.sum()), np.full(len(key), (single > 0).sum())
-        escaped = -np.log10(np.maximum(256 - kinds, 1))
-        entries = None
-        for k in range(order + 1):
-            if k:
-                fewer, above, below_total = kinds, count, total
-                if k == 1:
-                    seen = (pairs > 0) * single
-                    count, total, kinds, taken = pairs[before, symbol], pairs.sum(axis=1)[before], (pairs > 0).sum(axis=1)[before], seen.sum(axis=1)[before]
-                else:
-                    entry, at = np.unique(key & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-                    met = np.bincount(at, weights=n, minlength=len(entry))
-                    _, owner = np.unique(entry >> 8, return_inverse=True)
-                    shorter = pairs[entry >> 8 & 255, entry & 255] if entries is None else entries[1][np.searchsorted(entries[0], entry & ((1 << 8 * k) - 1))]
-                    taken = np.bincount(owner, weights=np.where(met > 0, shorter, 0))[owner][at]
-                    count, total, kinds = met[at], np.bincount(owner, weights=met)[owner][at], np.bincount(owner, weights=met > 0)[owner][at]
-                    entries = entry, met
-                left, new = below_total - taken, fewer - kinds
-                escaped = np.where(above > 0, np.log10((above - 0.5) / left), np.where(new > 0, np.log10(new / 2 / left), 0.0) + escaped)
-            here = np.where(count > 0, np.log10((count - 0.5) / total), np.where(kinds > 0, np.log10(kinds / 2 / total), 0.0) + escaped)
-            out = here if not k else np.where(total > 0, here, out)
+        for k in range(2, order + 1):
+            e, c = entries[k], counts[k]
+            low = np.log10(_short_contexts(pairs)[e >> 8 & 255, e & 255]) if k == 2 else out[np.searchsorted(entries[k - 1], e & ((1 << 8 * k) - 1))]
+            _, owner = np.unique(e >> 8, return_inverse=True)
+            total, kinds = np.bincount(owner, weights=c)[owner], np.bincount(owner, weights=c > 0)[owner]
+            # what the class of a context met when each of its occurrences was left out: the symbol was new, or known
+            group = (e >> 8 & 0xFFFF) << 10
+            classes, mine = np.unique(group | _class(total, kinds), return_inverse=True)
+
+            def met(some: np.ndarray, after: np.ndarray, weight: np.ndarray, group=group, classes=classes) -> np.ndarray:
+                at = np.minimum(np.searchsorted(classes, group[some] | after), len(classes) - 1)
+                has = classes[at] == group[some] | after
+                return np.bincount(at[has], weights=weight[has], minlength=len(classes))
+
+            once, more = c == 1, c > 1
+            new = met(once, _class(total[once] - 1, kinds[once] - 1), c[once])[mine]
+            known = met(more, _class(total[more] - 1, kinds[more]), c[more])[mine]
+            escape = (new + LEAN * kinds / 2 / total) / (new + known + LEAN)
+            taken = np.bincount(owner, weights=np.where(c > 0, 10**low, 0))[owner]
+            after_escape = np.log10(escape) + low - np.log10(np.maximum(1 - taken, 1e-9))
+            out = np.where(total > 0, np.where(c > 0, np.log10((1 - escape) * c / total), after_escape), low)
     return out
 
 
-def coded(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, places, log_p) for every row of grams: (key, n, places)."""
+def coded(grams: DataFrame, order: int = ORDER, at_once: int = 250_000) -> DataFrame:
+    """(key, places, log_p) for every row of grams: (key, n, places); a task holds about at_once rows, or those of two bytes."""
     pairs = np.zeros((256, 256), np.int64)
-    last = grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    triples = grams.where("n > 0").select(F.col("key").bitwiseAND(0xFFFFFF).alias("triple")).distinct()
+    last = triples.groupBy(F.col("triple").bitwiseAND(0xFFFF).alias("pair")).agg(F.count("*").alias("n")).toArrow()
     pairs.ravel()[last["pair"].to_numpy()] = last["n"].to_numpy()
     model = grams.sparkSession.sparkContext.broadcast(pickle.dumps(pairs, protocol=5))
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held)
-            key = t["key"].to_numpy()
-            log_p = code_lengths(key, t["n"].to_numpy(), pickle.loads(model.value), order)
+        table = pickle.loads(model.value)
+
+        def lengths(t) -> Iterator:
+            log_p = code_lengths(t["key"].to_numpy(), t["n"].to_numpy(), table, order)
             yield from pa.table({"key": t["key"], "places": t["places"], "log_p": pa.array(log_p)}).combine_chunks().to_batches(max_chunksize=100_000)
 
-    dealt = grams.select("key", "n", "places").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))
+        held, size, enough = [], 0, at_once
+        for batch in batches:
+            if size >= enough:  # rows come sorted by pair: all but the last pair's are whole
+                t = pa.Table.from_batches(held).combine_chunks()
+                pair = t["pair"].to_numpy()
+                cut = int(np.searchsorted(pair, pair[-1]))
+                if cut:
+                    yield from lengths(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                size = t.num_rows - cut
+                enough = max(at_once, 2 * size)
+            held.append(batch)
+            size += batch.num_rows
+        if size:
+            yield from lengths(pa.Table.from_batches(held).combine_chunks())
+
+    pair = F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("pair")
+    dealt = grams.select(pair, "key", "n", "places").repartition("pair").sortWithinPartitions("pair")
     return dealt.mapInArrow(run, "key long, places long, log_p double")
 
 
-def score_texts(texts: list[bytes], order: int, step: np.ndarray, log_p: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each text and its end."""
-    key, starts = _grams(texts, order)
-    state = np.zeros(len(key), np.int64)
-    flat = step.ravel()
-    for k in range(order, 0, -1):
-        state = flat[(state << 8) + (key >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)].astype(np.int64)
-    p = log_p.ravel()[(state << 8) + (key & np.uint64(255)).astype(np.int64)]
-    return np.add.reduceat(p.astype(np.float64), starts) if len(texts) else np.zeros(0)
-
-
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, max_grams: int = MAX_GRAMS, max_words: int = MAX_WORDS) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs; held_out, over the column id, is not learnt from."""
     spark = docs.sparkSession
@@ -261,7 +231,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     often = grams.where(F.col("places") >= frequent).select("key", "log_p").toArrow()
     by = np.argsort(often["key"].to_numpy())
     gram_keys = often["key"].to_numpy().view(np.uint64)[by]
-    gram_codes = often["log_p"].to_numpy()[by]
+    gram_codes = often["log_p"].to_numpy()[by].astype(np.float32)
 
     least = _threshold(words, max_words)
     top = words.where(F.col("n") >= least).toArrow()
@@ -290,7 +260,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
                 once, which = np.unique(string, return_inverse=True)
                 at = np.minimum(np.searchsorted(strings, once), len(strings) - 1) if len(strings) else np.zeros(len(once), np.int64)
                 held = strings[at] == once if len(strings) else np.zeros(len(once), bool)
-                scores = np.add.reduceat((np.where(held, codes[at], 0.0) if len(strings) else np.zeros(len(once)))[which], first)
+                scores = np.add.reduceat((np.where(held, codes[at].astype(np.float64), 0.0) if len(strings) else np.zeros(len(once)))[which], first)
                 other = np.flatnonzero(~held[which])
                 other_cut = np.searchsorted(other, np.append(first, len(string))).astype(np.int32)
                 hashes, starts = word_hashes(b"\n".join(part))

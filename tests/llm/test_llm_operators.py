@@ -16,6 +16,8 @@ import __spark_entry__ as entry
 from gallerist.llm import bpe, line_dedup, near_dedup, packing, ppm_scoring, quality_rules, suffix_dedup, tiff, token_counts, toxicity
 from gallerist.llm._common import id_fold
 
+from ppm_definition import Model
+
 public = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
 smallest = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -376,8 +378,10 @@ def test_media(docs, empty):
 
 def test_ppm(docs, empty):
     held_out = id_fold("id", 7) == 2
+    learnt = [(t or "").encode().lower() for i, t in [*enumerate(TEXTS), (5, TEXTS[5]), (15, TEXTS[15])] if zlib.crc32(str(i).encode()) % 7 != 2]
+    model = Model(learnt, ppm_scoring.ORDER)
     for most in (1 << 19, 3):  # with few words looked up in place, the join gives the rest
-        got = each(ppm_scoring.score(docs, held_out, max_words=most), ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        got = each(ppm_scoring.score(docs, held_out, max_words=most, max_grams=10 * most), ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in enumerate(TEXTS)}
         out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
         counts = Counter(w for i, ws in tokens.items() if not out[i] for w in ws * (2 if i in (5, 15) else 1))
@@ -385,26 +389,39 @@ def test_ppm(docs, empty):
         for i, ws in tokens.items():
             assert got[i][:4] == (out[i], len(ws), sum(counts[w] > 0 for w in ws), total)
             assert got[i][4] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in ws))
-            assert got[i][5] < 0
+            assert got[i][5] == pytest.approx(model.score((TEXTS[i] or "").encode().lower()), rel=1e-5)
     assert ppm_scoring.score(empty, held_out).count() == 0
     assert ppm_scoring.score(docs.where("doc_id = -1").union(docs.where("doc_id = 12")), F.lit(True)).first()["n_known"] == 0
 
 
-def test_ppm_keeps_all_contexts(spark):
-    """More contexts than any fixed table: each string of a training text is predicted from its own five bytes."""
+def test_ppm_keeps_all_contexts(spark, monkeypatch):
+    """More contexts than any fixed table, a few rows at a time, and texts without an id or with one that others have."""
     r = random.Random(8)
     texts = {i: "".join(r.choice("abcdefghijklmnopqrstuvwxyz 0123456789") for _ in range(2000)) for i in range(40)}
-    data = {i: b"\xff" * 5 + t.encode() + b"\xff" for i, t in texts.items()}
-    strings = Counter(d[k : k + 6] for d in data.values() for k in range(len(d) - 5))
-    contexts = Counter()
-    for x, n in strings.items():
-        contexts[x[:5]] += n
-    assert len(contexts) > 65_536
-    want = {i: sum(math.log10((strings[d[k : k + 6]] - 0.5) / contexts[d[k : k + 5]]) for k in range(len(d) - 5)) for i, d in data.items()}
-    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in texts.items()], DOCS)
+    model = Model([t.encode() for t in texts.values()], ppm_scoring.ORDER)
+    assert len(model.symbols[ppm_scoring.ORDER]) > 65_536
+    want = sorted(model.score(t.encode()) for t in texts.values())
+    df = spark.createDataFrame([(None if i < 2 else i % 20, t, "", "", 0) for i, t in texts.items()], DOCS)
     for most in (1 << 20, 50):  # with few strings looked up in place, the join gives the rest
-        got = {x["doc_id"]: x["score"] for x in ppm_scoring.score(df, F.lit(False), max_grams=most).collect()}
-        assert got == pytest.approx(want)
+        got = [x["score"] for x in ppm_scoring.score(df, F.lit(False), max_grams=most).collect()]
+        assert sorted(got) == pytest.approx(want, rel=1e-5)
+        grams = spark.createDataFrame([(1, 1, 1)], "key long, n long, places long")
+        assert ppm_scoring.coded(grams.limit(0)).count() == 0
+
+
+def test_ppm_codes_in_small_groups(spark):
+    learnt = [prose(80 + i, 60).encode() for i in range(5)]
+    key, n = np.unique(ppm_scoring._grams(learnt, 6)[0], return_counts=True)
+    grams = spark.createDataFrame([(int(k), int(c), int(c)) for k, c in zip(key, n, strict=True)], "key long, n long, places long")
+    one, many = ({r["key"]: r["log_p"] for r in ppm_scoring.coded(grams, at_once=size).collect()} for size in (1, 10**6))
+    assert one == pytest.approx(many) and len(one) == len(key)
+
+
+@smallest
+def test_op6_tells_more_than_the_words(spark):
+    """Bits a byte on held-out rows: near those of the add-one word model, which needs no code for words it never met."""
+    rows = [r for r in entry.queries()["op6_ppm_scoring"](spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score"), F.sum("base_score")).collect()]
+    assert rows[0][0] > rows[0][1] * 0.95
 
 
 def test_toxicity(spark, docs):

@@ -14,6 +14,8 @@ from gallerist.llm import bpe, near_dedup, packing, ppm_scoring, suffix_dedup, t
 from gallerist.llm.shingles import lowered, shingle_sets, word_hashes
 from gallerist.llm.suffix_sort import common_prefixes, two_stage_suffix_array
 
+from ppm_definition import Model
+
 public = pytest.importorskip("public_tokenizers")
 
 
@@ -195,74 +197,32 @@ def test_unigram_trie():
         assert trie.one(r)[0] == best(r)
 
 
-def test_ppm_against_its_definition():
-    order, raw = 3, [lowered(t) for t in random_texts(2, 30, "abcd é")]
-    key, starts = ppm_scoring._grams(raw, order)
-    padded = [b"\xff" * order + t + b"\xff" for t in raw]
-    assert key.tolist() == [int.from_bytes(d[i : i + order + 1], "big") for d in padded for i in range(len(d) - order)]
-    entries = Counter()
-    for k in key.tolist():
-        b = k.to_bytes(order + 1, "big")
-        for n in range(order + 1):
-            entries[n, int.from_bytes(b[order - n : order], "big"), b[-1]] += 1
-    total = Counter()
-    for (n, c, _), count in entries.items():
-        total[n, c] += count
-    kept = [(n, c, s, count) for (n, c, s), count in entries.items() if n == 0 or total[n, c] >= 3]
-    step, log_p = ppm_scoring.Trie(order, *(np.array(x, np.int64) for x in zip(*kept, strict=True))).tables()
-    assert (10.0 ** log_p.astype(float)).sum(axis=1) == pytest.approx(np.ones(len(log_p)), abs=1e-5)
-    symbols = defaultdict(dict)
-    for n, c, s, count in kept:
-        symbols[n, c][s] = count
-
-    def definition(t):
-        d, out = b"\xff" * order + t + b"\xff", 0.0
-        for i in range(order, len(d)):
-            out_of: set = set()
-            for n in range(order, -1, -1):
-                seen = {s: c for s, c in symbols.get((n, int.from_bytes(d[i - n : i], "big")), {}).items() if s not in out_of}
-                if d[i] in seen:
-                    out += math.log10((seen[d[i]] - 0.5) / sum(seen.values()))
-                    break
-                if seen:
-                    out += math.log10(len(seen) / 2 / sum(seen.values()))
-                out_of |= set(seen)
-            else:
-                out -= math.log10(256 - len(out_of))
-        return out
-
-    tests = [*raw, b"zzz abqcd", b"\x01\x02", b""]
-    assert ppm_scoring.score_texts(tests, order, step, log_p).tolist() == pytest.approx([definition(t) for t in tests], abs=1e-4)
-
-
-@pytest.mark.parametrize("order", [2, 3, 5])
-def test_code_lengths_as_the_whole_model(order):
+@pytest.mark.parametrize("order", [2, 3, 6])
+def test_code_lengths_against_the_definition(order):
     learnt, others = ([lowered(t) for t in random_texts(seed, 40, "abcd é\n")] for seed in (3, 4))
-    others.append(b"zz\x01ab")
-    key, n = np.unique(ppm_scoring._grams(learnt, order)[0], return_counts=True)
-    entries = Counter()
-    for k, count in zip(key.tolist(), n.tolist(), strict=True):
-        for size in range(order + 1):
-            entries[size, (k >> 8) & ((1 << 8 * size) - 1), k & 255] += count
-    step, log_p = ppm_scoring.Trie(order, *(np.array(x, np.int64) for x in zip(*[(*e, c) for e, c in entries.items()], strict=True))).tables()
+    learnt += learnt[:5] * 3
+    others += [b"zz\x01ab", b""]
+    grams, starts = ppm_scoring._grams(learnt, order)
+    padded = [b"\xff" * order + t + b"\xff" for t in learnt]
+    assert grams.tolist() == [int.from_bytes(d[i : i + order + 1], "big") for d in padded for i in range(len(d) - order)]
+    key, n = np.unique(grams, return_counts=True)
     pairs = np.zeros((256, 256), np.int64)
-    np.add.at(pairs, ((key >> np.uint64(8) & np.uint64(255)).astype(int), (key & np.uint64(255)).astype(int)), n)
-    every = np.union1d(key, ppm_scoring._grams(others, order)[0])
+    triples = np.unique(key & np.uint64(0xFFFFFF)).astype(np.int64)
+    np.add.at(pairs, (triples >> 8 & 255, triples & 255), 1)
+    context = int(key[len(key) // 2]) >> 8 << 8  # all bytes after one context
+    every = np.unique(np.concatenate([key, ppm_scoring._grams(others, order)[0], np.arange(context, context + 256, dtype=np.uint64)]))
     counts = np.zeros(len(every), np.int64)
     counts[np.searchsorted(every, key)] = n
     codes = ppm_scoring.code_lengths(every, counts, pairs, order)
+    at = np.searchsorted(every, np.uint64(context))
+    assert (10 ** codes[at : at + 256]).sum() == pytest.approx(1)
+    model = Model(learnt, order)
     for t in learnt + others:
         got = codes[np.searchsorted(every, ppm_scoring._grams([t], order)[0])].sum()
-        assert got == pytest.approx(ppm_scoring.score_texts([t], order, step, log_p)[0], abs=1e-3)
+        assert got == pytest.approx(model.score(t))
     assert ppm_scoring.code_lengths(every, counts * 0, pairs * 0, order) == pytest.approx(np.full(len(every), -math.log10(256)))
 
 
-def test_empty_ppm_model():
-    none = np.zeros(0, np.int64)
-    step, log_p = ppm_scoring.Trie(2, none, none, none, none).tables()
-    assert ppm_scoring.score_texts([b"", b"ab"], 2, step, log_p).tolist() == pytest.approx([-math.log10(256), -3 * math.log10(256)], abs=1e-5)
-
-
 def test_packing():
     rng = np.random.default_rng(0)
     for n in (1, 5, 300):
