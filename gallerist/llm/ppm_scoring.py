@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ._common import written
 from .shingles import lowered, word_hashes
 
-ORDER = 6
-MAX_GRAMS, MAX_WORDS = 1 << 21, 1 << 19  # of those looked up in place
+ORDER = 5
+MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 19  # of those looked up in place
 LEAN = 16  # occurrences that method D counts for in a class of contexts
 MARK = 0xFF
 _END_WORD = -(1 << 62) + 1  # stands for the end among the hashes of words
@@ -89,7 +89,8 @@ def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
             every = [lowered(x) for x in batch.column("text").to_pylist()]
             for learnt in (True, False):
                 texts = [every[i] for i in np.flatnonzero(out != learnt).tolist()]
-                grams, words, s = [], [(np.array([_END_WORD], np.int64).view(np.uint64), np.array([len(texts)]))], 0
+                ends = (np.array([_END_WORD], np.int64).view(np.uint64), np.array([len(texts)]))
+                grams, words, s, since = [], [ends], 0, 0
                 while s < len(texts):
                     e, size = s, 0
                     while e < len(texts) and size < 1_000_000:
@@ -98,11 +99,12 @@ def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
                     grams.append(np.unique(_grams(texts[s:e], order)[0], return_counts=True))
                     if learnt:
                         words.append(np.unique(word_hashes(b"\n".join(texts[s:e]))[0], return_counts=True))
-                    s = e
-                if texts:
-                    if learnt:
-                        yield rows(_WORD, _tally(words), True)
-                    yield rows(_GRAM, _tally(grams), learnt)
+                    s, since = e, since + size
+                    if since >= 8_000_000 or s == len(texts):  # so that what is held follows this and not the batch
+                        if learnt:
+                            yield rows(_WORD, _tally(words), True)
+                        yield rows(_GRAM, _tally(grams), learnt)
+                        grams, words, since = [], [(ends[0][:0], ends[1][:0])], 0
 
     found = docs.select("held_out", F.col(text).alias("text")).mapInArrow(run, "kind int, key long, n long, places long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
