@@ -1,18 +1,24 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posterior labels.
 
-1. Terms (words and their first 4 to 9 bytes) are counted in toxic and clean training rows, up to MAX_LABELLED of them.
-2. Voters fire on a text or abstain: seed lexicons of four languages, the terms that tell the classes apart best, each
-   one voter, and patterns of punctuation, case and address.
-3. The label model: sums of the votes and of their products over all documents give each voter's covariance with each
-   other. The covariance of conditionally independent voters is of rank one in their class differences; the labels are
-   one voter more, which anchors the sign. Pairs that the fit leaves with a large residue are correlated, and a voter's
-   weight shrinks by the correlations it has. The posterior of a text follows from the weighted log odds of its votes.
-4. A logistic regression over the counted terms learns the posterior labels of the training rows and scores every text; its bias is set so that
-   the boundary that parts the training rows best has the score THRESHOLD.
-
-Bounds: MAX_LABELLED rows and MAX_TERMS terms for learning; all else covers all documents and whole texts. Null and
-empty texts have no terms and get the score of the bias. Without labels of both classes the seed lexicons and set rates
-stand in. Labels are looked up by id: repeated ids count once for each row of documents, null ids and labels not at all.
+1. Voters fire on a text or abstain: seed lexicons of four languages, patterns of punctuation, case and address, and the
+   terms (words and their first 4 to 9 bytes) that tell labelled training rows apart best, each one voter.
+2. The label model: sums of the votes and of their products over all documents give each voter's covariance with each
+   other. The covariance of conditionally independent voters is of rank one in their class differences; labelled rows
+   anchor its sign and scale. Pairs that the fit leaves with a large residue are correlated, and a voter's weight shrinks
+   by the correlations it has. A known label is one voter more, whose accuracy is estimated on the rows of which the
+   other voters are sure. The posterior of a text follows from the weighted log odds of its votes.
+3. Posterior labels of labelled and of unlabelled training rows, weighted by how sure they are, are all that the classifier
+   learns from: terms are counted by posterior mass, and a logistic regression over the best of them is fitted to the
+   posteriors. An unlabelled row on which no voter with a say fires is left out, as all abstain.
+4. Its bias is set so that the boundary that parts the labelled training rows best has the score THRESHOLD.
+
+Bounds, all parameters: MAX_LABELLED labelled and MAX_UNLABELLED other training rows, in order of a hash, MAX_TERMS terms
+and MAX_VOTERS mined voters, those of the highest gain; of equal gain the smaller hash. All else covers all documents and
+whole texts. Null and empty texts have no terms and get the score of the bias. Without labels of both classes the seed
+lexicons and set rates stand in. Labels are looked up by id, the highest of several; null ids and labels teach nothing.
+Rows that repeat id and text are learnt from once and scored each; ids with several texts have each scored by itself. An
+empty table gives an empty result. Only the id and the text are read, so other columns may have any names. A long text is
+worked on whole, some 256 texts at a time.
 """
 
 from __future__ import annotations
@@ -24,10 +30,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import drop_written, written
 from .shingles import _BYTE, _power, mix
 
-MAX_LABELLED, MAX_TERMS, MAX_VOTERS = 20_000, 4096, 96
+MAX_LABELLED, MAX_UNLABELLED, MAX_TERMS, MAX_VOTERS = 20_000, 20_000, 4096, 96
 THRESHOLD = 0.3
+UNLABELLED = 0.25  # what a row without a label counts for beside one with a label
 #: Common insults of English, French, Spanish and German.
 SEEDS = {
     "en": "idiot moron stupid dumb fool loser pathetic scum worthless trash garbage clown disgusting jerk ugly",
@@ -133,6 +141,7 @@ class LabelModel:
     clean: np.ndarray
     weight: np.ndarray
     correlation: np.ndarray
+    label: float = 0.98  # class difference of a known label: 1 would be without errors
 
     @classmethod
     def fit(cls, n: float, sums: np.ndarray, products: np.ndarray, n_labelled: float, n_toxic: float, fired_toxic: np.ndarray, fired: np.ndarray, rounds: int = 50) -> LabelModel:
@@ -166,11 +175,27 @@ class LabelModel:
         toxic[:k], clean[:k] = 0.5, 0.01
         return cls(0.1, toxic, clean, np.ones(n), np.zeros((n, n)))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities that texts are toxic; known: 1 or 0 where a label is known, -1 elsewhere."""
         on, off = np.log(self.toxic / self.clean), np.log((1 - self.toxic) / (1 - self.clean))
         odds = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * on) + (1 - votes) @ (self.weight * off)
+        if known is not None:
+            hit, false = self.prior + (1 - self.prior) * self.label, self.prior * (1 - self.label)
+            odds = odds + np.where(known > 0, np.log(hit / false), np.where(known == 0, np.log((1 - hit) / (1 - false)), 0.0))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
+    def judge_label(self, votes: np.ndarray, known: np.ndarray) -> None:
+        """Estimates the accuracy of known labels from the rows of which the voters alone are sure; at first one in a hundred is wrong."""
+        sure = self.posterior(votes) > 0.99
+        wrong = (float((known[sure] == 0).sum()) + 0.5) / (float(sure.sum()) + 50)
+        self.label = float(np.clip(1 - 2 * wrong, 0.6, 0.995))
+
+    def judged(self, votes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(posterior, weight) of texts: how sure it is; texts without a label on which no voter with a say fires have no weight."""
+        p = self.posterior(votes, known)
+        heard = (votes[:, self.toxic - self.clean > 0.02] > 0).any(axis=1) | (known >= 0)
+        return p, np.where(heard, np.abs(2 * p - 1), 0.0) * np.where(known >= 0, 1.0, UNLABELLED)
+
 
 @dataclass
 class Classifier:
@@ -186,8 +211,8 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
     @classmethod
-    def fit(cls, terms: np.ndarray, scale: np.ndarray, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, steps: int = 800, sparse: float = 1e-5) -> Classifier:
-        """Logistic regression on soft targets from sparse rows, by accelerated proximal steps with an L1 penalty.
+    def fit(cls, terms: np.ndarray, scale: np.ndarray, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 800, sparse: float = 1e-5) -> Classifier:
+        """Logistic regression on soft targets, weighted, from sparse rows, by accelerated proximal steps with an L1 penalty.
 
         scale: a term that tells the classes apart with more evidence gets a larger one, and so is preferred.
         """
@@ -200,10 +225,11 @@ class Classifier:
             x = backward(forward(x / np.linalg.norm(x)))
         step = 4 * n / np.linalg.norm(x)
         p = np.zeros(v + 1)
-        p[v] = np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))
+        mean = float((target * weight).sum() / weight.sum())
+        p[v] = np.log((mean + 1e-3) / (1 - mean + 1e-3))
         at, t = p, 1.0
         for _ in range(steps):
-            error = 1 / (1 + np.exp(-np.clip(forward(at), -30, 30))) - target
+            error = weight * (1 / (1 + np.exp(-np.clip(forward(at), -30, 30))) - target)
             new = at - step * backward(error) / n
             new[:v] = np.sign(new[:v]) * np.maximum(np.abs(new[:v]) - step * sparse, 0)
             after = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -221,23 +247,34 @@ def boundary(z: np.ndarray, toxic: np.ndarray) -> float:
     return float((z[at] + z[at + 1]) / 2) if at + 1 < len(z) else float(z[at])
 
 
-def _term_counts(rows: DataFrame) -> DataFrame:
-    """(term, toxic, clean) over rows of (text, toxic)."""
+def _term_counts(rows: DataFrame, judged) -> DataFrame:
+    """(term, toxic, clean): the mass of toxic and of clean rows with each term; judged: toxicity and weight of each text, from (texts, labels, terms)."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            toxic = batch.column("toxic").to_numpy() > 0
+            known = batch.column("toxic").to_numpy()
             for s in range(0, len(texts), 256):
-                hashes, owner, _ = term_hashes(texts[s : s + 256])
+                found = term_hashes(texts[s : s + 256])
+                mass, weight = judged(texts[s : s + 256], known[s : s + 256], found)
+                hashes, owner, _ = found
                 pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)]), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
-                term, at, n = np.unique(pairs[0], return_inverse=True, return_counts=True)
-                pos = np.bincount(at, weights=toxic[s + pairs[1].astype(np.int64)], minlength=len(term)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(pos), pa.array(n - pos)], names=["term", "toxic", "clean"])
+                term, at = np.unique(pairs[0], return_inverse=True)
+                row = pairs[1].astype(np.int64)
+                pos, neg = (np.bincount(at, weights=x[row], minlength=len(term)) for x in (weight * mass, weight * (1 - mass)))
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(pos), pa.array(neg)], names=["term", "toxic", "clean"])
+
+    return rows.mapInArrow(run, "term long, toxic double, clean double").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
-    return rows.mapInArrow(run, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+def _best_terms(counted: DataFrame, n_toxic: float, n_clean: float, most: int):
+    """The terms with the most evidence, with their log odds."""
+    counted = counted.select("term", F.round("toxic", 6).alias("toxic"), F.round("clean", 6).alias("clean")).where(F.col("toxic") + F.col("clean") >= 3)
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
+    gain = F.round(F.abs(odds) * F.sqrt(F.col("toxic") + F.col("clean")), 9)
+    return counted.select("term", "toxic", "clean", odds.alias("odds"), gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(most).toPandas()
 
 
 def _moments(docs: DataFrame, voters: Voters) -> tuple[float, np.ndarray, np.ndarray]:
@@ -266,69 +303,87 @@ def _moments(docs: DataFrame, voters: Voters) -> tuple[float, np.ndarray, np.nda
     return n, np.diag(products).copy(), products
 
 
-def train(docs: DataFrame, labelled: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS, max_voters: int = MAX_VOTERS) -> tuple[Voters, LabelModel, Classifier]:
-    """docs: (id, text); labelled: (id, toxic), the rows to learn from."""
+def _training_rows(docs: DataFrame, labelled: DataFrame, learnt: Column, max_labelled: int, max_unlabelled: int) -> DataFrame:
+    """(text, toxic) of training rows: toxic is 1 or 0 where a label is known, -1 elsewhere."""
+    ids = labelled.where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
+    mark = F.xxhash64("text").alias("mark")
+    rows = docs.where(F.col("id").isNotNull() & F.coalesce(learnt, F.lit(False))).select("id", mark).join(ids, "id", "left")
+    rows = written(rows, "rows")
+    order = [F.xxhash64("id", "mark"), "id", "mark"]
+    picked = [rows.where(test).distinct().orderBy(*order).limit(most) for test, most in (("toxic IS NOT NULL", max_labelled), ("toxic IS NULL", max_unlabelled))]
+    keys = picked[0].union(picked[1])
+    texts = docs.select("id", mark, "text").join(F.broadcast(keys), ["id", "mark"]).dropDuplicates(["id", "mark"])
+    out = written(texts.select("text", F.coalesce("toxic", F.lit(-1)).cast("long").alias("toxic")), "sample")
+    drop_written(rows)
+    return out
+
+
+def train(
+    docs: DataFrame, labelled: DataFrame, learnt: Column | bool = True, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, max_terms: int = MAX_TERMS, max_voters: int = MAX_VOTERS
+) -> tuple[Voters, LabelModel, Classifier]:
+    """docs: (id, text); labelled: (id, toxic), the labels to learn from; learnt, over id: the rows to learn from at all."""
     import pyarrow.compute as pc
 
-    ids = labelled.where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.join(F.broadcast(ids), "id").select("text", F.col("toxic").cast("long").alias("toxic"))
-    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
+    rows = _training_rows(docs, labelled, learnt if isinstance(learnt, Column) else F.lit(learnt), max_labelled, max_unlabelled)
+    total = rows.where("toxic >= 0").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     n_labelled, n_toxic = int(total["n"]), int(total["t"] or 0)
     if not n_toxic or n_toxic == n_labelled:
         voters = Voters(np.zeros(0, np.uint64))
         terms = np.unique(np.concatenate(voters.seeds[: len(SEEDS)]))
         return voters, LabelModel.without_labels(voters), Classifier(terms, np.full(len(terms), 3.0), -2.5)
 
-    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(t / (n_toxic + 1.0)) - F.log(c / (n_labelled - n_toxic + 1.0))
-    gain = F.abs(odds) * F.sqrt(F.col("toxic") + F.col("clean"))
-    counted = _term_counts(rows).where(F.col("toxic") + F.col("clean") >= 3)
-    best = counted.select("term", "toxic", "clean", odds.alias("odds"), gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(max_terms).toPandas()
+    first = _best_terms(_term_counts(rows.where("toxic >= 0"), lambda texts, known, found: (known.astype(np.float64), np.ones(len(texts)))), n_toxic, n_labelled - n_toxic, max_terms)
+    telling = first[(first["odds"] > 2.5) & (first["toxic"] >= 4)]["term"].to_numpy(np.int64).view(np.uint64)
+    voters = Voters(np.sort(telling[:max_voters]))
+    n, sums, products = _moments(docs.select("text"), voters)
+
+    def votes_of(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            for s in range(0, len(texts), 512):
+                yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(v) for v in voters.votes(texts[s : s + 512])], pa.list_(pa.int32())), batch.column("toxic").slice(s, 512)], names=["votes", "toxic"])
+
+    cast = rows.where("toxic >= 0").mapInArrow(votes_of, "votes array<int>, toxic long").toArrow()
+    known = cast["toxic"].to_numpy()
+    votes = np.zeros((len(known), voters.count), np.float32)
+    for i, v in enumerate(cast["votes"].to_pylist()):
+        votes[i, v] = 1
+    model = LabelModel.fit(n, sums, products, len(known), known.sum(), (votes * known[:, None]).sum(axis=0), votes.sum(axis=0))
+    model.judge_label(votes, known)
+
+    judged = lambda texts, known, found: model.judged(voters.votes(texts, found), known)
+    best = _best_terms(_term_counts(rows, judged), n_toxic, n_labelled - n_toxic, max_terms)
     hashes = best["term"].to_numpy(np.int64).view(np.uint64)
-    telling = ((best["odds"] > 2.5) & (best["toxic"] >= 4)).to_numpy()
     by = np.argsort(hashes)
     terms, scale = hashes[by], (best["gain"] / (best["gain"] + 15.0)).to_numpy()[by] ** 2
-    voters = Voters(np.sort(hashes[telling][:max_voters]))
-
-    n, sums, products = _moments(docs.select("text"), voters)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for s in range(0, len(texts), 512):
-                found = term_hashes(texts[s : s + 512])
-                votes = voters.votes(texts[s : s + 512], found)
+            texts, known = [x or "" for x in batch.column("text").to_pylist()], batch.column("toxic").to_numpy()
+            for s in range(0, len(texts), 256):
+                found = term_hashes(texts[s : s + 256])
+                target, weight = judged(texts[s : s + 256], known[s : s + 256], found)
                 at, place = Lookup(terms).find(found[0])
-                owner, place, values = _weighed(found[1][at], place, len(terms))
-                cut = np.searchsorted(owner, np.arange(len(votes) + 1))
-                cut = pa.array(cut.astype(np.int32))
+                owner, place, values = _weighed(found[1][at], place, max(len(terms), 1))
+                cut = pa.array(np.searchsorted(owner, np.arange(len(target) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([np.flatnonzero(v) for v in votes], pa.list_(pa.int32())), pa.ListArray.from_arrays(cut, pa.array(place.astype(np.int32))),
-                        pa.ListArray.from_arrays(cut, pa.array(values)), batch.column("toxic").slice(s, 512),
-                    ],
-                    names=["votes", "places", "values", "toxic"],
-                )
-
-    sample = rows.mapInArrow(run, "votes array<int>, places array<int>, values array<double>, toxic long").toArrow().combine_chunks()
-    toxic = sample["toxic"].to_numpy()
-    votes = np.zeros((len(toxic), voters.count), np.float32)
-    for i, v in enumerate(sample["votes"].to_pylist()):
-        votes[i, v] = 1
+                    [pa.ListArray.from_arrays(cut, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(values.astype(np.float32))), batch.column("toxic").slice(s, 256), pa.array(target), pa.array(weight)],
+                    names=["places", "values", "toxic", "target", "weight"],
+                )
+
+    sample = rows.mapInArrow(run, "places array<int>, values array<float>, toxic long, target double, weight double").toArrow().combine_chunks()
+    drop_written(rows)
+    known, target, weight = (sample[c].to_numpy() for c in ("toxic", "target", "weight"))
     lengths = pc.list_value_length(sample["places"]).to_numpy()
     columns, values = (pc.list_flatten(sample[c]).to_numpy() for c in ("places", "values"))
-    model = LabelModel.fit(n, sums, products, len(toxic), toxic.sum(), (votes * toxic[:, None]).sum(axis=0), votes.sum(axis=0))
-    # a known label is a vote too, one of high accuracy
-    soft = model.posterior(votes)
-    odds_ = np.log(np.clip(soft, 1e-6, 1 - 1e-6) / np.clip(1 - soft, 1e-6, 1)) + np.where(toxic > 0, 4.0, -4.0)
-    target = 1 / (1 + np.exp(-odds_))
     at = np.repeat(np.arange(len(lengths)), lengths)
-    classifier = Classifier.fit(terms, scale, at, columns, values, target)
+    classifier = Classifier.fit(terms, scale, at, columns, values, target, weight)
     z = classifier.bias + np.bincount(at, weights=classifier.weights[columns] * values, minlength=len(lengths))
-    classifier.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - boundary(z, toxic)  # the boundary gets the score THRESHOLD
+    classifier.bias += float(np.log(THRESHOLD / (1 - THRESHOLD))) - boundary(z[known >= 0], known[known >= 0])  # the boundary gets the score THRESHOLD
     return voters, model, classifier
 
 
@@ -336,7 +391,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     """(id_col, held_out, score, predicted) for every row of docs; held_out, over the column id, tells which labels are not learnt from."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("toxic")).where(~held_out)
-    _, _, classifier = train(source, known)
+    _, _, classifier = train(source, known, ~F.coalesce(held_out, F.lit(False)))
 
     def run(batches) -> Iterator:
         import pyarrow as pa

@@ -453,6 +453,40 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, lab, held_out).count() == len(TEXTS) + 2
 
 
+def test_toxicity_learns_from_documents_without_a_label(spark):
+    """Few labels name one half of the bad words; the other half stands beside them in unlabelled documents alone."""
+    r = random.Random(6)
+    known_bad, other_bad = ["vexuna", "zorkast", "plimmor"], ["quabbel", "drostig", "fennwak"]
+    rows, labels = [], []
+    for i in range(1500):
+        bad, words = i % 5 == 0, [r.choice(WORDS) for _ in range(30)]
+        if bad:
+            pool = known_bad if i < 300 else other_bad if i >= 1300 else known_bad + other_bad
+            for _ in range(5):
+                words[r.randrange(30)] = r.choice(pool)
+        rows.append((i, " ".join(words)))
+        if i < 300:
+            labels.append((i, int(bad)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    lab = spark.createDataFrame(labels, "id long, toxic int")
+    test = [t for i, t in rows if i >= 1300]
+    found = {}
+    for most in (20_000, 0):  # without unlabelled rows nothing comes through the label model but the labels
+        _, model, classifier = toxicity.train(docs, lab, F.col("id") < 1300, max_unlabelled=most)
+        s = classifier.scores(test) >= 0.3
+        found[most] = (int(s[::5].sum()), int(s.sum() - s[::5].sum()))
+    assert found[20_000][0] >= 12 and found[20_000][1] <= 4 and found[0][0] <= 2, found
+
+
+def test_toxicity_of_rows_without_an_id_or_with_one_twice(spark):
+    bad, good = "you stupid vexuna zorkast " * 5, "the calm garden " * 8
+    rows = [(None, bad), (None, good), (1, bad), (1, good), (1, good), (2, None)] + [(10 + i, f"{bad if i % 3 == 0 else good} {prose(i, 20)}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(1)).withColumn("toxic", F.lit(0))
+    lab = spark.createDataFrame([(10 + i, int(i % 3 == 0)) for i in range(90)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.score(df, lab, F.lit(False)).collect()
+    assert len(got) == 96 and sorted((r["predicted"] for r in got if r["doc_id"] in (None, 1))) == [0, 0, 0, 1, 1]
+
+
 # --- queries ------------------------------------------------------------------------------------------------------
 
 

@@ -313,6 +313,14 @@ def test_label_model_finds_accuracies():
     assert abs(model.correlation[0, 4]) > 0.2 > abs(model.correlation[0, 1]) and model.weight[4] < model.weight[1]
     p = model.posterior(votes)
     assert p[y].mean() > 0.6 > 0.2 > p[~y].mean()
+    # the accuracy of labels of which one in five is wrong, and what they add
+    known = np.where(rng.random(n) < 0.2, ~y, y).astype(int)
+    model.judge_label(votes, known)
+    assert model.label == pytest.approx(0.6, abs=0.15)
+    model.judge_label(votes, y.astype(int))
+    q, weight = model.judged(votes, np.where(np.arange(n) % 2, y, -1))
+    assert q[1::2][y[1::2]].min() > q[0::2][y[0::2]].min() and (q[0::2] == p[0::2]).all()
+    assert weight[votes.sum(axis=1) == 0][0::2].max() <= 1 and (weight[0::2][votes[0::2].sum(axis=1) == 0] == 0).all()
 
 
 def test_boundary():
