@@ -369,11 +369,17 @@ def train(
                 target, weight = judged(texts[s : s + 256], known[s : s + 256], found)
                 at, place = Lookup(terms).find(found[0])
                 owner, place, values = _weighed(found[1][at], place, max(len(terms), 1))
-                cut = pa.array(np.searchsorted(owner, np.arange(len(target) + 1)).astype(np.int32))
+                said = (weight > 0) | (known[s : s + 256] >= 0)  # the others weigh nothing and stay here
+                mine = said[owner]
+                cut = np.append(0, np.cumsum(np.bincount(owner[mine], minlength=len(target))[said]))
+                cut = pa.array(cut.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(cut, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(values.astype(np.float32))), batch.column("toxic").slice(s, 256), pa.array(target), pa.array(weight)],
+                    [
+                        pa.ListArray.from_arrays(cut, pa.array(place[mine].astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(values[mine].astype(np.float32))),
+                        pa.array(known[s : s + 256][said]), pa.array(target[said]), pa.array(weight[said]),
+                    ],
                     names=["places", "values", "toxic", "target", "weight"],
-                )
+                )
 
     sample = rows.mapInArrow(run, "places array<int>, values array<float>, toxic long, target double, weight double").toArrow().combine_chunks()
     drop_written(rows)
