@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gallerist.storage import in_order
+
 from .review import Catalogue
 
 
@@ -88,13 +90,42 @@ def finish_estimate(kept: DataFrame) -> DataFrame:
     return kept.agg(F.count("*").alias("keepers"), F.count_if(F.col("file_format") != "jpg").alias("raw_keepers"))
 
 
+def _ranked(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, value, n, before, total): counts of distinct values, how many rows of the group stand before, and how many it has.
+
+    Places come from one global order, so a group of any size is spread over tasks; sums by group combine before the shuffle.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    placed = in_order(counts, [*groups, value], "before", "n", "values")
+    first = placed.groupBy(*groups).agg(F.min("before").alias("first"), F.sum("n").alias("total"))
+    if groups:
+        same = [placed[g].eqNullSafe(first[g]) for g in groups]
+        test = same[0]
+        for t in same[1:]:
+            test = test & t
+        both = placed.join(first, test).drop(*[first[g] for g in groups])
+    else:
+        both = placed.join(F.broadcast(first), F.lit(True))  # one row
+    return both.select(*groups, value, "n", (F.col("before") - F.col("first")).alias("before"), "total")
+
+
+def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(groups, a column for each quantile, n): exact percentiles, linear between neighbours. Without groups, one row if there is any value."""
+    ranked = _ranked(df, groups, value)
+    last = F.col("before") + F.col("n")
+    at = lambda place: F.min(F.when(last > place, F.col(value)))
+    place = {name: (F.col("total") - 1) * F.lit(q) for name, q in quantiles.items()}
+    ends = [c for name, x in place.items() for c in (at(F.floor(x)).alias(f"{name}_low"), at(F.ceil(x)).alias(f"{name}_high"))]
+    found = ranked.groupBy(*groups).agg(*ends, F.sum("n").alias("n")).where("n > 0")
+    between = lambda name, q: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * ((F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q)))
+    return found.select(*groups, *[between(name, q).alias(name) for name, q in quantiles.items()], "n")
+
+
 def nearest_rank(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles of each group, halves away from zero: from counts of distinct values, so memory follows those."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group)
-    run = counts.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
+    """Nearest-rank percentiles of each group, halves away from zero."""
+    ranked = _ranked(df, [group], value)
     index = lambda q: F.round((F.col("total") - 1) * F.lit(q))
-    return run.groupBy(group).agg(*[F.min(F.when(F.col("upto") > index(q), F.col(value))).alias(name) for name, q in quantiles.items()])
+    return ranked.groupBy(group).agg(*[F.min(F.when(F.col("before") + F.col("n") > index(q), F.col(value))).alias(name) for name, q in quantiles.items()])
 
 
 def histogram_moments(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gallerist.functions import expressions as X
 
+from .aggregates import percentiles
 from .joins import with_baseline
 
 KEYS = ("camera_model", "lens_model", "focal_bucket", "aperture_index")
@@ -17,21 +18,19 @@ def bucketed(exif: DataFrame) -> DataFrame:
 
 
 def sharpness_baselines(sharpness: DataFrame, exif: DataFrame, min_samples: int) -> DataFrame:
-    """Percentiles of each bucket with min_samples files, and of all files in one more row; both from one pass of grouping sets."""
+    """Percentiles of each bucket with min_samples files, and of all files in one more row."""
     rows = sharpness.where("s_subject IS NOT NULL").select("file_id", F.col("s_subject").cast("double").alias("s")).join(bucketed(exif).dropna(), "file_id")
-    found = rows.groupingSets([[F.col(k) for k in KEYS], []], *[F.col(k) for k in KEYS]).agg(
-        F.grouping_id().alias("level"), F.expr("percentile(s, array(0.1, 0.5, 0.9))").alias("p"), F.count("*").cast("int").alias("n_samples")
-    )
-    found = found.where(((F.col("level") == 0) & (F.col("n_samples") >= min_samples)) | ((F.col("level") != 0) & (F.col("n_samples") > 0)))
-    return found.select(
-        F.coalesce("camera_model", F.lit("*")).alias("camera_model"), F.coalesce("lens_model", F.lit("*")).alias("lens_model"),
-        F.coalesce("focal_bucket", F.lit(0)).alias("focal_bucket"), F.coalesce("aperture_index", F.lit(0)).alias("aperture_index"),
-        F.col("p")[0].alias("s_subject_p10"), F.col("p")[1].alias("s_subject_p50"), F.col("p")[2].alias("s_subject_p90"), "n_samples",
-    )
+    wanted = {"s_subject_p10": 0.1, "s_subject_p50": 0.5, "s_subject_p90": 0.9}
+    own = percentiles(rows, list(KEYS), "s", wanted).where(F.col("n") >= min_samples)
+    stars = [F.lit("*").alias("camera_model"), F.lit("*").alias("lens_model"), F.lit(0).alias("focal_bucket"), F.lit(0).alias("aperture_index")]
+    everyone = percentiles(rows, [], "s", wanted).select(*stars, *wanted, "n")
+    return own.unionByName(everyone).select(*KEYS, *wanted, F.col("n").cast("int").alias("n_samples"))
 
 
 def iqa_p10(iqa: DataFrame) -> DataFrame:
-    return iqa.agg(F.expr("percentile(cast(score as double), 0.1)").alias("iqa_p10"))
+    """One row; null without scores."""
+    found = percentiles(iqa.select(F.col("score").cast("double").alias("score")), [], "score", {"iqa_p10": 0.1})
+    return found.agg(F.max("iqa_p10").alias("iqa_p10"))
 
 
 def reflag(sharpness: DataFrame, exif: DataFrame, iqa: DataFrame, baselines: DataFrame, min_samples: int, second_opinion: bool = True) -> DataFrame:

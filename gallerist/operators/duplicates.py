@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gallerist.functions import expressions as X
@@ -44,9 +44,15 @@ def quality_scores(inputs: DataFrame) -> DataFrame:
 
 def elect(members: DataFrame, scores: DataFrame) -> DataFrame:
     """(component, id, quality_score, is_suggested_keeper, place): best quality first, then the smaller id."""
-    order = Window.partitionBy("component").orderBy(F.desc("quality_score"), "id")
     scored = members.select("component", "id").join(scores, "id", "left").withColumn("quality_score", F.coalesce("quality_score", F.lit(0.0)))
-    return scored.withColumn("place", F.row_number().over(order)).withColumn("is_suggested_keeper", F.col("place") == 1)
+    return places(scored, "component", [F.desc("quality_score"), F.asc("id")]).withColumn("is_suggested_keeper", F.col("place") == 1)
+
+
+def places(rows: DataFrame, group: str, order: list) -> DataFrame:
+    """rows with their place in their group, from 1: from one order over all groups, so that no task sees a whole group."""
+    placed = in_order(rows, [F.asc(group), *order], "before", label="places")
+    first = placed.groupBy(group).agg(F.min("before").alias("first"))
+    return placed.join(first, group).withColumn("place", (F.col("before") - F.col("first") + 1).cast("int")).select(*rows.columns, "place")
 
 
 def exact_groups(files: DataFrame, min_size: int = 2) -> DataFrame:

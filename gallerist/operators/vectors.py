@@ -120,7 +120,9 @@ def knn(df: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 
 def similarity_edges(vectors: DataFrame, times: DataFrame, window: int, within: float, overall: float, k: int) -> DataFrame:
     """(a, b): pairs close in time and alike by within, and each vector's k nearest that are alike by overall."""
-    timed = vectors.join(times, "id")
-    close = interval_pairs(timed, "id", "captured_at", window, ["vector"]).where(cosine(F.col("a_vector"), F.col("b_vector")) >= within)
+    timed = times.join(vectors.select("id"), "id", "left_semi")
+    side = lambda s: vectors.select(F.col("id").alias(f"{s}_id"), F.col("vector").alias(f"{s}_vector"))
+    close = interval_pairs(timed.select("id", "captured_at"), "id", "captured_at", window)  # vectors are fetched for pairs alone
+    close = close.join(side("a"), "a_id").join(side("b"), "b_id").where(cosine(F.col("a_vector"), F.col("b_vector")) >= within)
     near = knn(vectors, k).where(F.col("similarity") >= overall)
     return close.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).union(near.select(F.least("id", "neighbour"), F.greatest("id", "neighbour"))).distinct()

@@ -275,7 +275,8 @@ def sharpness_baselines(cat):
 FROM samples GROUP BY camera_model, lens_model, aperture_index HAVING count(*) >= 5""")
 def coarse_baselines(cat):
     rows = cat["sharpness"].where("s_subject IS NOT NULL").join(calibration.bucketed(cat["exif"]).dropna(), "file_id")
-    found = rows.groupBy("camera_model", "lens_model", "aperture_index").agg(F.percentile("s_subject", 0.1).alias("p10"), F.percentile("s_subject", 0.9).alias("p90"), F.count("*").alias("n"))
+    rows = rows.withColumn("s_subject", F.col("s_subject").cast("double"))
+    found = aggregates.percentiles(rows, ["camera_model", "lens_model", "aperture_index"], "s_subject", {"p10": 0.1, "p90": 0.9})
     return _rounded(found.where(F.col("n") >= MIN_SAMPLES), "p10", "p90")
 
 
@@ -429,21 +430,21 @@ def cosine_pairs(cat):
     return _rounded(vectors.cosine_pairs(_unit(cat), PAIR_COSINE), "similarity")
 
 
-_KNN = f"knn AS (SELECT id, neighbour, similarity, rank FROM (SELECT a.id, b.id AS neighbour, {_DOT} AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY {_DOT} DESC, b.id) AS rank FROM unit a JOIN unit b ON a.id <> b.id) WHERE rank <= 3)"
+_KNN = f"near AS (SELECT id, neighbour, similarity, rank FROM (SELECT a.id, b.id AS neighbour, {_DOT} AS similarity, row_number() OVER (PARTITION BY a.id ORDER BY {_DOT} DESC, b.id) AS rank FROM unit a JOIN unit b ON a.id <> b.id) WHERE rank <= 10)"
 
 
-@query("SELECT id, neighbour, round(similarity, 6) AS similarity, rank FROM knn", recursive=f"{_UNIT}, {_KNN}")
+@query("SELECT id, neighbour, round(similarity, 6) AS similarity, rank FROM near WHERE rank <= 3", recursive=f"{_UNIT}, {_KNN}")
 def knn_topk(cat):
     return _rounded(vectors.knn(_unit(cat), 3), "similarity")
 
 
-_EDGES = f"""edges AS (SELECT DISTINCT least(id, neighbour) AS a, greatest(id, neighbour) AS b FROM knn WHERE similarity >= {PAIR_COSINE}
+_EDGES = f"""edges AS (SELECT DISTINCT least(id, neighbour) AS a, greatest(id, neighbour) AS b FROM near WHERE similarity >= {PAIR_COSINE}
 UNION SELECT x.file_id, y.file_id FROM exif x JOIN exif y ON x.file_id < y.file_id AND abs(x.captured_at - y.captured_at) <= 3600 JOIN unit a ON a.id = x.file_id JOIN unit b ON b.id = y.file_id WHERE {_DOT} >= 0.3)"""
 
 
 def _edges(cat) -> DataFrame:
     times = cat["exif"].select(F.col("file_id").alias("id"), "captured_at")
-    return vectors.similarity_edges(_unit(cat), times, 3600, 0.3, PAIR_COSINE, 3)
+    return vectors.similarity_edges(_unit(cat), times, 3600, 0.3, PAIR_COSINE, duplicates.DedupeConfig().k_neighbors)
 
 
 @query("SELECT a, b FROM edges", recursive=f"{_UNIT}, {_KNN}, {_EDGES}")
