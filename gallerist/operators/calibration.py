@@ -34,7 +34,7 @@ def iqa_p10(iqa: DataFrame) -> DataFrame:
 
 
 def reflag(sharpness: DataFrame, exif: DataFrame, iqa: DataFrame, baselines: DataFrame, min_samples: int, second_opinion: bool = True) -> DataFrame:
-    """(file_id, flag_type, confidence, bumped): blur, back focus and low quality of each file that has a threshold.
+    """(file_id, flag_type, confidence, bumped, reason): blur, back focus and low quality of each file that has a threshold.
 
     A file without subject sharpness or without any baseline gets no flag at all, low quality included.
     """
@@ -49,7 +49,14 @@ def reflag(sharpness: DataFrame, exif: DataFrame, iqa: DataFrame, baselines: Dat
     behind = soft & (s > 0) & (F.coalesce("bg", s) > 2 * s)
     poor = F.coalesce(score < q10, F.lit(False))
     both = soft & ~behind & poor
-    flag = lambda name, test, conf, bumped: F.when(test, F.struct(F.lit(name).alias("flag_type"), conf.alias("confidence"), bumped.alias("bumped")))
+    # fixed values: the wording of reasons
+    subject = F.format_string("subject %.1f < p10 %.1f", s, p10)
+    why = {
+        "back_focus": F.concat(subject, F.format_string(", background %.1fx sharper", F.coalesce("bg", s) / s)),
+        "blur": F.when(both, F.concat(subject, F.lit(" (confirmed by low IQA)"))).otherwise(subject),
+        "low_iqa": F.format_string("iqa %.2f < global p10 %.2f", score, q10),
+    }
+    flag = lambda name, test, conf, bumped: F.when(test, F.struct(F.lit(name).alias("flag_type"), conf.alias("confidence"), bumped.alias("bumped"), why[name].alias("reason")))
     flags = F.array_compact(
         F.array(
             flag("back_focus", behind, short(s, p10), F.lit(False)),
@@ -57,15 +64,16 @@ def reflag(sharpness: DataFrame, exif: DataFrame, iqa: DataFrame, baselines: Dat
             flag("low_iqa", poor, short(score, q10), F.lit(False)),
         )
     )
-    return rows.select("file_id", F.explode(flags).alias("f")).select("file_id", "f.flag_type", "f.confidence", "f.bumped")
+    return rows.select("file_id", F.explode(flags).alias("f")).select("file_id", "f.flag_type", "f.confidence", "f.bumped", "f.reason")
 
 
 def exposure_flags(exposure: DataFrame, highlights: float = 0.05, shadows: float = 0.10) -> DataFrame:
-    """(file_id, flag_type, confidence) of files clipped beyond a threshold."""
+    """(file_id, flag_type, confidence, reason) of files clipped beyond a threshold."""
     hi, lo = F.col("clipped_highlights").cast("double"), F.col("clipped_shadows").cast("double")
-    flag = lambda name, c, at: F.when(c > at, F.struct(F.lit(name).alias("flag_type"), F.least(c / at, F.lit(1.0)).alias("confidence")))
-    flags = F.array_compact(F.array(flag("overexposed", hi, highlights), flag("underexposed", lo, shadows)))
-    return exposure.select("file_id", F.explode(flags).alias("f")).select("file_id", "f.flag_type", "f.confidence")
+    why = lambda c, bound: F.format_string(f"%.1f%% pixels at {bound}", c * 100)
+    flag = lambda name, c, at, bound: F.when(c > at, F.struct(F.lit(name).alias("flag_type"), F.least(c / at, F.lit(1.0)).alias("confidence"), why(c, bound).alias("reason")))
+    flags = F.array_compact(F.array(flag("overexposed", hi, highlights, "\u2265 0.99"), flag("underexposed", lo, shadows, "\u2264 0.01")))
+    return exposure.select("file_id", F.explode(flags).alias("f")).select("file_id", "f.flag_type", "f.confidence", "f.reason")
 
 
 def calibration_report(flags: DataFrame) -> DataFrame:

@@ -151,6 +151,17 @@ def orphaned_edits(edits: DataFrame, decisions: DataFrame) -> DataFrame:
     return edits.join(verdicts, "file_id", "left").where(~F.col("verdict").eqNullSafe(F.lit("keep"))).drop("verdict")
 
 
+def exif_by_path(cat: Catalogue, paths: DataFrame) -> DataFrame:
+    """Capture metadata of the files at some paths: (path, and the columns of exif)."""
+    wanted = cat["files"].join(paths.select("path").distinct(), "path", "left_semi").select(F.col("id").alias("file_id"), "path")
+    return wanted.join(cat["exif"], "file_id")
+
+
+def decisions_of(cat: Catalogue, file_ids: DataFrame) -> DataFrame:
+    """(file_id, verdict, is_keeper) of the files asked for that have a decision."""
+    return cat["decisions"].join(file_ids.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "verdict", "is_keeper")
+
+
 def file_dump(cat: Catalogue) -> DataFrame:
     """Everything about a file in one row, nested, and as JSON."""
     nest = lambda name: F.struct(*[F.col(c) for c in cat[name].columns if c != "file_id"]).alias(name)

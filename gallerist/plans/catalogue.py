@@ -294,7 +294,7 @@ def iqa_global_p10(cat):
 
 @query("SELECT file_id, flag_type, round(confidence, 6) AS confidence, bumped FROM soft_flags")
 def calibration_reflag(cat):
-    return _rounded(calibration.reflag(cat["sharpness"], cat["exif"], cat["iqa"], cat["sharpness_baseline"], MIN_SAMPLES), "confidence")
+    return _rounded(calibration.reflag(cat["sharpness"], cat["exif"], cat["iqa"], cat["sharpness_baseline"], MIN_SAMPLES).drop("reason"), "confidence")
 
 
 @query("""SELECT count(*) FILTER (flag_type = 'blur') AS flagged_blur, count(*) FILTER (flag_type = 'back_focus') AS flagged_back_focus, count(*) FILTER (flag_type = 'low_iqa') AS flagged_low_iqa,
@@ -305,7 +305,20 @@ def calibration_report(cat):
 
 @query("SELECT file_id, flag_type, round(confidence, 6) AS confidence FROM exposure_flags")
 def exposure_flags(cat):
-    return _rounded(calibration.exposure_flags(cat["exposure"]), "confidence")
+    return _rounded(calibration.exposure_flags(cat["exposure"]).drop("reason"), "confidence")
+
+
+@query("""SELECT file_id, 'overexposed' AS flag_type, CAST(c_custkey % 23 AS VARCHAR) || '.0% pixels at \u2265 0.99' AS reason FROM customer JOIN exposure ON file_id = c_custkey WHERE clipped_highlights > 0.05
+UNION ALL SELECT file_id, 'underexposed', CAST(c_custkey % 31 AS VARCHAR) || '.0% pixels at \u2264 0.01' FROM customer JOIN exposure ON file_id = c_custkey WHERE clipped_shadows > 0.10""")
+def exposure_reasons(cat):
+    return calibration.exposure_flags(cat["exposure"]).select("file_id", "flag_type", "reason")
+
+
+@query("""SELECT file_id, flag_type, CASE flag_type WHEN 'back_focus' THEN 'subject < p10, background sharper' WHEN 'blur' THEN 'subject < p10' || CASE WHEN bumped THEN ' (confirmed by low IQA)' ELSE '' END
+ELSE 'iqa < global p10' END AS reason FROM soft_flags""")
+def reflag_reasons(cat):
+    flags = calibration.reflag(cat["sharpness"], cat["exif"], cat["iqa"], cat["sharpness_baseline"], MIN_SAMPLES)
+    return flags.select("file_id", "flag_type", F.regexp_replace("reason", r" [\d.]+x?", "").alias("reason"))
 
 
 @query("SELECT file_id, round(CASE WHEN s IS NULL OR span_p10 IS NULL OR span_p90 - span_p10 <= 1.1920929e-07 THEN 0.5 ELSE greatest(0.0, least(1.0, (s - span_p10) / (span_p90 - span_p10))) END, 6) AS s_relative FROM ranged")
@@ -499,6 +512,54 @@ def clear_blur_flags(cat):
     return _rounded(cat["defect_flags"].where(~F.col("flag_type").isin(*BLUR_FLAGS)), "confidence")
 
 
+def _stored(cat, *batches: DataFrame) -> DataFrame:
+    """The files of a store of its own after an upsert of each batch."""
+    import uuid
+
+    from gallerist.catalog import Catalog
+    from gallerist.storage import shared_dir
+
+    store = Catalog(cat.spark, f"{shared_dir(cat.spark)}/catalogue-{uuid.uuid4().hex}")
+    for rows in batches:
+        store.upsert("files", rows.drop("id"))
+    return store["files"]
+
+
+@query("""SELECT row_number() OVER (ORDER BY path) AS id, path, size_bytes + 1 AS size_bytes FROM files WHERE files.id % 2 = 0
+UNION ALL SELECT (SELECT count(*) FROM files WHERE files.id % 2 = 0) + row_number() OVER (ORDER BY path), path, size_bytes + 1 FROM files WHERE files.id % 2 <> 0""")
+def catalog_upsert(cat):
+    later = cat["files"].withColumn("size_bytes", F.col("size_bytes") + 1)
+    return _stored(cat, cat["files"].where("id % 2 = 0"), later).select("id", "path", "size_bytes")
+
+
+@query("SELECT path, file_id, captured_at, camera_model FROM files JOIN exif ON file_id = id WHERE id % 20 = 0")
+def exif_by_path(cat):
+    return review.exif_by_path(cat, cat["files"].where("id % 20 = 0").select("path")).select("path", "file_id", "captured_at", "camera_model")
+
+
+@query("SELECT file_id, verdict, is_keeper FROM decisions WHERE file_id % 20 = 0")
+def get_decisions(cat):
+    return review.decisions_of(cat, cat["files"].where("id % 20 = 0").select(F.col("id").alias("file_id")))
+
+
+@query("SELECT a.file_id, CASE WHEN a.score > b.score THEN 1 WHEN b.score > a.score THEN 2 END AS better FROM iqa a JOIN iqa b ON b.file_id = a.file_id + 1")
+def better_index(cat):
+    other = cat["iqa"].select((F.col("file_id") - 1).alias("file_id"), F.col("score").alias("theirs"))
+    return cat["iqa"].join(other, "file_id").select("file_id", X.better(F.col("score"), F.col("theirs")).alias("better"))
+
+
+@query("""SELECT DISTINCT (doc_id % 85)::INT AS coco, CASE WHEN doc_id % 85 = 0 THEN 'person' WHEN doc_id % 85 <= 8 THEN 'vehicle' WHEN doc_id % 85 <= 13 THEN 'object' WHEN doc_id % 85 <= 23 THEN 'animal'
+WHEN doc_id % 85 <= 79 THEN 'object' ELSE 'other' END AS subject FROM documents""")
+def subject_classes(cat):
+    coco = (F.col("doc_id") % 85).cast("int")
+    return cat.source("documents").select(coco.alias("coco"), X.subject_class(coco).alias("subject")).distinct()
+
+
+@query("SELECT id, list_extract(string_split(path, '/'), -1) AS name FROM files")
+def base_names(cat):
+    return cat["files"].select("id", X.basename(F.col("path")).alias("name"))
+
+
 # --- output -------------------------------------------------------------------------------------------------------
 
 

@@ -71,7 +71,7 @@ class Projection(dict):
 
     def _defect_flags(self) -> DataFrame:
         soft = calibration.reflag(self["sharpness"], self["exif"], self["iqa"], self["sharpness_baseline"], MIN_SAMPLES)
-        return soft.select("file_id", "flag_type", "confidence").unionByName(calibration.exposure_flags(self["exposure"]))
+        return soft.drop("bumped", "reason").unionByName(calibration.exposure_flags(self["exposure"]).drop("reason"))
 
     def _quality(self) -> DataFrame:
         return duplicates.quality_scores(duplicates.quality_inputs(self["files"], self["iqa"], self["exposure"], self["defect_flags"]))
