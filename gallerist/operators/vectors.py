@@ -1,7 +1,15 @@
 """Cosine similarity joins and nearest neighbours over unit vectors.
 
-Vectors are dealt into blocks of bounded size. Each two blocks are one piece of work, a matrix product in one task, and
-only pairs that pass a threshold, or a row's best k of a block, leave it. Nothing is collected, and no side is broadcast.
+Up to EXACT_UP_TO vectors, the practical ceiling of brute force, are dealt into blocks of bounded size. Each two blocks
+are one piece of work, a matrix product in one task, and only pairs that pass a threshold, or a row's best k of a block,
+leave it. The work grows with the square of the number of vectors.
+
+Beyond that, or with exact=False, vectors are put into cells by the sides of random hyperplanes through their mean on
+which they lie, in TABLES independent ways, with as many planes as bring a cell to some CELL vectors. Every vector is in
+the index, and looks in its own cell and in those across its FLIPS nearest planes. Similarities are computed on the whole
+vectors, so a pair that is found is right; a pair may be missed, the rarer the more alike it is (tests measure it). A cell
+with more than a block of vectors is split into blocks, and whoever looks into it is sent to each. exact=True asks for
+all pairs at any size. Only the mean, one number a dimension, reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +23,9 @@ from pyspark.sql import functions as F
 from .joins import interval_pairs
 
 BLOCK = 2048
+EXACT_UP_TO = 50_000
+TABLES, FLIPS, CELL = 3, 4, 512
+SEED = 17
 
 
 def norm(v: Column) -> Column:
@@ -31,9 +42,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _block_pairs(df: DataFrame, block: int) -> DataFrame:
-    """Rows of (id, vector) dealt to pairs of blocks: (i, j, own, id, vector), i <= j."""
-    blocks = max(1, -(-df.count() // block))
+def _block_pairs(df: DataFrame, block: int, n: int) -> DataFrame:
+    """n rows of (id, vector) dealt to pairs of blocks: (i, j, own, id, vector), i <= j."""
+    blocks = max(1, -(-n // block))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     rows = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vector")
@@ -67,32 +78,127 @@ def _sides(t):
     return i == j, ids[left], m[left], ids[right], m[right]
 
 
-def cosine_pairs(df: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def _mean(df: DataFrame) -> np.ndarray:
+    """The mean vector: sums of each partition, then of these."""
+
+    def sums(batches):
+        import pyarrow as pa
+
+        total, n = 0.0, 0
+        for batch in batches:
+            if batch.num_rows:
+                total, n = total + np.array(batch["vector"].to_pylist(), np.float64).sum(axis=0), n + batch.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([n])], names=["total", "n"])
+
+    parts = df.select("vector").mapInArrow(sums, "total array<double>, n long")
+    by_place = parts.select(F.posexplode("total").alias("at", "x"), "n").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return np.array([r["x"] for r in by_place.orderBy("at").collect()])
+
+
+def _visits(df: DataFrame, n: int, block: int) -> DataFrame:
+    """Rows of (id, vector) dealt to blocks of cells: (cell, part, home, id, vector), those at home in a block first."""
+    df = df.where(F.col("vector").isNotNull())
+    mean = _mean(df)
+    bits = min(40, max(1, (max(n, 1) // CELL).bit_length()))
+    flips = min(FLIPS, bits)
+
+    def cells(batches):
+        import pyarrow as pa
+
+        planes = np.random.default_rng(SEED).standard_normal((len(mean), TABLES * bits))
+        weight = np.int64(1) << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = ((np.array(batch["vector"].to_pylist(), np.float64) - mean) @ planes).reshape(-1, TABLES, bits)
+            for table in range(TABLES):
+                side = y[:, table]
+                own = (side > 0) @ weight
+                near = weight[np.argsort(np.abs(side), axis=1)[:, :flips]]
+                for across in range(1 << flips):
+                    cell = own.copy()
+                    for f in range(flips):
+                        if across >> f & 1:
+                            cell ^= near[:, f]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell * TABLES + table), pa.array(np.full(len(cell), across == 0)), batch["id"]], names=["cell", "home", "id"])
+
+    seen = df.select("id", "vector").mapInArrow(cells, "cell long, home boolean, id long")
+    sizes = seen.where("home").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = seen.join(sizes, "cell").select("cell", "home", "id", F.explode(F.when(F.col("home"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("part"))
+    # members of a split cell look into its other blocks
+    others = seen.where("home").join(sizes.where("parts > 1"), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    others = others.where(F.col("part") != own[0]).select("cell", F.lit(False).alias("home"), "id", "part")
+    rows = dealt.unionByName(others).join(df.select("id", "vector"), "id").select("cell", "part", "home", "id", "vector")
+    return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", F.desc("home"))
+
+
+def _look(batches, emit, step: int) -> Iterator:
+    """emit(ids, vectors, member ids, member vectors) for all that look into a block, a bounded number at a time."""
+    key, held = None, []
+
+    def members():
+        if len(held) > 1:
+            held[:] = [(np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held]))]
+        return held[0] if held else (np.empty(0, np.int64), np.empty((0, 0)))
+
+    def all_of(ids, m):
+        to = members()
+        for s in range(0, len(ids) if len(to[0]) else 0, step):
+            yield from emit(ids[s : s + step], m[s : s + step], *to)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, part, home, ids = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "part", "home", "id"))
+        m = np.array(batch["vector"].to_pylist(), np.float64)
+        cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(ids)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if (cell[s], part[s]) != key:
+                yield from all_of(*members())
+                key, held = (cell[s], part[s]), []
+            at_home = home[s:e]
+            if at_home.any():
+                held.append((ids[s:e][at_home], m[s:e][at_home]))
+            if not at_home.all():
+                yield from all_of(ids[s:e][~at_home], m[s:e][~at_home])
+    yield from all_of(*members())
+
+
+def _exactly(n: int, exact: bool | None) -> bool:
+    return n <= EXACT_UP_TO if exact is None else exact
+
+
+def cosine_pairs(df: DataFrame, threshold: float, block: int = BLOCK, exact: bool | None = None) -> DataFrame:
     """(a, b, similarity) with a < b for unit vectors (id, vector) of a similarity of threshold or more."""
 
-    def emit(t):
+    def alike(a, x, b, y, once):
         import pyarrow as pa
 
-        same, a, x, b, y = _sides(t)
-        if not len(a) or not len(b):
-            return
         p = x @ y.T
         at, to = np.nonzero(p >= threshold)
-        first, second = a[at], b[to]
-        s = p[at, to]
-        keep = first < second if same else first != second
+        first, second, s = a[at], b[to], p[at, to]
+        keep = first < second if once else first != second
         first, second, s = first[keep], second[keep], s[keep]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second)), pa.array(s)], names=["a", "b", "similarity"])
 
-    return _block_pairs(df.select("id", "vector"), block).mapInArrow(lambda batches: _work(batches, emit), "a long, b long, similarity double")
+    def emit(t):
+        same, a, x, b, y = _sides(t)
+        if len(a) and len(b):
+            yield from alike(a, x, b, y, same)
 
+    form, n = "a long, b long, similarity double", df.count()
+    if _exactly(n, exact):
+        return _block_pairs(df.select("id", "vector"), block, n).mapInArrow(lambda batches: _work(batches, emit), form)
+    found = _visits(df, n, block).mapInArrow(lambda batches: _look(batches, lambda a, x, b, y: alike(a, x, b, y, False), block), form)
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
-def knn(df: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+
+def knn(df: DataFrame, k: int, block: int = BLOCK, exact: bool | None = None) -> DataFrame:
     """(id, neighbour, similarity, rank) of each vector's k most similar others; of equals the smaller id comes first."""
 
     def best(ids, other, p):
-        if ids is other:
-            np.fill_diagonal(p, -np.inf)
         n = min(k + 16, p.shape[1])
         cut = np.partition(p, p.shape[1] - n, axis=1)[:, p.shape[1] - n] if n < p.shape[1] else np.full(len(p), -np.inf)
         at, to = np.nonzero((p >= cut[:, None]) & np.isfinite(p))
@@ -102,18 +208,25 @@ def knn(df: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         at, to = at[place < k], to[place < k]
         return ids[at], other[to], p[at, to]
 
-    def emit(t):
+    def nearest(a, x, b, y, both):
         import pyarrow as pa
 
-        same, a, x, b, y = _sides(t)
-        if not len(a) or not len(b):
-            return
         p = x @ y.T
-        parts = [best(a, a, p)] if same else [best(a, b, p), best(b, a, p.T.copy())]
-        for ids, other, s in parts:
+        p[a[:, None] == b[None, :]] = -np.inf
+        for ids, other, s in [best(a, b, p), best(b, a, p.T.copy())] if both else [best(a, b, p)]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other), pa.array(s)], names=["id", "neighbour", "similarity"])
 
-    found = _block_pairs(df.select("id", "vector"), block).mapInArrow(lambda batches: _work(batches, emit), "id long, neighbour long, similarity double")
+    def emit(t):
+        same, a, x, b, y = _sides(t)
+        if len(a) and len(b):
+            yield from nearest(a, x, b, y, not same)
+
+    form, n = "id long, neighbour long, similarity double", df.count()
+    if _exactly(n, exact):
+        found = _block_pairs(df.select("id", "vector"), block, n).mapInArrow(lambda batches: _work(batches, emit), form)
+    else:
+        found = _visits(df, n, block).mapInArrow(lambda batches: _look(batches, lambda a, x, b, y: nearest(a, x, b, y, False), block), form)
+        found = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
