@@ -1,15 +1,21 @@
-"""Removal of repeated runs of lines: prefix doubling over line numbers, in DataFrame operations only.
-
-A line's number is a 128-bit name of its content. Suffixes of a document's sequence of lines are ranked by doubling: the
-rank of 2n lines is named after the rank of n lines and the rank n lines further on, and each round keeps only suffixes
-that share their rank with another, so the tables shrink. Only equality of ranks matters here, therefore a rank is a
-name and needs no global order. Suffixes with one rank of min_lines lines are an interval with a longest common prefix
-of at least min_lines; the first of them in order of (id, line) stays, the lines of every other are marked, and marked
-lines that touch are one maximal repeated run.
-
-A null text counts as empty; an empty text is one empty line. Rows that repeat an id are one document, whose lines
-coincide and stay; rows with a null id stay whole and count nowhere. An empty table gives an empty result. Other columns
-pass through strip_repeated_lines() untouched, whatever their names.
+"""Removal of repeated runs of lines: a suffix array over line numbers by prefix doubling, in DataFrame operations only.
+
+A line's number is a 128-bit name of its content. The array holds the suffixes of the documents' sequences of lines that
+share their first min_lines lines with another suffix; the others share too little with any to matter, and go at once.
+Suffixes are ordered by their blocks of min_lines lines, a block by the order of its name: a rank is the place of a group
+of suffixes with a common prefix, from one sort by range over the groups. Each round orders by twice the prefix: the rank
+of a suffix, then the rank of the suffix that many lines further on. A suffix that shares that much with no other is a
+leaf and leaves; rounds end when no rank is shared any more, so their number is the logarithm of the longest repeat.
+
+Suffixes of one rank are an interval whose longest common prefix is the prefix of that round at least. The first round's
+are all intervals of at least min_lines common lines, the later ones lie within them and delete nothing more: the first
+of an interval in order of (id, line) stays, the lines of every other are marked, and marked lines that touch are one
+maximal repeated run. The later rounds give `shared_lines`: how much a suffix of the document has in common with another.
+
+A null text counts as empty; an empty text is one empty line. Rows that repeat an id and a text are one document, whose
+lines coincide and stay; rows of one id with different texts are documents of their own, in the order of a hash of the
+text. Rows with a null id stay whole and count nowhere. An empty table gives an empty result. Other columns pass through
+strip_repeated_lines() untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gallerist.storage import in_order
+
 from ._common import drop_written, fresh, join_counted, text_or_empty, written
 
 MIN_LINES = 3
@@ -26,36 +34,60 @@ def _lines(text: str) -> Column:
     return F.split(text_or_empty(text), "\n", -1)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose rank another row has; rows: a written table."""
-    twice = written(rows.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    return join_counted(rows, twice, ["r1", "r2"]).select("id", "at", "r1", "r2")
-
-
-def _longer(rows: DataFrame, step: int) -> DataFrame:
-    """Ranks of step more lines: each row with the one step lines further on."""
-    ahead = rows.select("id", (F.col("at") - step).alias("at"), F.col("r1").alias("s1"), F.col("r2").alias("s2"))
-    both = rows.join(ahead, ["id", "at"])
-    return both.select("id", "at", F.xxhash64("r1", "r2", "s1", "s2").alias("r1"), F.xxhash64(F.lit(step), "s2", "s1", "r2", "r1").alias("r2"))
-
-
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(id, first, last): the maximal runs of lines, numbered from 0, that repeat earlier ones."""
-    line = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(_lines(text)).alias("at", "line"))
-    rows = written(line.select("id", "at", F.xxhash64("line").alias("r1"), F.xxhash64(F.lit(7), "line").alias("r2")), "lines")
-    held, size = [rows], 1
-    rows = written(_shared(rows).dropDuplicates(["id", "at", "r1", "r2"]), "ranks")
-    while size < min_lines:
-        held.append(rows)
-        step = min(size, min_lines - size)
-        longer = written(_longer(rows, step), "longer")
-        held.append(longer)
-        rows = written(_shared(longer), "ranks")
-        size += step
-    for df in held:
-        drop_written(df)
-    first = written(rows.groupBy("r1", "r2").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")), "first")
-    copies = join_counted(rows, first, ["r1", "r2"]).where(F.struct("id", "at") != F.col("first")).select("id", "at").distinct()
+def _key(id_col: str, text: str) -> Column:
+    """A document: rows of one id are the same one only if their texts are."""
+    return F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_or_empty(text)).alias("text"))
+
+
+def _blocks(docs: DataFrame, id_col: str, text: str, min_lines: int) -> DataFrame:
+    """(id, at, r1, r2): the name of each min_lines lines in a row."""
+    names = F.transform(_lines(text), lambda line: F.struct(F.xxhash64(line), F.xxhash64(F.lit(7), line)))
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(_key(id_col, text).alias("id"), names.alias("names")).where(F.size("names") >= min_lines)
+    each = rows.select("id", "names", F.explode(F.sequence(F.lit(0), F.size("names") - min_lines)).alias("at"))
+    block = F.slice("names", F.col("at") + 1, min_lines)
+    return each.select("id", "at", F.xxhash64(block).alias("r1"), F.xxhash64(F.lit(min_lines), block).alias("r2"))
+
+
+def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(id, at, rank) of the rows whose key another row has, rank the key's place among them; rows: a written table."""
+    shared = written(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    placed = in_order(shared, key, "place", label="placed")
+    out = written(join_counted(rows, placed, key).select("id", "at", F.col("place").alias("rank")), "ranks")
+    drop_written(shared)
+    drop_written(placed)
+    return out
+
+
+def _further(rows: DataFrame, step: int) -> DataFrame:
+    """(id, at, rank, ahead): ranks with those step lines further on."""
+    return rows.join(rows.select("id", (F.col("at") - step).alias("at"), F.col("rank").alias("ahead")), ["id", "at"])
+
+
+def suffix_intervals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
+    """(lines in common, (id, at, rank)) of each round: its suffixes by document and line, those of one rank an interval.
+
+    Ranks are in the order of suffixes. The tables are written; drop_written() removes them.
+    """
+    blocks = written(_blocks(docs, id_col, text, min_lines), "lines")
+    rounds, size = [], min_lines
+    twice = _ranked(blocks, ["r1", "r2"])
+    rows = written(twice.dropDuplicates(["id", "at"]), "ranks")  # rows that repeat a document
+    drop_written(blocks)
+    drop_written(twice)
+    while not rows.isEmpty():
+        rounds.append((size, rows))
+        longer = written(_further(rows, size), "longer")
+        rows = _ranked(longer, ["rank", "ahead"])
+        drop_written(longer)
+        size *= 2
+    drop_written(rows)
+    return rounds
+
+
+def _runs(rows: DataFrame, min_lines: int) -> DataFrame:
+    """(id, first, last): the maximal runs of lines that the suffixes behind the first of an interval cover."""
+    first = written(rows.groupBy("rank").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")), "first")
+    copies = join_counted(rows, first, ["rank"]).where(F.struct("id", "at") != F.col("first")).select("id", "at")
     starts = copies.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("starts"))
     # starts at most min_lines apart touch: they belong to one run
     gaps = F.filter(
@@ -74,14 +106,35 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     return runs.select("id", "run.first", "run.last")
 
 
+def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """(id, runs, shared_lines) of documents that have a repeat: runs (first, last) of lines from 0 that repeat earlier ones."""
+    rounds = suffix_intervals(docs, id_col, text, min_lines)
+    if not rounds:
+        id_type = docs.select(_key(id_col, text).alias("id")).schema["id"].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"id {id_type}, runs array<struct<first:int,last:int>>, shared_lines int")
+    run = F.struct("first", "last")
+    none = F.lit(None).cast("struct<first:int,last:int>")
+    parts = [_runs(rounds[0][1], min_lines).select("id", run.alias("run"), F.lit(0).alias("shared"))]
+    parts += [rows.groupBy("id").agg(F.lit(size).alias("shared")).select("id", none.alias("run"), "shared") for size, rows in rounds]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    out = written(both.groupBy("id").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.max("shared").alias("shared_lines")), "repeats")
+    for _, rows in rounds:
+        drop_written(rows)
+    return out
+
+
 def strip_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> tuple[DataFrame, str]:
     """(docs with its text stripped and one struct column more, that column's name).
 
-    The struct has n_lines, n_removed, n_runs and longest_run. A text of which nothing is removed stays as it is.
+    The struct has n_lines, n_removed, n_runs, longest_run and shared_lines: what a suffix of the document has in common
+    with another, in doublings of min_lines, 0 if less than that. A text of which nothing is removed stays as it is.
     """
     name = fresh("line_dedup", docs.columns)
-    runs = later_copies(docs, id_col, text, min_lines).groupBy(F.col("id").alias(f"{name}_id")).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias(f"{name}_runs"))
-    joined = docs.join(runs, F.col(f"`{id_col}`") == F.col(f"{name}_id"), "left")
+    found = repeats(docs, id_col, text, min_lines).select(F.col("id").alias(f"{name}_id"), F.col("runs").alias(f"{name}_runs"), F.col("shared_lines").alias(f"{name}_shared"))
+    key = F.when(F.col(f"`{id_col}`").isNotNull(), _key(id_col, text))
+    joined = docs.join(found, key == F.col(f"{name}_id"), "left")
     runs_col = F.col(f"{name}_runs")
     lines = F.col(f"{name}_lines")
 
@@ -95,8 +148,9 @@ def strip_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
         F.coalesce(F.aggregate(lengths, F.lit(0), lambda s, n: s + n), F.lit(0)).cast("long").alias("n_removed"),
         F.greatest(F.size(runs_col), F.lit(0)).cast("long").alias("n_runs"),
         F.coalesce(F.array_max(lengths), F.lit(0)).cast("long").alias("longest_run"),
+        F.coalesce(F.col(f"{name}_shared"), F.lit(0)).cast("long").alias("shared_lines"),
     )
-    stripped = F.when(runs_col.isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))
+    stripped = F.when(F.size(runs_col) > 0, F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))
     full = joined.withColumn(f"{name}_lines", _lines(text)).withColumn(name, stats)
     columns = [stripped.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return full.select(*columns, name), name

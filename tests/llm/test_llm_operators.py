@@ -133,6 +133,45 @@ def test_line_dedup_over_many_runs(spark):
         assert {i: v[0] for i, v in by_id(out.select("doc_id", "text", f"{name}.*"), ["n_lines", "n_removed", "text"]).items()} == stripped(texts, n)
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_line_suffixes_are_in_order_and_share_prefixes(spark, n):
+    r = random.Random(5)
+    texts = {i: "\n".join(r.choice("ab") for _ in range(r.randint(0, 40))).split("\n") for i in range(30)}
+    texts[30] = texts[31] = [str(i) for i in range(50)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    rounds = line_dedup.suffix_intervals(df, min_lines=n)
+    assert [size for size, _ in rounds] == [n * 2**k for k in range(len(rounds))]
+    before = {}
+    for size, rows in rounds:
+        places = _windows(texts, size)
+        got, ranks = {}, {}
+        for row in rows.collect():
+            got.setdefault(row["rank"], set()).add((row["id"]["id"], row["at"]))
+            ranks[row["id"]["id"], row["at"]] = row["rank"]
+        assert sorted(map(sorted, got.values())) == sorted(sorted(p) for p in places.values() if len(p) > 1)
+        pairs = [((before[p], before[p[0], p[1] + size // 2]), ranks[p]) for p in ranks] if before else []
+        assert sorted(ranks[p] for p in ranks) == [x for _, x in sorted(pairs)] if pairs else True
+        before = ranks
+    assert not any(len(p) > 1 for p in _windows(texts, 2 * rounds[-1][0]).values())
+    out, name = line_dedup.strip_repeated_lines(df, min_lines=n)
+    shared = {i: v[0] for i, v in by_id(out.select("doc_id", f"{name}.*"), ["shared_lines"]).items()}
+    assert shared[30] == (max(size for size, _ in rounds if size <= 50),)
+
+
+def _windows(texts, size):
+    out = {}
+    for i, t in texts.items():
+        for k in range(len(t) - size + 1):
+            out.setdefault(tuple(t[k : k + size]), set()).add((i, k))
+    return out
+
+
+def test_line_dedup_of_one_id_with_two_texts(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc"), (1, "x\ny\na\nb\nc"), (2, "a\nb\nc\nd"), (1, "a\nb\nc")], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["text"]) for r in line_dedup.strip_repeated_lines(df)[0].collect())
+    assert out in ([(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "x\ny"), (2, "d")], [(1, ""), (1, ""), (1, "x\ny\na\nb\nc"), (2, "d")])
+
+
 def test_line_dedup_keeps_rows_without_id(spark):
     df = spark.createDataFrame([(None, "a\nb\nc", "", "", 0), (1, "a\nb\nc", "", "", 0), (2, "a\nb\nc", "", "", 0)], DOCS)
     assert sorted((r["doc_id"] or -1, r["text"]) for r in line_dedup.drop_repeated_lines(df).collect()) == [(-1, "a\nb\nc"), (1, "a\nb\nc")]
