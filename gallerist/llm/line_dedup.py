@@ -42,18 +42,26 @@ def _key(id_col: str, text: str) -> Column:
 def _blocks(docs: DataFrame, id_col: str, text: str, min_lines: int) -> DataFrame:
     """(id, at, r1, r2): the name of each min_lines lines in a row."""
     names = F.transform(_lines(text), lambda line: F.struct(F.xxhash64(line), F.xxhash64(F.lit(7), line)))
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(_key(id_col, text).alias("id"), names.alias("names")).where(F.size("names") >= min_lines)
-    each = rows.select("id", "names", F.explode(F.sequence(F.lit(0), F.size("names") - min_lines)).alias("at"))
-    block = F.slice("names", F.col("at") + 1, min_lines)
-    return each.select("id", "at", F.xxhash64(block).alias("r1"), F.xxhash64(F.lit(min_lines), block).alias("r2"))
-
-
-def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(id, at, rank) of the rows whose key another row has, rank the key's place among them; rows: a written table."""
-    shared = written(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    placed = in_order(shared, key, "place", label="placed")
-    out = written(join_counted(rows, placed, key).select("id", "at", F.col("place").alias("rank")), "ranks")
-    drop_written(shared)
+
+    def named(block: Column) -> Column:
+        return F.struct(F.xxhash64(block).alias("r1"), F.xxhash64(F.lit(min_lines), block).alias("r2"))
+
+    def blocks(names: Column) -> Column:
+        return F.when(F.size(names) >= min_lines, F.transform(F.sequence(F.lit(1), F.size(names) - (min_lines - 1)), lambda i: named(F.slice(names, i, min_lines))))
+
+    # bound as a variable, so that lines are named once
+    each = F.posexplode(F.transform(F.array(names), blocks)[0]).alias("at", "block")
+    return docs.where(F.col(f"`{id_col}`").isNotNull()).select(_key(id_col, text).alias("id"), each).select("id", "at", "block.r1", "block.r2")
+
+
+def _ranked(rows: DataFrame, key: list[str], twice: bool = False) -> DataFrame:
+    """(id, at, rank) of the rows whose key another row has, rank the key's place among them; rows: a written table.
+
+    twice: a document's rows may be there more than once.
+    """
+    placed = in_order(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), key, "place", label="placed")
+    shared = join_counted(rows, placed, key).select("id", "at", F.col("place").alias("rank"))
+    out = written(shared.dropDuplicates(["id", "at"]) if twice else shared, "ranks")
     drop_written(placed)
     return out
 
@@ -70,10 +78,8 @@ def suffix_intervals(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """
     blocks = written(_blocks(docs, id_col, text, min_lines), "lines")
     rounds, size = [], min_lines
-    twice = _ranked(blocks, ["r1", "r2"])
-    rows = written(twice.dropDuplicates(["id", "at"]), "ranks")  # rows that repeat a document
+    rows = _ranked(blocks, ["r1", "r2"], twice=True)
     drop_written(blocks)
-    drop_written(twice)
     while not rows.isEmpty():
         rounds.append((size, rows))
         longer = written(_further(rows, size), "longer")
@@ -133,8 +139,8 @@ def strip_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     """
     name = fresh("line_dedup", docs.columns)
     found = repeats(docs, id_col, text, min_lines).select(F.col("id").alias(f"{name}_id"), F.col("runs").alias(f"{name}_runs"), F.col("shared_lines").alias(f"{name}_shared"))
-    key = F.when(F.col(f"`{id_col}`").isNotNull(), _key(id_col, text))
-    joined = docs.join(found, key == F.col(f"{name}_id"), "left")
+    same = (F.col(f"`{id_col}`") == F.col(f"{name}_id.id")) & (F.xxhash64(text_or_empty(text)) == F.col(f"{name}_id.text"))
+    joined = docs.join(found, same, "left")
     runs_col = F.col(f"{name}_runs")
     lines = F.col(f"{name}_lines")
 
