@@ -140,7 +140,7 @@ def strip_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     name = fresh("line_dedup", docs.columns)
     found = repeats(docs, id_col, text, min_lines).select(F.col("id").alias(f"{name}_id"), F.col("runs").alias(f"{name}_runs"), F.col("shared_lines").alias(f"{name}_shared"))
     same = (F.col(f"`{id_col}`") == F.col(f"{name}_id.id")) & (F.xxhash64(text_or_empty(text)) == F.col(f"{name}_id.text"))
-    joined = docs.join(found, same, "left")
+    joined = docs.join(found.hint("merge"), same, "left")  # one way at every size: the table of repeats grows with docs
     runs_col = F.col(f"{name}_runs")
     lines = F.col(f"{name}_lines")
 
