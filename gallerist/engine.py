@@ -67,25 +67,27 @@ class Engine:
         rows = written(kernels.measure_images(wanted.where("image.height > 0")).withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(todo, "path").where("error IS NULL"), "measured")
         n = rows.count()
         if n:
-            self.catalog.upsert("sharpness", rows)
-            self.catalog.upsert("exposure", rows)
             e = self.cfg.defect.exposure
             flags = calibration.exposure_flags(rows, e.clipped_highlights_threshold, e.clipped_shadows_threshold)
-            self.catalog.upsert("defect_flags", flags, ["confidence", "reason"])
+            with self.catalog.transaction() as tx:
+                tx.upsert("sharpness", rows)
+                tx.upsert("exposure", rows)
+                tx.upsert("defect_flags", flags, ["confidence", "reason"])
         return n, todo.count() - n
 
     def calibrate(self) -> dict[str, int]:
         """Builds baselines anew and flags all files by them; exposure flags stay."""
         self.on_step("calibrate")
-        cat, blur = self.catalog, self.cfg.defect.blur
-        cleared = cat.delete_where("defect_flags", F.col("flag_type").isin(*BLUR_FLAGS))
-        built = calibration.sharpness_baselines(cat["sharpness"], cat["exif"], blur.min_samples_for_bucket)
-        cat.replace("sharpness_baseline", built.withColumn("aperture_bucket", F.pow(F.lit(2.0), F.col("aperture_index") / 3)).withColumn("last_updated", F.lit(int(time.time()))))
-        flags = calibration.reflag(cat["sharpness"], cat["exif"], cat["iqa"], cat["sharpness_baseline"], blur.min_samples_for_bucket, blur.iqa_second_opinion)
-        flags = written(flags, "flags")
-        cat.upsert("defect_flags", flags, ["confidence", "reason"])
+        blur = self.cfg.defect.blur
+        with self.catalog.transaction() as tx:
+            cleared = tx.delete_where("defect_flags", F.col("flag_type").isin(*BLUR_FLAGS))
+            built = calibration.sharpness_baselines(tx["sharpness"], tx["exif"], blur.min_samples_for_bucket)
+            tx.replace("sharpness_baseline", built.withColumn("aperture_bucket", F.pow(F.lit(2.0), F.col("aperture_index") / 3)).withColumn("last_updated", F.lit(int(time.time()))))
+            flags = calibration.reflag(tx["sharpness"], tx["exif"], tx["iqa"], tx["sharpness_baseline"], blur.min_samples_for_bucket, blur.iqa_second_opinion)
+            flags = written(flags, "flags")
+            tx.upsert("defect_flags", flags, ["confidence", "reason"])
         report = calibration.calibration_report(flags).first().asDict()
-        return report | {"flags_cleared": cleared, "buckets_built": cat["sharpness_baseline"].where("camera_model <> '*'").count()}
+        return report | {"flags_cleared": cleared, "buckets_built": self.catalog["sharpness_baseline"].where("camera_model <> '*'").count()}
 
     def dedupe(self) -> dict[str, int]:
         """Builds the groups of similar files anew."""
@@ -93,10 +95,12 @@ class Engine:
         cat = self.catalog
         scores = duplicates.quality_scores(duplicates.quality_inputs(cat["files"], cat["iqa"], cat["exposure"], cat["defect_flags"]))
         members = duplicates.run_dedupe(cat["files"], cat["embeddings"], cat["exif"], scores, self.cfg.dedupe)
-        members = cat.replace("duplicate_members", members)
-        groups = members.select(F.col("group_id").alias("id")).distinct().withColumn("method", F.lit(duplicates.METHOD)).withColumn("created_at", F.lit(int(time.time())))
-        n = cat.replace("duplicate_groups", groups).count()
-        return {"groups": n, "members": members.count(), "keepers": members.where("is_suggested_keeper").count()}
+        with cat.transaction() as tx:
+            tx.replace("duplicate_members", members)
+            members = tx["duplicate_members"]
+            groups = members.select(F.col("group_id").alias("id")).distinct().withColumn("method", F.lit(duplicates.METHOD)).withColumn("created_at", F.lit(int(time.time())))
+            tx.replace("duplicate_groups", groups)
+        return {"groups": cat["duplicate_groups"].count(), "members": members.count(), "keepers": members.where("is_suggested_keeper").count()}
 
     def analyze(self) -> dict[str, dict]:
         return {"scan": self.scan(), "calibrate": self.calibrate(), "dedupe": self.dedupe()}
@@ -123,21 +127,22 @@ class Engine:
 
     # decisions
     def decide(self, file_id: int, verdict: str, note: str | None = None) -> None:
-        self.catalog.replace("decisions", decisions.set_decision(self.catalog["decisions"], file_id, verdict, int(time.time()), note))
+        self.catalog.upsert("decisions", decisions.decision_row(self.spark, file_id, verdict, int(time.time()), note))
 
     def undecide(self, *file_ids: int) -> None:
-        self.catalog.replace("decisions", decisions.clear_decision(self.catalog["decisions"], *file_ids))
+        self.catalog.delete("decisions", self.spark.createDataFrame([(i,) for i in file_ids], "file_id long").coalesce(1))
+
+    def _keep(self, members: DataFrame, keepers: DataFrame) -> None:
+        self.catalog.upsert("decisions", decisions.keeper_rows(members, keepers, int(time.time())), decisions.KEEPER_COLUMNS)
 
     def pick_keeper(self, *file_ids: int) -> None:
-        keepers = self.spark.createDataFrame([(i,) for i in file_ids], "file_id long")
-        self.catalog.replace("decisions", decisions.pick_keepers(self.catalog["decisions"], self.catalog["duplicate_members"], keepers, int(time.time())))
+        self._keep(self.catalog["duplicate_members"], self.spark.createDataFrame([(i,) for i in file_ids], "file_id long"))
 
     def accept_all(self) -> None:
         """Picks the suggested keeper of every group without a keeper."""
         members = self.catalog["duplicate_members"]
         decided = members.join(self.catalog["decisions"].where("is_keeper").select("file_id"), "file_id", "left_semi").select("group_id").distinct()
-        keepers = members.where("is_suggested_keeper").join(decided, "group_id", "left_anti").select("file_id")
-        self.catalog.replace("decisions", decisions.pick_keepers(self.catalog["decisions"], members, keepers, int(time.time())))
+        self._keep(members, members.where("is_suggested_keeper").join(decided, "group_id", "left_anti").select("file_id"))
 
     # trees
     def review_tree(self, root: str, include: tuple[str, ...] = (), regenerate: bool = False) -> trees.CopyReport:
@@ -178,13 +183,16 @@ class Engine:
         found = written(models.infer(rows, embedder, scorer), "models")
         out = {"embedded": 0, "scored": 0}
         if embedder:
-            fresh = joins.missing_rows(found.where("vector IS NOT NULL"), self.catalog["embeddings"], "file_id")
-            out["embedded"] = fresh.count()
-            self.catalog.upsert("embeddings", fresh.select("file_id", F.lit(embedder.name).alias("model"), "vector"))
+            vectors = joins.missing_rows(found.where("vector IS NOT NULL"), self.catalog["embeddings"], "file_id")
+            out["embedded"] = vectors.count()
         if scorer:
-            fresh = joins.missing_rows(found.where("score IS NOT NULL"), self.catalog["iqa"], "file_id")
-            out["scored"] = fresh.count()
-            self.catalog.upsert("iqa", fresh.select("file_id", F.lit(scorer.name).alias("model"), "score"))
+            scores = joins.missing_rows(found.where("score IS NOT NULL"), self.catalog["iqa"], "file_id")
+            out["scored"] = scores.count()
+        with self.catalog.transaction() as tx:
+            if out["embedded"]:
+                tx.upsert("embeddings", vectors.select("file_id", F.lit(embedder.name).alias("model"), "vector"))
+            if out["scored"]:
+                tx.upsert("iqa", scores.select("file_id", F.lit(scorer.name).alias("model"), "score"))
         return out
 
     def prune_finished(self, root: str) -> int:
@@ -209,9 +217,9 @@ class Engine:
 
 def read_any(spark: SparkSession, store: str) -> DataFrame:
     """(folder_path, created_at, last_analyzed) of all libraries below store, the latest analysed first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/*/library_meta/_log")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/*/library_meta")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    metas = [Catalog(spark, f.getPath().getParent().getParent().toString())["library_meta"] for f in found]
+    metas = [Catalog(spark, f.getPath().getParent().toString())["library_meta"] for f in found]
     out = spark.createDataFrame([], SCHEMAS["library_meta"])
     for m in metas:
         out = out.unionByName(m)
@@ -222,7 +230,7 @@ def find_library(spark: SparkSession, store: str, path: str) -> str | None:
     """The nearest folder above a file that has a library."""
     folder = os.path.dirname(os.path.realpath(path))
     while True:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{library_key(folder)}/library_meta/_log")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{library_key(folder)}/library_meta")
         if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return folder
         if folder == os.path.dirname(folder):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gallerist.functions import expressions as X
+from gallerist.storage import in_order, written
 
 
 def missing_rows(left: DataFrame, right: DataFrame, left_key: str = "id", right_key: str = "file_id") -> DataFrame:
@@ -26,21 +27,57 @@ def work_list(files: DataFrame, embeddings: DataFrame, iqa: DataFrame) -> DataFr
     return both.select("id", "path", F.isnull("e").alias("want_embedding"), F.isnull("q").alias("want_iqa")).where("want_embedding OR want_iqa")
 
 
-def interval_pairs(df: DataFrame, key: str, at: str, window: int, keep: list[str] | None = None) -> DataFrame:
+#: Rows of a block in order of time. A bucket with more isn't joined as a whole.
+BLOCK = 2048
+
+
+def blocks_in_time(timed: DataFrame, key: str, at: str, window: int, block: int = BLOCK) -> DataFrame:
+    """Rows of timed dealt to pairs of blocks (i, j), own being i or j: whatever is at most window apart meets in one pair.
+
+    Rows are put in order of time by a sort by range and cut into blocks of equal size, so one instant that a million rows
+    share makes some hundred blocks and not one. A block is paired with itself and with those after it that begin within
+    window of its end; to another block only rows go that are near enough to its border.
+    """
+    placed = in_order(written(timed, "timed"), [at, key], "place").withColumn("own", F.floor(F.col("place") / block).cast("int")).drop("place")
+    spans = written(placed.groupBy("own").agg(F.min(at).alias("low"), F.max(at).alias("high")), "spans")
+    # how many blocks begin before a block's end and window are past: one merge of beginnings and ends in order
+    marks = spans.select(F.col("low").alias("value"), F.lit(None).cast("int").alias("i"), F.lit(1).alias("n"))
+    marks = written(marks.unionByName(spans.select((F.col("high") + window).alias("value"), F.col("own").alias("i"), F.lit(0).alias("n"))), "marks")
+    reach = in_order(marks, [F.asc("value"), F.desc("n")], "upto", "n").where("i IS NOT NULL")
+    pairs = reach.select("i", F.explode(F.sequence("i", (F.col("upto") - 1).cast("int"))).alias("j"), (F.col("value") - window).alias("high"))
+    pairs = written(pairs.join(spans.select(F.col("own").alias("j"), "low"), "j"), "pairs")
+    left = placed.join(pairs.select("i", "j", "low"), F.col("own") == F.col("i")).where(F.col(at) >= F.col("low") - window).drop("low")
+    right = placed.join(pairs.where("i < j").select("i", "j", "high"), F.col("own") == F.col("j")).where(F.col(at) <= F.col("high") + window).drop("high")
+    return left.unionByName(right)
+
+
+def interval_pairs(df: DataFrame, key: str, at: str, window: int, keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs of rows whose times are at most window apart, the smaller key first: (a_key, b_key, apart, and kept columns).
 
-    Each row is in the bucket of its time; one side is also matched from the neighbouring buckets, so this is an
-    equality join on a bucket with a residual test, and the cost follows the pairs and not the square of the table.
+    Each row is in the bucket of its time; one side is also matched from the neighbouring buckets, so this is an equality
+    join on a bucket with a residual test, and never a nested loop. If a bucket has more than block rows, rows are cut into
+    blocks by their order in time instead (blocks_in_time), with the same result.
     """
     keep = keep or []
     width = max(int(window), 1)
-    timed = df.where(F.col(at).isNotNull())
+    timed = df.where(F.col(at).isNotNull()).select(key, at, *keep)
     bucket = F.floor(F.col(at) / F.lit(width))
-    left = timed.select(F.col(key).alias(f"a_{key}"), F.col(at).alias("a_at"), *[F.col(c).alias(f"a_{c}") for c in keep], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__bucket"))
-    right = timed.select(F.col(key).alias(f"b_{key}"), F.col(at).alias("b_at"), *[F.col(c).alias(f"b_{c}") for c in keep], bucket.alias("__bucket"))
+    named = lambda side: [F.col(key).alias(f"{side}_{key}"), F.col(at).alias(f"{side}_at"), *[F.col(c).alias(f"{side}_{c}") for c in keep]]
+    first = F.col(f"a_{key}") < F.col(f"b_{key}")
     apart = F.abs(F.col("a_at") - F.col("b_at"))
-    pairs = left.join(right, "__bucket").where((F.col(f"a_{key}") < F.col(f"b_{key}")) & (apart <= window))
-    return pairs.withColumn("apart", apart).drop("__bucket", "a_at", "b_at")
+    most = timed.groupBy(bucket).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= block:
+        left = timed.select(*named("a"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__bucket"))
+        pairs = left.join(timed.select(*named("b"), bucket.alias("__bucket")), "__bucket").where(first & (apart <= window))
+    else:
+        dealt = blocks_in_time(timed, key, at, window, block)
+        left = dealt.where("own = i").select("i", "j", *named("a"))
+        right = dealt.where("own = j").select("i", "j", *named("b"))
+        met = left.join(right, ["i", "j"]).where(apart <= window)
+        turned = [F.col(c).alias(("b" if c[0] == "a" else "a") + c[1:]) for c in met.columns if c[:2] in ("a_", "b_")]
+        # of two blocks each pair is met once, in the order of time; in one block twice
+        pairs = met.where(first).unionByName(met.where((F.col("i") < F.col("j")) & (F.col(f"b_{key}") < F.col(f"a_{key}"))).select("i", "j", *turned))
+    return pairs.withColumn("apart", apart).select(f"a_{key}", f"b_{key}", *[f"{s}_{c}" for c in keep for s in "ab"], "apart")
 
 
 def with_baseline(rows: DataFrame, baselines: DataFrame, min_samples: int) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import interval_pairs
+from .joins import blocks_in_time
 
 BLOCK = 2048
 EXACT_UP_TO = 50_000
@@ -231,11 +231,34 @@ def knn(df: DataFrame, k: int, block: int = BLOCK, exact: bool | None = None) ->
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def close_pairs(vectors: DataFrame, times: DataFrame, window: int, within: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) with a < b: vectors (id, vector) whose times (id, captured_at) are at most window apart and that are alike by within.
+
+    Times are cut into blocks in their order and blocks within reach of each other compared by a matrix product, so what
+    leaves a task are pairs that pass; no pair is made of rows that share an instant and nothing else.
+    """
+    vectors = vectors.where(F.col("vector").isNotNull())
+    timed = times.where(F.col("captured_at").isNotNull()).join(vectors.select("id"), "id", "left_semi").select("id", "captured_at")
+    rows = blocks_in_time(timed, "id", "captured_at", window, block).join(vectors.select("id", "vector"), "id")
+
+    def emit(t) -> Iterator:
+        import pyarrow as pa
+
+        same, a, x, b, y = _sides(t)
+        if not (len(a) and len(b)):
+            return
+        own, at = t["own"].to_numpy(), t["captured_at"].to_numpy()
+        near = np.abs(at[own == t["i"][0].as_py()][:, None] - at[own == t["j"][0].as_py()][None, :]) <= window
+        to, of = np.nonzero((x @ y.T >= within) & near)
+        first, second = a[to], b[of]
+        keep = first < second if same else first != second
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)[keep]), pa.array(np.maximum(first, second)[keep])], names=["a", "b"])
+
+    dealt = rows.select("i", "j", "own", "id", "captured_at", "vector").repartition("i", "j").sortWithinPartitions("i", "j")
+    return dealt.mapInArrow(lambda batches: _work(batches, emit), "a long, b long")
+
+
 def similarity_edges(vectors: DataFrame, times: DataFrame, window: int, within: float, overall: float, k: int) -> DataFrame:
     """(a, b): pairs close in time and alike by within, and each vector's k nearest that are alike by overall."""
-    timed = times.join(vectors.select("id"), "id", "left_semi")
-    side = lambda s: vectors.select(F.col("id").alias(f"{s}_id"), F.col("vector").alias(f"{s}_vector"))
-    close = interval_pairs(timed.select("id", "captured_at"), "id", "captured_at", window)  # vectors are fetched for pairs alone
-    close = close.join(side("a"), "a_id").join(side("b"), "b_id").where(cosine(F.col("a_vector"), F.col("b_vector")) >= within)
     near = knn(vectors, k).where(F.col("similarity") >= overall)
-    return close.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).union(near.select(F.least("id", "neighbour"), F.greatest("id", "neighbour"))).distinct()
+    return close_pairs(vectors, times, window, within).union(near.select(F.least("id", "neighbour"), F.greatest("id", "neighbour"))).distinct()

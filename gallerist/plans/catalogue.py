@@ -512,14 +512,19 @@ def clear_blur_flags(cat):
     return _rounded(cat["defect_flags"].where(~F.col("flag_type").isin(*BLUR_FLAGS)), "confidence")
 
 
-def _stored(cat, *batches: DataFrame) -> DataFrame:
-    """The files of a store of its own after an upsert of each batch."""
+def _store(cat):
+    """A store of its own below the shared folder."""
     import uuid
 
     from gallerist.catalog import Catalog
     from gallerist.storage import shared_dir
 
-    store = Catalog(cat.spark, f"{shared_dir(cat.spark)}/catalogue-{uuid.uuid4().hex}")
+    return Catalog(cat.spark, f"{shared_dir(cat.spark)}/catalogue-{uuid.uuid4().hex}")
+
+
+def _stored(cat, *batches: DataFrame) -> DataFrame:
+    """The files of a store of its own after an upsert of each batch."""
+    store = _store(cat)
     for rows in batches:
         store.upsert("files", rows.drop("id"))
     return store["files"]
@@ -532,6 +537,80 @@ def catalog_upsert(cat):
     return _stored(cat, cat["files"].where("id % 2 = 0"), later).select("id", "path", "size_bytes")
 
 
+@query("SELECT path, size_bytes + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS size_bytes, captured_at, camera_model FROM files LEFT JOIN exif ON file_id = id")
+def one_commit(cat):
+    """Files and their metadata in three commits over both tables; the second fails between them."""
+    store, named = _store(cat), cat["exif"].join(cat["files"].select(F.col("id").alias("file_id"), "path"), "file_id").drop("file_id")
+
+    def put(files: DataFrame, fails: bool = False) -> None:
+        with store.transaction() as tx:
+            tx.upsert("files", files.drop("id"))
+            if fails:
+                raise InterruptedError
+            tx.upsert("exif", named.join(tx["files"].select(F.col("id").alias("file_id"), "path"), "path"))
+
+    put(cat["files"].where("id % 2 = 0 OR id % 3 <> 0"))
+    try:
+        put(cat["files"].withColumn("size_bytes", F.lit(0)), fails=True)
+    except InterruptedError:
+        pass
+    put(cat["files"].where("id % 3 = 0").withColumn("size_bytes", F.col("size_bytes") + 1))
+    return store["files"].join(store["exif"].withColumnRenamed("file_id", "id"), "id", "left").select("path", "size_bytes", "captured_at", "camera_model")
+
+
+#: Verdicts set and cleared in ten rounds of events, the last round of a file being the one that counts.
+ROUNDS = 10
+
+
+@query(f"""SELECT file_id, verdict, decided_at FROM (
+SELECT coalesce(d.file_id, l.file_id) AS file_id, CASE WHEN l.file_id IS NULL THEN d.verdict WHEN NOT l.cleared THEN l.verdict END AS verdict, CASE WHEN l.file_id IS NULL THEN 0 ELSE l.event_id END AS decided_at
+FROM decisions d FULL JOIN (
+  SELECT user_id AS file_id, arg_max(CASE WHEN event_type = 'click' THEN 'keep' ELSE 'reject' END, event_id) FILTER (event_type <> 'error') AS verdict, max(event_id) FILTER (event_type <> 'error') AS event_id, bool_or(event_type = 'error') AS cleared
+  FROM (SELECT *, max(event_id % {ROUNDS}) OVER (PARTITION BY user_id) AS last FROM events) WHERE event_id % {ROUNDS} = last GROUP BY user_id) l ON l.file_id = d.file_id) WHERE verdict IS NOT NULL""")
+def change_log(cat):
+    """Each round is one commit that sets verdicts and then clears others; the store merges and compacts what was changed."""
+    store = _store(cat)
+    store.replace("decisions", cat["decisions"])
+    events = cat.source("events").select(F.col("user_id").alias("file_id"), "event_id", "event_type")
+    for i in range(ROUNDS):
+        of = events.where(F.col("event_id") % ROUNDS == i)
+        verdict = F.when(F.col("event_type") == "click", "keep").otherwise("reject")
+        made = of.where("event_type <> 'error'").groupBy("file_id").agg(F.max_by(verdict, "event_id").alias("verdict"), F.max("event_id").alias("decided_at"))
+        with store.transaction() as tx:
+            tx.upsert("decisions", made)
+            tx.delete("decisions", of.where("event_type = 'error'").select("file_id"))
+    return store["decisions"].select("file_id", "verdict", "decided_at")
+
+
+@query("SELECT id, path, size_bytes, 5 AS version FROM files")
+def migrated_store(cat):
+    """Files of a store of the first version, with a log for each table, after it was opened twice."""
+    import uuid
+
+    from gallerist.catalog import Catalog
+    from gallerist.storage import shared_dir
+
+    root, spark = f"{shared_dir(cat.spark)}/catalogue-{uuid.uuid4().hex}", cat.spark
+    for table, df in (("files", cat["files"]), ("raw_stats", cat["raw_stats"]), ("schema_version", spark.createDataFrame([(1,)], "version int"))):
+        df.write.parquet(f"{root}/{table}/00000000-first")
+        spark.createDataFrame([("00000000-first",)], "name string").coalesce(1).write.option("lineSep", "").text(f"{root}/{table}/_written")
+        _move_text(spark, f"{root}/{table}/_written", f"{root}/{table}/_log/00000000")
+    Catalog(spark, root)
+    store = Catalog(spark, root)
+    if store["raw_stats"].limit(1).count():
+        raise ValueError("statistics of an older version are left")
+    return store["files"].join(F.broadcast(store["schema_version"]), F.lit(True)).select("id", "path", "size_bytes", "version")
+
+
+def _move_text(spark: SparkSession, folder: str, to: str) -> None:
+    """The one text file that Spark wrote into folder, under a name."""
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(path(folder)) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(path(to).getParent())
+    fs.rename(part, path(to))
+
+
 @query("SELECT path, file_id, captured_at, camera_model FROM files JOIN exif ON file_id = id WHERE id % 20 = 0")
 def exif_by_path(cat):
     return review.exif_by_path(cat, cat["files"].where("id % 20 = 0").select("path")).select("path", "file_id", "captured_at", "camera_model")

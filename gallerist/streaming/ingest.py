@@ -10,7 +10,7 @@ from gallerist.catalog import Catalog
 from gallerist.functions import expressions as X
 from gallerist.operators import joins
 from gallerist.sources.exif import exif_rows
-from gallerist.storage import written
+from gallerist.storage import drop_written, written
 
 
 def file_stream(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
@@ -22,22 +22,32 @@ def file_stream(spark: SparkSession, root: str, per_trigger: int = 1000) -> Data
     return found.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"), "content")
 
 
-def take_in(catalog: Catalog, batch: DataFrame, at: int) -> int:
-    """Upserts files and their metadata; files known with the same time and size are passed over. Returns the number taken in."""
+def take_in(catalog: Catalog, batch: DataFrame, at: int, app: str | None = None, number: int = 0) -> int:
+    """Puts files and their metadata in by one commit; files known with the same time and size are passed over. Returns the number taken in.
+
+    app, number: a stream and its batch. A batch that was committed before is passed over, so one that is repeated after a
+    failure counts once.
+    """
+    if app is not None and catalog.applied(app) >= number:
+        return 0
     known = batch.where(X.file_format(F.col("path")).isNotNull())
     fresh = joins.needs_processing(known, catalog["files"])
     rows = written(exif_rows(fresh).join(fresh.select("path", "mtime_ns", "size_bytes"), "path"), "ingest")
     n = rows.count()
     if n:
-        catalog.upsert("files", rows.select("path", "content_hash", "size_bytes", "mtime_ns", X.file_format(F.col("path")).alias("file_format"), F.lit(False).alias("has_sidecar_jpg"), F.lit(at).alias("last_processed")))
-        ids = catalog["files"].select(F.col("id").alias("file_id"), "path")
-        catalog.upsert("exif", rows.join(ids, "path"))
+        with catalog.transaction() as tx:
+            tx.upsert("files", rows.select("path", "content_hash", "size_bytes", "mtime_ns", X.file_format(F.col("path")).alias("file_format"), F.lit(False).alias("has_sidecar_jpg"), F.lit(at).alias("last_processed")))
+            ids = tx["files"].select(F.col("id").alias("file_id"), "path")
+            tx.upsert("exif", rows.join(ids, "path"))
+            if app is not None:
+                tx.mark(app, number)
+    drop_written(rows)
     return n
 
 
 def run_ingest(catalog: Catalog, root: str, checkpoint: str, at: int, once: bool = True, per_trigger: int = 1000) -> StreamingQuery:
-    """Starts the stream; with once it ends when all that is there is taken in."""
-    writer = file_stream(catalog.spark, root, per_trigger).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: take_in(catalog, df, at) and None)
+    """Starts the stream; with once it ends when all that is there is taken in. The stream is known by its checkpoint."""
+    writer = file_stream(catalog.spark, root, per_trigger).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: take_in(catalog, df, at, checkpoint, i) and None)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

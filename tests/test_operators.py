@@ -26,6 +26,41 @@ def test_interval_pairs_of_window_zero(spark):
     assert rows(joins.interval_pairs(df, "id", "t", 0), "a_id", "b_id") == [(1, 2)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 64])
+@pytest.mark.parametrize("window", [0, 3, 40])
+def test_interval_pairs_in_blocks_of_time(spark, block, window):
+    r = np.random.default_rng(block * 100 + window)
+    times = [(i, int(t)) for i, t in enumerate([*r.integers(-50, 400, 60), *[100] * 25, *[103] * 4, *r.integers(100_000, 100_050, 10)])]
+    df = spark.createDataFrame([(i, t, f"n{i}") for i, t in [*times, (900, None)]], "id long, t long, name string")
+    want = sorted((a, b, f"n{a}", f"n{b}", abs(x - y)) for a, x in times for b, y in times if a < b and abs(x - y) <= window)
+    got = joins.interval_pairs(df, "id", "t", window, ["name"], block)
+    assert got.columns == ["a_id", "b_id", "a_name", "b_name", "apart"] and rows(got, *got.columns) == want
+
+
+def test_an_instant_shared_by_many_rows_is_spread(spark):
+    n, block = 200_000, 2048
+    df = spark.range(n).select("id", F.lit(7).cast("long").alias("t")).union(spark.range(n, n + 50_000).select("id", F.col("id") * 1000))
+    dealt = joins.blocks_in_time(df, "id", "t", 60, block)
+    by = dealt.groupBy("i", "j").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*"), F.sum("n")).first()
+    assert by[0] <= 2 * block and by[1] >= 98 * 99 // 2
+    alone = dealt.where(F.col("id") > n + block).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert alone == 1  # rows that are near nothing aren't sent to other blocks
+
+
+def test_close_pairs_of_one_instant(spark):
+    r = np.random.default_rng(2)
+    m = r.normal(size=(300, 6))
+    m[150:200] = m[0] + r.normal(size=(50, 6)) * 0.05
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    at = [5] * 200 + [int(x) for x in r.integers(0, 60, 100)]
+    v = spark.createDataFrame([*enumerate(m.tolist()), (999, None)], "id long, vector array<double>")
+    t = spark.createDataFrame([*enumerate(at), (999, 5), (998, 5), (997, None)], "id long, captured_at long")
+    s = m @ m.T
+    want = sorted((i, j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.9 and abs(at[i] - at[j]) <= 4)
+    for block in (16, 2048):
+        assert rows(vectors.close_pairs(v, t, 4, 0.9, block), "a", "b") == want
+
+
 @pytest.mark.parametrize("block", [3, 2048])
 def test_vectors_against_numpy(spark, block):
     rng = np.random.default_rng(1)
@@ -149,6 +184,46 @@ def test_unique_names(spark):
     assert {got[("d", "/y/.hidden")], got[("d", "/z/.hidden")]} == {".hidden", ".hidden (2)"}
 
 
+def one_after_the_other(plan):
+    taken, out = set(), []
+    for d, o in sorted(set(plan), key=lambda r: (r[0], r[1].encode())):
+        name = base = o.rsplit("/", 1)[-1]
+        dot, n = base.rfind("."), 2
+        head, tail = (base[:dot], base[dot:]) if dot > 0 else (base, "")
+        while (d, name) in taken:
+            name, n = f"{head} ({n}){tail}", n + 1
+        taken.add((d, name))
+        out.append((d, o, name))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_unique_names_one_after_the_other(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    bases = ["x.jpg", "x (2).jpg", "x (3).jpg", "x (4).jpg", "x (7).jpg", "x (2) (2).jpg", "x (2) (3).jpg", "x (3) (2).jpg", "x (2) (2) (2).jpg", "x (02).jpg", "x (1).jpg", ".x", ".x (2)", "x", "x (2)", "x (3)", " (2).jpg", ".jpg", "a.b (2)", "a.b", "é (2).x", "é.x", "y.JPG"]
+    bases = bases if seed else bases[:6]
+    plan = [(r.choice("de"), f"/{r.choice('abcdefgh')}{r.randint(0, 9)}/{r.choice(bases)}") for _ in range(400)]
+    got = output.unique_names(spark.createDataFrame(plan, "rel_dir string, original string"))
+    assert rows(got, "rel_dir", "original", "name") == one_after_the_other(plan)
+
+
+def test_one_name_a_million_times(spark):
+    n = 1_000_000
+    plan = spark.range(n).select(F.lit("d").alias("rel_dir"), F.format_string("/%07d/x.jpg", "id").alias("original"))
+    own = spark.createDataFrame([("d", "/0000000a/x (500).jpg"), ("d", "/9999999/x (700).jpg")], "rel_dir string, original string")
+    got = output.unique_names(plan.union(own))
+    assert tuple(got.agg(F.count("*"), F.countDistinct("name")).first()) == (n + 2, n + 2)
+    name = {x["original"]: x["name"] for x in got.where("original IN ('/0000000/x.jpg', '/0000001/x.jpg', '/0000498/x.jpg', '/0000499/x.jpg', '/0999999/x.jpg', '/0000000a/x (500).jpg', '/9999999/x (700).jpg')").collect()}
+    assert name == {
+        "/0000000/x.jpg": "x.jpg", "/0000001/x.jpg": "x (2).jpg", "/0000498/x.jpg": "x (499).jpg", "/0000499/x.jpg": "x (501).jpg", "/0999999/x.jpg": "x (1000001).jpg",
+        "/0000000a/x (500).jpg": "x (500).jpg", "/9999999/x (700).jpg": "x (700) (2).jpg",
+    }
+    parts = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) > 1 and max(p["count"] for p in parts) < 0.7 * n
+
+
 def test_filtered(spark):
     df = spark.createDataFrame([(1, "blur", None, None, False), (2, "", "keep", 4, True), (3, "blur,low_iqa", "reject", None, False)], "file_id long, flags string, verdict string, group_id long, is_keeper boolean")
     ids = lambda *a, **k: [r[0] for r in rows(review.filtered(df, *a, **k), "file_id")]
