@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._common import written
 from .shingles import lowered, word_hashes
 
-ORDER = 5
+ORDER = 6
 MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 19  # of those looked up in place
 LEAN = 16  # occurrences that method D counts for in a class of contexts
 MARK = 0xFF
