@@ -100,7 +100,7 @@ def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
                     if learnt:
                         words.append(np.unique(word_hashes(b"\n".join(texts[s:e]))[0], return_counts=True))
                     s, since = e, since + size
-                    if since >= 8_000_000 or s == len(texts):  # so that what is held follows this and not the batch
+                    if since >= 4_000_000 or s == len(texts):  # so that what is held follows this and not the batch
                         if learnt:
                             yield rows(_WORD, _tally(words), True)
                         yield rows(_GRAM, _tally(grams), learnt)
