@@ -9,16 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import models
+from . import finish, models
 from .catalog import Catalog
 from .functions import kernels
 from .operators import aggregates, calibration, decisions, develop, duplicates, joins, output, review
 from .schemas import BLUR_FLAGS, SCHEMAS
 from .sinks import trees
 from .sinks.cache import ContentCache
-from .sources import listing
+from .sources import content, listing
 from .sources.config import Config
-from .storage import written
+from .storage import drop_written, written
 from .streaming.ingest import take_in
 
 
@@ -37,35 +37,44 @@ class Engine:
         self.catalog = Catalog(spark, f"{store}/{library_key(folder)}")
         self.catalog.set_library_meta(self.folder, int(time.time()))
 
-    def _listing(self, content: bool = False) -> DataFrame:
-        found = listing.list_files(self.spark, self.folder, content)
+    def _all_files(self) -> DataFrame:
+        return listing.list_files(self.spark, self.folder, self.cfg.ingest.follow_symlinks)
+
+    def _photos(self, found: DataFrame) -> DataFrame:
         return listing.without_sidecars(listing.ingestable(found, self.folder, self.cfg.ingest.extensions))
 
     def count_pending(self) -> int:
-        return joins.needs_processing(self._listing(), self.catalog["files"]).count()
+        return joins.needs_processing(self._photos(self._all_files()), self.catalog["files"]).count()
 
-    def scan(self) -> dict[str, int]:
-        """Takes in new and changed files and measures those without measures."""
+    def scan(self, detector: models.Detector | None = None) -> dict[str, int]:
+        """Takes in new and changed files and measures those without measures; other files are listed and not opened."""
         self.on_step("ingest")
-        total = self._listing().count()
-        taken = take_in(self.catalog, self._listing(content=True), int(time.time()))
-        self._flag_sidecars()
+        found = self._all_files()
+        photos = self._photos(found)
+        total = photos.count()
+        taken = take_in(self.catalog, photos, int(time.time()))
+        self._flag_sidecars(found)
         self.on_step("defects")
-        measured, failed = self.analyze_defects()
+        measured, failed = self.analyze_defects(detector)
         self.catalog.set_last_analyzed(int(time.time()))
         return {"processed": taken, "skipped": total - taken, "measured": measured, "errored": failed}
 
-    def _flag_sidecars(self) -> None:
-        files = listing.with_sidecar_flag(self.catalog["files"].drop("has_sidecar_jpg"), listing.list_files(self.spark, self.folder))
-        self.catalog.replace("files", files)
+    def _flag_sidecars(self, found: DataFrame) -> None:
+        """Puts in the flag where it has changed."""
+        with self.catalog.transaction() as tx:
+            files = tx["files"].withColumnRenamed("has_sidecar_jpg", "had")
+            changed = written(listing.with_sidecar_flag(files, found).where(~F.col("had").eqNullSafe(F.col("has_sidecar_jpg"))).select("path", "has_sidecar_jpg"), "sidecars")
+            if changed.limit(1).count():
+                tx.upsert("files", changed, ["has_sidecar_jpg"])
+        drop_written(changed)
 
-    def analyze_defects(self) -> tuple[int, int]:
+    def analyze_defects(self, detector: models.Detector | None = None) -> tuple[int, int]:
         """(measured, unreadable) files without sharpness; raw files need a decoder and are left for it."""
         todo = joins.missing_rows(self.catalog["files"], self.catalog["sharpness"]).where("file_format = 'jpg'").select(F.col("id").alias("file_id"), "path")
-        images = self.spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(self.folder)
-        wanted = images.withColumn("path", F.regexp_replace("image.origin", "^file:/+", "/")).join(todo, "path")
-        rows = written(kernels.measure_images(wanted.where("image.height > 0")).withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(todo, "path").where("error IS NULL"), "measured")
+        with content.pictures(todo) as images:
+            rows = written(kernels.measure_images(images.where("image.height > 0"), self.cfg.defect.blur, detector).where("error IS NULL").withColumn("file_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long")), "measured")
         n = rows.count()
+        unreadable = todo.count() - n
         if n:
             e = self.cfg.defect.exposure
             flags = calibration.exposure_flags(rows, e.clipped_highlights_threshold, e.clipped_shadows_threshold)
@@ -73,7 +82,8 @@ class Engine:
                 tx.upsert("sharpness", rows)
                 tx.upsert("exposure", rows)
                 tx.upsert("defect_flags", flags, ["confidence", "reason"])
-        return n, todo.count() - n
+        drop_written(rows)
+        return n, unreadable
 
     def calibrate(self) -> dict[str, int]:
         """Builds baselines anew and flags all files by them; exposure flags stay."""
@@ -155,9 +165,7 @@ class Engine:
     def _estimate(self, plan: DataFrame, root: str) -> DataFrame:
         """(files, bytes) that copying a plan below root would write now."""
         sources = self.catalog["files"].select("path", "size_bytes", "mtime_ns")
-        there = listing.list_files(self.spark, root) if os.path.isdir(root) and os.listdir(root) else self.spark.createDataFrame([], "path string, mtime_ns long, size_bytes long")
-        there = there.withColumn("rel_path", F.expr(f"substr(path, {len(os.path.realpath(root)) + 2})"))
-        return output.copy_estimate(output.copies_needed(output.unique_names(plan), sources, there))
+        return output.copy_estimate(output.copies_needed(output.unique_names(plan), sources, trees.listing(self.spark, root)))
 
     def estimate_review_tree(self, root: str, include: tuple[str, ...] = ()) -> DataFrame:
         return self._estimate(output.review_tree_plan(review.review_entries(self.catalog), review.groups_for_review(self.catalog), include), root)
@@ -168,19 +176,18 @@ class Engine:
     def cache_previews(self) -> int:
         """Previews of files whose content has none yet, under the hash of the content; the number of contents there are then."""
         cache = ContentCache(self.spark, f"{self.catalog.root}/cache")
-        todo = cache.missing(self.catalog["files"].where("file_format = 'jpg'").select("content_hash", "path"))
-        images = self.spark.read.format("image").option("recursiveFileLookup", True).load(self.folder)
-        made = kernels.previews(images.withColumn("path", F.regexp_replace("image.origin", "^file:/+", "/")).join(todo.select("path"), "path"), self.cfg.ingest.preview_max_long_edge)
-        cache.add(made.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(todo, "path"))
+        todo = cache.missing(self.catalog["files"].where("file_format = 'jpg'").select("content_hash", "path", F.col("id").alias("file_id")))
+        with content.pictures(todo) as images:
+            made = kernels.previews(images, self.cfg.ingest.preview_max_long_edge).withColumn("file_id", F.regexp_extract("path", r"(\d+)$", 1).cast("long"))
+            cache.add(made.select("file_id", "bytes").join(todo, "file_id"))
         return cache.read().count()
 
     def analyze_models(self, embedder: models.Embedder | None = None, scorer: models.Scorer | None = None) -> dict[str, int]:
         """Vectors and scores of files that lack them, by models given as plug-ins; either may be missing."""
         self.on_step("models")
         work = joins.work_list(self.catalog["files"], self.catalog["embeddings"], self.catalog["iqa"])
-        images = self.spark.read.format("image").option("recursiveFileLookup", True).load(self.folder)
-        rows = images.withColumn("path", F.regexp_replace("image.origin", "^file:/+", "/")).join(work, "path").select(F.col("id").alias("file_id"), "image")
-        found = written(models.infer(rows, embedder, scorer), "models")
+        with content.pictures(work.select(F.col("id").alias("file_id"), "path")) as images:
+            found = written(models.infer(images, embedder, scorer), "models")
         out = {"embedded": 0, "scored": 0}
         if embedder:
             vectors = joins.missing_rows(found.where("vector IS NOT NULL"), self.catalog["embeddings"], "file_id")
@@ -196,16 +203,14 @@ class Engine:
         return out
 
     def prune_finished(self, root: str) -> int:
-        """Removes outputs and edits of files that aren't kept any more; files below root that no edit records stay."""
-        gone = review.orphaned_edits(self.catalog["edits"], self.catalog["decisions"])
-        removed = 0
-        for r in gone.where("output_path IS NOT NULL").select("output_path").toLocalIterator():
-            path = os.path.realpath(r["output_path"])
-            if path.startswith(os.path.realpath(root) + os.sep) and os.path.exists(path):
-                os.remove(path)
-                removed += 1
-        self.catalog.replace("edits", self.catalog["edits"].join(gone.select("file_id"), "file_id", "left_anti"))
-        return removed
+        """Removes edits of files that aren't kept any more, and what else is below root that no edit of a kept file records."""
+        kept = self.catalog["edits"].join(self.catalog["decisions"].where("verdict = 'keep'").select("file_id"), "file_id", "left_semi")
+        return finish.prune(self.catalog, root, kept.where("output_path IS NOT NULL").select("output_path"))
+
+    def finish(self, root: str, decoder: models.RawDecoder, renderer: models.Renderer, look: models.LookPredictor | None = None, scorer: models.Scorer | None = None, **options) -> finish.FinishReport:
+        """Finishes the kept raw files into root, by a decoder and a renderer given as plug-ins."""
+        luts = os.path.join(self.catalog.root.removeprefix("file://"), "cache", "luts") if "://" not in self.catalog.root.removeprefix("file://") else None
+        return finish.finish(self.catalog, root, decoder, renderer, look, scorer, self.cfg.develop, self.cfg.defect.blur.min_samples_for_bucket, luts=luts, on_step=self.on_step, **options)
 
     def finish_plan(self, renderer: str = "external") -> DataFrame:
         """What finishing would do with each kept file; rendering itself is left to a renderer given the profile."""

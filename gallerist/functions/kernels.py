@@ -195,8 +195,12 @@ def image_array(row: dict) -> np.ndarray:
 DEFECTS = "path string, s_global double, s_subject double, s_background double, subject_ratio double, detector_used string, clipped_highlights double, clipped_shadows double, mean_luma double, histogram_skew double, width int, height int, error string"
 
 
-def measure_images(images: DataFrame, cfg: BlurConfig = BlurConfig()) -> DataFrame:
-    """One row of DEFECTS for each row of Spark's image source (a column image); one that can't be read has error set."""
+def measure_images(images: DataFrame, cfg: BlurConfig = BlurConfig(), detector=None) -> DataFrame:
+    """One row of DEFECTS for each row of Spark's image source (a column image); one that can't be read has error set.
+
+    detector: a plug-in whose detect(rgb) gives boxes as shares of the image ({x, y, w, h} and more), by which subject and
+    background are told apart. An image in which it fails or finds none is measured by its middle.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -209,7 +213,13 @@ def measure_images(images: DataFrame, cfg: BlurConfig = BlurConfig()) -> DataFra
                 try:
                     rgb = image_array(r)
                     grey = np.clip(np.floor(luma(rgb) + 0.5), 0, 255)
-                    row |= sharpness(grey, cfg=cfg) | exposure(rgb) | {"width": r["width"], "height": r["height"]}
+                    boxes = None
+                    if detector is not None:
+                        try:
+                            boxes = [(d["x"], d["y"], d["w"], d["h"]) for d in detector.detect(rgb)]
+                        except Exception:  # a detector's failure isn't the picture's
+                            boxes = None
+                    row |= sharpness(grey, boxes, detector.name if detector is not None else None, cfg) | exposure(rgb) | {"width": r["width"], "height": r["height"]}
                 except (ValueError, TypeError) as e:
                     row["error"] = str(e)
                 out.append(row)

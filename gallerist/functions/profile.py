@@ -28,7 +28,7 @@ def profile_text(recipe: Column, generator: str = GENERATOR) -> Column:
     off = F.lit("Enabled=false")
     on = lambda name, test, *lines: F.when(test, _section(name, "Enabled=true", *lines)).otherwise(_section(name, off))
     return F.concat(
-        F.lit(f"# Generated by {generator}. Stacked on base.pp3; do not edit by hand.\n"),
+        F.lit(f"# One photo's settings, made by {generator} to go over the neutral profile; the next run writes them anew.\n"),
         _section("Exposure", "Auto=false", F.concat(F.lit("Compensation="), _three(r["exposure_ev"]))),
         on("HLRecovery", r["highlight_recovery"] > 0, F.when(r["highlight_recovery"] < 0.5, "Method=Blend").otherwise("Method=Coloropp")),
         on("Shadows & Highlights", r["shadow_lift"] > 0, F.concat(F.lit("Shadows="), _percent(r["shadow_lift"])), "Highlights=0"),

@@ -29,6 +29,18 @@ class Detector(Protocol):
     def detect(self, rgb: np.ndarray) -> list[dict]: ...
 
 
+class RawDecoder(Protocol):
+    def decode(self, path: str) -> dict:
+        """plane (h, w), pattern of four letters, black, white, and white_balance (three numbers) or None."""
+        ...
+
+
+class Renderer(Protocol):
+    name: str
+
+    def render(self, path: str, profile: str) -> np.ndarray: ...
+
+
 class LookPredictor(Protocol):
     name: str
     version: str

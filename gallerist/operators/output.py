@@ -136,12 +136,12 @@ def stale_copies(expected: DataFrame, listing: DataFrame) -> DataFrame:
     return listing.select("rel_path").distinct().join(expected.select("rel_path"), "rel_path", "left_anti")
 
 
-def finished_paths(kept: DataFrame, by_month: bool = True) -> DataFrame:
-    """(file_id, rel_path) of finished files: month folder, unique stem, .jpg."""
-    base = F.concat(F.regexp_replace(X.basename(F.col("path")), r"\.[^.]*$", ""), F.lit(".jpg"))
+def finished_paths(kept: DataFrame, by_month: bool = True, extension: str = ".jpg") -> DataFrame:
+    """(file_id, rel_path) of finished files: month folder, unique stem, extension."""
+    base = F.concat(F.regexp_replace(X.basename(F.col("path")), r"\.[^.]*$", ""), F.lit(extension))
     folder = F.col("year_month") if by_month else F.lit("")
-    # the source's folder keeps equal stems apart as originals
-    plan = kept.select(folder.alias("rel_dir"), F.concat_ws("/", F.regexp_replace("path", "/[^/]*$", ""), base).alias("target"), "path", "file_id")
+    # the source's path keeps equal stems apart as originals
+    plan = kept.select(folder.alias("rel_dir"), F.concat_ws("/", "path", base).alias("target"), "path", "file_id")
     named = unique_names(plan.select("rel_dir", F.col("target").alias("original")))
     out = plan.join(named.withColumnRenamed("original", "target"), ["rel_dir", "target"])
     return out.select("file_id", F.when(F.col("rel_dir") == "", F.col("name")).otherwise(F.concat_ws("/", "rel_dir", "name")).alias("rel_path"))

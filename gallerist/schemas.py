@@ -21,6 +21,7 @@ _DDL = {
     "library_meta": "folder_path string, created_at long, last_analyzed long",
     "raw_stats": "file_id long, p1 float, p50 float, p99 float, p999 float, clipped_frac float, black_frac float, wb_r float, wb_g float, wb_b float, illum_r float, illum_g float, illum_b float",
     "edits": "file_id long, content_hash string, exposure_ev float, highlight_recovery float, shadow_lift float, denoise_luma float, denoise_chroma float, sharpen_amount float, lens_correct boolean, recipe_hash string, decider_version string, renderer string, look_model string, look_version string, lut_hash string, look_applied boolean, iqa_before float, iqa_after float, output_path string, output_size_bytes long, rendered_at long",
+    "develop_work": "file_id long, content_hash string, run string, state string, error string, at long",
     "schema_version": "version int",
 }
 _TYPES = {
@@ -34,7 +35,7 @@ KEYS: dict[str, tuple[str, ...]] = {
     "files": ("path",), "exif": ("file_id",), "sharpness": ("file_id",), "exposure": ("file_id",), "iqa": ("file_id",), "embeddings": ("file_id",),
     "defect_flags": ("file_id", "flag_type"), "duplicate_groups": ("id",), "duplicate_members": ("group_id", "file_id"),
     "sharpness_baseline": ("camera_model", "lens_model", "focal_bucket", "aperture_index"), "decisions": ("file_id",), "library_meta": ("folder_path",),
-    "raw_stats": ("file_id",), "edits": ("file_id",), "schema_version": ("version",),
+    "raw_stats": ("file_id",), "edits": ("file_id",), "develop_work": ("file_id",), "schema_version": ("version",),
 }
 #: Tables whose id is given out by the catalogue.
 SEQUENCES = {"files": "id", "defect_flags": "id", "duplicate_groups": "id"}

@@ -6,12 +6,12 @@ import os
 import shutil
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gallerist.operators import output
-from gallerist.sources.listing import MARKER
-from gallerist.storage import written
+from gallerist.sources.listing import MARKER, list_files
+from gallerist.storage import drop_written, written
 
 README = "README.txt"
 OUTCOMES = "rel_path string, outcome string, bytes long"
@@ -67,6 +67,71 @@ def _copied(named: DataFrame, root: str) -> DataFrame:
     return named.select(F.concat_ws("/", "rel_dir", "name").alias("rel_path"), "original").mapInArrow(run, OUTCOMES)
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path, size_bytes, mtime_ns) of the files below root, without our own two; listed by Spark, no file is opened."""
+    top = os.path.realpath(root)
+    if not os.path.isdir(top) or not os.listdir(top):
+        return spark.createDataFrame([], "rel_path string, size_bytes long, mtime_ns long")
+    found = list_files(spark, top).withColumn("rel_path", F.expr(f"substr(path, {len(top) + 2})"))
+    return found.where(~F.col("rel_path").isin(MARKER, README)).select("rel_path", "size_bytes", "mtime_ns")
+
+
+def ensure_ours(root: str, edits: DataFrame) -> bool:
+    """Whether root is a tree of ours, which it becomes if it isn't there, is empty, or holds an output that an edit names."""
+    if is_managed(root):
+        return True
+    if os.path.isdir(root) and os.listdir(root):
+        claimed = edits.where(F.col("output_path").startswith(root.rstrip("/") + "/")).select(F.expr(f"substr(output_path, {len(root.rstrip('/')) + 2})").alias("rel_path"))
+        if not listing(edits.sparkSession, root).join(claimed, "rel_path", "left_semi").limit(1).count():
+            return False
+    os.makedirs(root, exist_ok=True)
+    with open(os.path.join(root, MARKER), "w") as f:
+        f.write("managed tree\n")
+    return True
+
+
+def sweep(expected: DataFrame, root: str) -> int:
+    """Removes all files below root that expected (rel_path) doesn't name, and folders that this leaves empty; their number.
+
+    What is there comes from a listing and what is too much from an anti-join; tasks remove their own files and then the
+    folders above, which only succeeds for empty ones, whoever comes last. Only a tree that bears our marker is touched.
+    """
+    if not is_managed(root):
+        raise PermissionError(f"{root} has no {MARKER}: not touching it")
+    top = os.path.realpath(root)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            gone = []
+            for rel in batch["rel_path"].to_pylist():
+                path = os.path.join(top, rel)
+                if not path.startswith(top + os.sep) or ".." in rel.split("/"):
+                    continue
+                try:
+                    os.remove(path)
+                    gone.append(rel)
+                except FileNotFoundError:
+                    pass
+                except OSError:
+                    continue
+                folder = os.path.dirname(path)
+                while folder != top:
+                    try:
+                        os.rmdir(folder)
+                    except OSError:
+                        break
+                    folder = os.path.dirname(folder)
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], names=["rel_path"])
+
+    stale = output.stale_copies(expected, listing(expected.sparkSession, top))
+    done = written(stale.repartition(max(1, stale.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "rel_path string"), "swept")
+    n = done.count()
+    drop_written(done)
+    return n
+
+
 def materialize(plan: DataFrame, root: str, readme: str, regenerate: bool = False) -> CopyReport:
     """Copies a plan of (rel_dir, original) below root, writes the marker, and removes what the plan doesn't hold."""
     if regenerate:
@@ -76,20 +141,14 @@ def materialize(plan: DataFrame, root: str, readme: str, regenerate: bool = Fals
     os.makedirs(root, exist_ok=True)
     done = written(_copied(output.unique_names(plan), root), "copied")
     report = CopyReport()
-    for r in done.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect():
+    for r in done.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect():  # three outcomes
         setattr(report, {"error": "errors"}.get(r["outcome"], r["outcome"]), r["n"])
         report.bytes += r["bytes"] or 0
     for name, body in ((MARKER, "managed tree\n"), (README, readme)):
         with open(os.path.join(root, name), "w") as f:
             f.write(body)
-    there = [os.path.relpath(os.path.join(d, n), root) for d, _, names in os.walk(root) for n in names]
-    listing = plan.sparkSession.createDataFrame([(x,) for x in there if x not in (MARKER, README)], "rel_path string")
-    for r in output.stale_copies(done.where("outcome <> 'error'"), listing).toLocalIterator():
-        os.remove(os.path.join(root, r["rel_path"]))
-        report.removed += 1
-    for d, folders, names in os.walk(root, topdown=False):
-        if d != root and not os.listdir(d):
-            os.rmdir(d)
+    report.removed = sweep(done.where("outcome <> 'error'"), root)
+    drop_written(done)
     return report
 
 

@@ -1,87 +1,50 @@
-"""Capture metadata of JPEG files: the Exif segment's directories, read from bytes."""
+"""Capture metadata and content hashes as rows, of contents or of files that tasks open themselves."""
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tags, by directory.
-_PRIMARY = {0x010F: "camera_make", 0x0110: "camera_model", 0x0112: "orientation"}
-_EXIF = {
-    0x829A: "shutter_seconds", 0x829D: "aperture", 0x8827: "iso", 0x9003: "captured_text", 0x920A: "focal_length_mm",
-    0xA002: "width", 0xA003: "height", 0xA434: "lens_model",
-}
-_POINTER = 0x8769
-_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
-_TEXT, _RATIONAL, _WHOLE = ("camera_make", "camera_model", "captured_text", "lens_model"), ("shutter_seconds", "aperture", "focal_length_mm"), ("iso", "width", "height", "orientation")
-FIELDS = "camera_make string, camera_model string, lens_model string, captured_text string, focal_length_mm double, aperture double, iso int, shutter_seconds double, width int, height int, orientation int, error string"
-
-
-def _segment(data: bytes) -> bytes:
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG")
-    at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-        size = struct.unpack_from(">H", data, at + 2)[0]
-        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-            return data[at + 10 : at + 2 + size]
-        at += 2 + size
-    raise ValueError("no Exif segment")
-
+from .raw import Ranges, read_headers
 
-def _entries(tiff: bytes, at: int, order: str) -> Iterator[tuple[int, int, int, int]]:
-    for i in range(struct.unpack_from(order + "H", tiff, at)[0]):
-        place = at + 2 + 12 * i
-        tag, kind, count = struct.unpack_from(order + "HHI", tiff, place)
-        size = _SIZES.get(kind, 0) * count
-        yield tag, kind, count, struct.unpack_from(order + "I", tiff, place + 8)[0] if size > 4 else place + 8
+FIELDS = "camera_make string, camera_model string, lens_model string, captured_text string, focal_length_mm double, aperture double, iso int, shutter_seconds double, width int, height int, orientation int, error string"
+#: Bytes of a file hashed at a time.
+STEP = 1 << 22
 
 
 def read_exif(data: bytes) -> dict:
-    """The fields of a JPEG's Exif segment; empty texts and what is of another type are None. ValueError if there is none."""
-    tiff = _segment(data)
-    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-    if order is None:
-        raise ValueError("no byte order")
-    out: dict = {}
-    try:
-        queue = [(struct.unpack_from(order + "I", tiff, 4)[0], _PRIMARY)]
-        while queue:
-            at, names = queue.pop()
-            for tag, kind, count, place in _entries(tiff, at, order):
-                if tag == _POINTER and names is _PRIMARY:
-                    queue.append((struct.unpack_from(order + "I", tiff, place)[0], _EXIF))
-                name = names.get(tag)
-                if name in _TEXT and kind == 2:
-                    out[name] = tiff[place : place + count].split(b"\0")[0].decode("utf-8", "replace").strip() or None
-                elif name in _RATIONAL and kind == 5:
-                    n, d = struct.unpack_from(order + "II", tiff, place)
-                    out[name] = n / d if d else None
-                elif name in _WHOLE and kind in (3, 4):
-                    out[name] = struct.unpack_from(order + ("H" if kind == 3 else "I"), tiff, place)[0]
-    except struct.error as e:
-        raise ValueError(f"truncated: {e}") from e
-    return out
+    """The fields of a photo's directories; empty texts and what is of another type are None. ValueError if there are none."""
+    return {k: v for k, v in read_headers(Ranges(data)).items() if not k.startswith("preview_")}
 
 
 def exif_rows(files: DataFrame) -> DataFrame:
-    """(path, xxh3_128 of the content as content_hash, captured_at, and FIELDS) for rows of (path, content)."""
+    """(path, xxh3_128 of the content as content_hash, captured_at, and FIELDS) for rows of (path, content) or of (path).
+
+    Without a column content the files are opened by the tasks, so they must be on a file system that all executors share;
+    then only one piece of a file is in memory at a time. A file that is gone has an error and no hash.
+    """
     from gallerist.functions.expressions import exif_epoch
 
+    by_path = "content" not in files.columns
+
     def run(batches) -> Iterator:
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_py() or b""
-                row = dict.fromkeys(names) | {"path": path, "content_hash": xxhash.xxh3_128_hexdigest(data)}
+            contents = [None] * batch.num_rows if by_path else batch.column("content")
+            for path, content in zip(batch.column("path").to_pylist(), contents, strict=True):
+                row = dict.fromkeys(names) | {"path": path}
                 try:
-                    row |= read_exif(data)
-                except ValueError as e:
+                    with Ranges(path if by_path else content.as_py() or b"") as source:
+                        h = xxhash.xxh3_128()
+                        for at in range(0, source.size, STEP):
+                            h.update(source.read(at, min(STEP, source.size - at)))
+                        row["content_hash"] = h.hexdigest()
+                        row |= {k: v for k, v in read_headers(source).items() if k in row}
+                except (OSError, ValueError) as e:
                     row["error"] = str(e)
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
@@ -90,4 +53,5 @@ def exif_rows(files: DataFrame) -> DataFrame:
     ddl = f"path string, content_hash string, {FIELDS}"
     shape = files.sparkSession.createDataFrame([], ddl).schema
     names, arrow = shape.names, to_arrow_schema(shape)
-    return files.select("path", "content").mapInArrow(run, ddl).withColumn("captured_at", exif_epoch(F.col("captured_text"))).drop("captured_text")
+    found = files.select("path", *([] if by_path else ["content"])).mapInArrow(run, ddl)
+    return found.withColumn("captured_at", exif_epoch(F.col("captured_text"))).drop("captured_text")

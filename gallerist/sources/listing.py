@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gallerist.functions import expressions as X
+from gallerist.storage import written
 
 EXTENSIONS = ("arw", "cr3", "cr2", "nef", "raf", "rw2", "dng", "jpg", "jpeg")
 MARKER = ".gallerist-tree"
@@ -17,11 +21,50 @@ def _parts(path):
     return folder, stem
 
 
-def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, mtime_ns, size_bytes, and content if asked) of all files below root; without content no file is opened."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    columns = [F.regexp_replace("path", "^file:/+", "/").alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes")]
-    return found.select(*columns, *(["content"] if content else []))
+def list_files(spark: SparkSession, root: str, follow_symlinks: bool = True) -> DataFrame:
+    """(path, mtime_ns, size_bytes) of all files below root, hidden ones too; no file is opened.
+
+    Folders are listed by tasks, a level of the tree at a time, so root must be on a file system that all executors share.
+    Times are cut to milliseconds, as other listings of Spark's are. Without follow_symlinks neither linked files nor what is
+    below linked folders is listed; with it a folder that links to one above it is left out.
+    """
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                found = []
+                try:
+                    with os.scandir(folder) as entries:
+                        for e in entries:
+                            try:
+                                if not follow_symlinks and e.is_symlink():
+                                    continue
+                                at, is_dir = e.stat(), e.is_dir()
+                                if is_dir and e.is_symlink() and (folder + "/").startswith(os.path.realpath(e.path) + "/"):
+                                    continue
+                                found.append((e.path, at.st_mtime_ns // 1_000_000 * 1_000_000, at.st_size, is_dir))
+                            except OSError:
+                                continue  # gone since, or a link that leads nowhere
+                except OSError:
+                    continue
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["path", "mtime_ns", "size_bytes", "is_dir"])
+
+    levels, folders = [], spark.createDataFrame([("/" + root.removeprefix("file:").strip("/"),)], "path string")
+    while True:
+        level = written(folders.mapInArrow(run, "path string, mtime_ns long, size_bytes long, is_dir boolean"), "listed")
+        levels.append(level.where("NOT is_dir"))
+        folders = level.where("is_dir").select("path")
+        n = folders.count()
+        if not n:
+            break
+        folders = folders.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.select("path", "mtime_ns", "size_bytes")
 
 
 def outside_managed(listing: DataFrame, root: str) -> DataFrame:

@@ -23,7 +23,7 @@ def file_stream(spark: SparkSession, root: str, per_trigger: int = 1000) -> Data
 
 
 def take_in(catalog: Catalog, batch: DataFrame, at: int, app: str | None = None, number: int = 0) -> int:
-    """Puts files and their metadata in by one commit; files known with the same time and size are passed over. Returns the number taken in.
+    """Puts files and their metadata in by one commit; batch has a column content, or its files are opened by their paths. Files known with the same time and size are passed over. Returns the number taken in.
 
     app, number: a stream and its batch. A batch that was committed before is passed over, so one that is repeated after a
     failure counts once.
@@ -32,7 +32,7 @@ def take_in(catalog: Catalog, batch: DataFrame, at: int, app: str | None = None,
         return 0
     known = batch.where(X.file_format(F.col("path")).isNotNull())
     fresh = joins.needs_processing(known, catalog["files"])
-    rows = written(exif_rows(fresh).join(fresh.select("path", "mtime_ns", "size_bytes"), "path"), "ingest")
+    rows = written(exif_rows(fresh).join(fresh.select("path", "mtime_ns", "size_bytes"), "path").where("content_hash IS NOT NULL"), "ingest")
     n = rows.count()
     if n:
         with catalog.transaction() as tx:
