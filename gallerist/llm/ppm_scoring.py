@@ -107,7 +107,8 @@ def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
                         grams, words, since = [], [(ends[0][:0], ends[1][:0])], 0
 
     found = docs.select("held_out", F.col(text).alias("text")).mapInArrow(run, "kind int, key long, n long, places long")
-    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+    # what a task has counted is dealt as it is: a second count of it before the shuffle would hold much and merge little
+    return found.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
 
 
 def _threshold(counts: DataFrame, most: int) -> int:
