@@ -37,6 +37,7 @@ from .shingles import lowered, word_hashes
 
 ORDER = 6
 MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 19  # of those looked up in place
+HELD = 2_500_000  # counts that a task holds of each kind before it hands them on
 LEAN = 16  # occurrences that method D counts for in a class of contexts
 MARK = 0xFF
 _END_WORD = -(1 << 62) + 1  # stands for the end among the hashes of words
@@ -79,35 +80,45 @@ def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        def rows(kind: int, found, learnt: bool):
+        def rows(kind: int, learnt: bool, found):
             key, n = found
             columns = (np.full(len(key), kind, np.int32), key.view(np.int64), n if learnt else np.zeros(len(key), np.int64), n)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "places"])
 
+        # (kind, learnt): counts so far, in order of key, and those not yet put among them
+        held: dict[tuple[int, bool], list] = {}
+
+        def put(kind: int, learnt: bool, new) -> Iterator:
+            parts = held.setdefault((kind, learnt), [])
+            parts.append(new)
+            if sum(len(k) for k, _ in parts[1:]) > HELD // 4:
+                parts[:] = [_tally(parts)]
+                if len(parts[0][0]) > HELD:
+                    yield rows(kind, learnt, parts.pop())
+
         for batch in batches:
             out = batch.column("held_out").to_numpy(zero_copy_only=False)
             every = [lowered(x) for x in batch.column("text").to_pylist()]
             for learnt in (True, False):
                 texts = [every[i] for i in np.flatnonzero(out != learnt).tolist()]
-                ends = (np.array([_END_WORD], np.int64).view(np.uint64), np.array([len(texts)]))
-                grams, words, s, since = [], [ends], 0, 0
+                if learnt:
+                    yield from put(_WORD, True, (np.array([_END_WORD], np.int64).view(np.uint64), np.array([len(texts)])))
+                s = 0
                 while s < len(texts):
                     e, size = s, 0
                     while e < len(texts) and size < 1_000_000:
                         size += len(texts[e])
                         e += 1
-                    grams.append(np.unique(_grams(texts[s:e], order)[0], return_counts=True))
+                    yield from put(_GRAM, learnt, np.unique(_grams(texts[s:e], order)[0], return_counts=True))
                     if learnt:
-                        words.append(np.unique(word_hashes(b"\n".join(texts[s:e]))[0], return_counts=True))
-                    s, since = e, since + size
-                    if since >= 4_000_000 or s == len(texts):  # so that what is held follows this and not the batch
-                        if learnt:
-                            yield rows(_WORD, _tally(words), True)
-                        yield rows(_GRAM, _tally(grams), learnt)
-                        grams, words, since = [], [(ends[0][:0], ends[1][:0])], 0
+                        yield from put(_WORD, True, np.unique(word_hashes(b"\n".join(texts[s:e]))[0], return_counts=True))
+                    s = e
+        for (kind, learnt), parts in held.items():
+            if parts:
+                yield rows(kind, learnt, _tally(parts))
 
     found = docs.select("held_out", F.col(text).alias("text")).mapInArrow(run, "kind int, key long, n long, places long")
-    # what a task has counted is dealt as it is: a second count of it before the shuffle would hold much and merge little
+    # what a task has counted is dealt as it is: a second count of it before the shuffle would hold much and merge nothing
     return found.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
 
 
