@@ -266,7 +266,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
             s = 0
             while s < len(texts):
                 e, size = s, 0
-                while e < len(texts) and size < 1_000_000:
+                while e < len(texts) and size < 250_000:
                     size += len(texts[e])
                     e += 1
                 part = texts[s:e]

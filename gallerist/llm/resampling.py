@@ -35,7 +35,7 @@ from ._common import fresh, written
 WIDTH = 3
 BUCKETS = 10_000
 #: Features in a row of streams, about; a longer document is a row of its own.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 SPAN = 1 << 20
 #: Each byte as it counts in a word: a blank ends one.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
