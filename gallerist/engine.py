@@ -128,6 +128,10 @@ class Engine:
     def file(self, file_id: int) -> DataFrame:
         return review.file_dump(self.catalog).where(F.col("id") == file_id)
 
+    def lookup(self, *file_ids: int) -> DataFrame:
+        """(id, path, content_hash) of some files."""
+        return review.lookup(self.catalog, self.spark.createDataFrame([(i,) for i in file_ids], "file_id long"))
+
     def stats(self) -> dict[str, DataFrame]:
         cat = self.catalog
         return {
@@ -156,7 +160,7 @@ class Engine:
 
     # trees
     def review_tree(self, root: str, include: tuple[str, ...] = (), regenerate: bool = False) -> trees.CopyReport:
-        plan = output.review_tree_plan(review.review_entries(self.catalog), review.groups_for_review(self.catalog), include)
+        plan = output.review_tree_plan(review.review_entries(self.catalog), review.group_members(self.catalog), include)
         return trees.materialize(plan, root, trees.review_readme(), regenerate)
 
     def export_keepers(self, root: str, regenerate: bool = False) -> trees.CopyReport:
@@ -168,7 +172,7 @@ class Engine:
         return output.copy_estimate(output.copies_needed(output.unique_names(plan), sources, trees.listing(self.spark, root)))
 
     def estimate_review_tree(self, root: str, include: tuple[str, ...] = ()) -> DataFrame:
-        return self._estimate(output.review_tree_plan(review.review_entries(self.catalog), review.groups_for_review(self.catalog), include), root)
+        return self._estimate(output.review_tree_plan(review.review_entries(self.catalog), review.group_members(self.catalog), include), root)
 
     def estimate_keepers(self, root: str) -> DataFrame:
         return self._estimate(output.keepers_plan(review.keeper_files(self.catalog)), root)

@@ -19,8 +19,11 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ from . import models
 from .catalog import Catalog, ConcurrentWrite, Transaction
 from .functions import expressions as X
 from .functions import lut
-from .functions.kernels import encode_png, illuminant, cell_colours, sample_stats, stride_samples
+from .functions.jpeg import encode_jpeg
+from .functions.kernels import cell_colours, illuminant, sample_stats, stride_samples
 from .functions.profile import profile_text
 from .operators import develop, output, review
 from .sinks import trees
@@ -53,7 +57,7 @@ class FinishReport:
     pruned: int = 0
 
 
-def plan(cat: Catalog | Transaction, root: str, renderer: str, look: tuple[str, str] | None, min_samples: int, extension: str = ".png", by_month: bool = True, outputs: DataFrame | None = None) -> DataFrame:
+def plan(cat: Catalog | Transaction, root: str, renderer: str, look: tuple[str, str] | None, min_samples: int, extension: str = ".jpg", by_month: bool = True, outputs: DataFrame | None = None) -> DataFrame:
     """A row for each kept raw file: where its output goes, what its recipe needs, and whether statistics and output are current.
 
     Statistics are those of a file's content if its edit or its row of develop_work names that content. outputs: (output_path,
@@ -148,7 +152,7 @@ def looked(rgb, look: models.LookPredictor | None, scorer: models.Scorer | None,
     return made, name, True, before, after
 
 
-def rendered(rows: DataFrame, renderer: models.Renderer, look: models.LookPredictor | None, scorer: models.Scorer | None, margin: float, luts: str | None, encode=encode_png) -> DataFrame:
+def rendered(rows: DataFrame, renderer: models.Renderer, look: models.LookPredictor | None, scorer: models.Scorer | None, margin: float, luts: str | None, encode: Callable[[np.ndarray], bytes] = encode_jpeg) -> DataFrame:
     """RENDERED for rows of (file_id, path, output_path, profile), whose outputs and profiles are written."""
 
     def run(batches):
@@ -223,12 +227,16 @@ def work_on(catalog: Catalog, rows: DataFrame, run: str, decoder: models.RawDeco
 
 def finish(
     catalog: Catalog, root: str, decoder: models.RawDecoder, renderer: models.Renderer, look: models.LookPredictor | None = None, scorer: models.Scorer | None = None, cfg: DevelopConfig = DevelopConfig(),
-    min_samples: int = 30, chunk: int = CHUNK, run: str | None = None, lease: int = LEASE, encode=encode_png, extension: str = ".png", luts: str | None = None, on_step=lambda stage: None,
+    min_samples: int = 30, chunk: int = CHUNK, run: str | None = None, lease: int = LEASE, encode: Callable[[np.ndarray], bytes] | None = None, extension: str = ".jpg", luts: str | None = None, on_step=lambda stage: None,
 ) -> FinishReport:
-    """Finishes every kept raw file into root and removes what is there of others; run: the name of a run to go on with."""
+    """Finishes every kept raw file into root and removes what is there of others.
+
+    run: the name of a run to go on with. encode: the picture's bytes, by default as JPEG of the configured quality.
+    """
     if not trees.ensure_ours(root, catalog["edits"]):
         raise PermissionError(f"{root} holds files, none of which an edit names: not touching it")
     look, scorer = look if cfg.look.enable else None, scorer if cfg.look.guard_iqa else None
+    encode = encode or partial(encode_jpeg, quality=cfg.jpeg_quality)
     run, since, report = run or uuid.uuid4().hex, int(time.time()), FinishReport()
     on_step("developing")
     outputs = trees.listing(catalog.spark, root).select(F.concat(F.lit(root.rstrip("/") + "/"), "rel_path").alias("output_path"), F.col("size_bytes").alias("there"))

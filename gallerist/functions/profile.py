@@ -14,7 +14,8 @@ def _three(c: Column) -> Column:
 
 
 def _percent(c: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 100).cast("int").cast("string")
+    """Whole hundredths; noise far behind them doesn't tell which way a half goes."""
+    return F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 6) * 100).cast("int").cast("string")
 
 
 def _section(name: str, *lines: Column | str) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gallerist.storage import in_order
+from gallerist.storage import in_order, written
 
 from .review import Catalogue
 
@@ -90,12 +90,20 @@ def finish_estimate(kept: DataFrame) -> DataFrame:
     return kept.agg(F.count("*").alias("keepers"), F.count_if(F.col("file_format") != "jpg").alias("raw_keepers"))
 
 
-def _ranked(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """(groups, value, n, before, total): counts of distinct values, how many rows of the group stand before, and how many it has.
+#: Counts of distinct values by group that are told percentiles of by an aggregate; more of them are put in one order.
+FEW = 1 << 18
+
+
+def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, value, n): how often each group has each value, written."""
+    return written(df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n")), "values")
+
+
+def _ranked(counts: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, value, n, before, total) of value_counts(): how many rows of the group stand before, and how many it has.
 
     Places come from one global order, so a group of any size is spread over tasks; sums by group combine before the shuffle.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
     placed = in_order(counts, [*groups, value], "before", "n", "values")
     first = placed.groupBy(*groups).agg(F.min("before").alias("first"), F.sum("n").alias("total"))
     if groups:
@@ -109,9 +117,20 @@ def _ranked(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return both.select(*groups, value, "n", (F.col("before") - F.col("first")).alias("before"), "total")
 
 
-def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """(groups, a column for each quantile, n): exact percentiles, linear between neighbours. Without groups, one row if there is any value."""
-    ranked = _ranked(df, groups, value)
+def percentiles(df: DataFrame | None, groups: list[str], value: str, quantiles: dict[str, float], counts: DataFrame | None = None, few: int = FEW) -> DataFrame:
+    """(groups, a column for each quantile, n): exact percentiles, linear between neighbours. Without groups, one row if there is any value.
+
+    counts: value_counts() of these groups or of more, instead of df. Up to `few` counts, an aggregate holds those of a group;
+    beyond it they are ranked in one order over tasks. Both are exact.
+    """
+    if counts is None:
+        counts = value_counts(df, groups, value)
+    elif set(counts.columns) != {*groups, value, "n"}:
+        counts = written(counts.groupBy(*groups, value).agg(F.sum("n").alias("n")), "values")
+    if counts.count() <= few:
+        found = counts.groupBy(*groups).agg(F.percentile(value, list(quantiles.values()), F.col("n")).alias("found"), F.sum("n").alias("n")).where("n > 0")
+        return found.select(*groups, *[F.col("found")[i].alias(name) for i, name in enumerate(quantiles)], "n")
+    ranked = _ranked(counts, groups, value)
     last = F.col("before") + F.col("n")
     at = lambda place: F.min(F.when(last > place, F.col(value)))
     place = {name: (F.col("total") - 1) * F.lit(q) for name, q in quantiles.items()}
@@ -123,7 +142,7 @@ def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: dict[st
 
 def nearest_rank(df: DataFrame, group: str, value: str, quantiles: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles of each group, halves away from zero."""
-    ranked = _ranked(df, [group], value)
+    ranked = _ranked(value_counts(df, [group], value), [group], value)
     index = lambda q: F.round((F.col("total") - 1) * F.lit(q))
     return ranked.groupBy(group).agg(*[F.min(F.when(F.col("before") + F.col("n") > index(q), F.col(value))).alias(name) for name, q in quantiles.items()])
 
@@ -143,3 +162,8 @@ def histogram_moments(df: DataFrame, group: str, value: str) -> DataFrame:
     third = m3 / t - 3 * mean * m2 / t + 2 * mean * mean * mean
     skew = F.when(F.sqrt(variance) > 1e-6, third / F.pow(variance, F.lit(1.5))).otherwise(F.lit(0.0))
     return sums.select(group, (F.col("hi") / t).alias("clipped_highlights"), (F.col("lo") / t).alias("clipped_shadows"), (mean / 255).alias("mean_luma"), skew.alias("histogram_skew"))
+
+
+def library_totals(files: DataFrame, library: Column) -> DataFrame:
+    """(library, photo_count, last_analyzed) of all libraries: library, over the columns of files, tells whose a file is."""
+    return files.groupBy(library.alias("library")).agg(F.count("*").alias("photo_count"), F.max("last_processed").alias("last_analyzed"))

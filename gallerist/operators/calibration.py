@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gallerist.functions import expressions as X
 
-from .aggregates import percentiles
+from .aggregates import percentiles, value_counts
 from .joins import with_baseline
 
 KEYS = ("camera_model", "lens_model", "focal_bucket", "aperture_index")
@@ -21,9 +21,10 @@ def sharpness_baselines(sharpness: DataFrame, exif: DataFrame, min_samples: int)
     """Percentiles of each bucket with min_samples files, and of all files in one more row."""
     rows = sharpness.where("s_subject IS NOT NULL").select("file_id", F.col("s_subject").cast("double").alias("s")).join(bucketed(exif).dropna(), "file_id")
     wanted = {"s_subject_p10": 0.1, "s_subject_p50": 0.5, "s_subject_p90": 0.9}
-    own = percentiles(rows, list(KEYS), "s", wanted).where(F.col("n") >= min_samples)
+    counts = value_counts(rows, list(KEYS), "s")
+    own = percentiles(None, list(KEYS), "s", wanted, counts).where(F.col("n") >= min_samples)
     stars = [F.lit("*").alias("camera_model"), F.lit("*").alias("lens_model"), F.lit(0).alias("focal_bucket"), F.lit(0).alias("aperture_index")]
-    everyone = percentiles(rows, [], "s", wanted).select(*stars, *wanted, "n")
+    everyone = percentiles(None, [], "s", wanted, counts).select(*stars, *wanted, "n")
     return own.unionByName(everyone).select(*KEYS, *wanted, F.col("n").cast("int").alias("n_samples"))
 
 

@@ -24,6 +24,8 @@ class DedupeConfig:
     cosine_global: float = 0.97
     k_neighbors: int = 10
     min_group_size: int = 2
+    #: Neighbours by hyperplane cells instead of all pairs: much less work on many vectors, and some links are missed.
+    approximate: bool = False
 
 
 def quality_inputs(files: DataFrame, iqa: DataFrame, exposure: DataFrame, flags: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def similar_groups(embeddings: DataFrame, exif: DataFrame, cfg: DedupeConfig = D
     """(component, id): files joined by likeness, in groups of min_group_size or more."""
     vectors = embeddings.select(F.col("file_id").alias("id"), normalize(F.col("vector")).alias("vector"))
     times = exif.select(F.col("file_id").alias("id"), "captured_at")
-    edges = similarity_edges(vectors, times, cfg.time_window_seconds, cfg.cosine_within_window, cfg.cosine_global, cfg.k_neighbors)
+    edges = similarity_edges(vectors, times, cfg.time_window_seconds, cfg.cosine_within_window, cfg.cosine_global, cfg.k_neighbors, not cfg.approximate)
     found = connected_components(edges)
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.min_group_size)
     return found.join(sizes.select("component"), "component").select("component", "id")

@@ -9,17 +9,16 @@ from gallerist.functions import expressions as X
 from gallerist.storage import in_order, written
 
 
-def review_tree_plan(entries: DataFrame, groups: DataFrame, include: tuple[str, ...] = ()) -> DataFrame:
+def review_tree_plan(entries: DataFrame, members: DataFrame, include: tuple[str, ...] = ()) -> DataFrame:
     """(rel_dir, original): flagged files by category and month, and groups with their keeper apart.
 
-    entries as of review_entries(), groups as of groups_for_review(); include: top folders to build, all if empty.
+    entries as of review_entries(), members as of group_members(); include: top folders to build, all if empty.
     """
     kind = X.category(F.col("flag_type"), F.col("confidence"))
     flagged = entries.select(F.concat_ws("/", kind, F.col("year_month")).alias("rel_dir"), F.col("path").alias("original"), kind.alias("kind")).where("kind IS NOT NULL").drop("kind")
     name = F.format_string("duplicates/group_%05d_%s", F.col("group_id"), F.col("group_date"))
-    keepers = groups.where("keeper IS NOT NULL").select(F.concat(name, F.lit("/_keeper")).alias("rel_dir"), F.col("keeper").alias("original"))
-    others = groups.select(F.concat(name, F.lit("/_others")).alias("rel_dir"), F.explode("others").alias("original"))
-    plan = flagged.unionByName(keepers).unionByName(others)
+    grouped = members.select(F.concat(name, F.when(F.col("is_first"), "/_keeper").otherwise("/_others")).alias("rel_dir"), F.col("path").alias("original"))
+    plan = flagged.unionByName(grouped)
     return plan.where(F.split("rel_dir", "/")[0].isin(*include)) if include else plan
 
 

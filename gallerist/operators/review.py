@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gallerist.functions import expressions as X
 from gallerist.storage import in_order
 
+from .duplicates import places
+
 Catalogue = Mapping[str, DataFrame]
 
 
@@ -65,14 +67,16 @@ def _dated_groups(cat: Catalogue) -> DataFrame:
     return dated.select("group_id", "keeper_id", X.year_month(F.col("captured_at"), "yyyy-MM-dd").alias("group_date"))
 
 
-def groups_for_review(cat: Catalogue) -> DataFrame:
-    """One row per group: (group_id, group_date, keeper path, other paths sorted)."""
+def group_members(cat: Catalogue) -> DataFrame:
+    """One row per member: (group_id, group_date, path, is_first), is_first for the suggested keeper that names the group's date."""
     members = cat["duplicate_members"].join(cat["files"].select(F.col("id").alias("file_id"), "path"), "file_id").join(_dated_groups(cat), "group_id", "left")
-    is_keeper = F.col("file_id").eqNullSafe(F.col("keeper_id"))
-    return members.groupBy("group_id").agg(
-        F.coalesce(F.min("group_date"), F.lit("unknown-date")).alias("group_date"),
-        F.max(F.when(is_keeper, F.col("path"))).alias("keeper"),
-        F.array_sort(F.collect_list(F.when(~is_keeper, F.col("path")))).alias("others"),
+    return members.select("group_id", F.coalesce("group_date", F.lit("unknown-date")).alias("group_date"), "path", F.col("file_id").eqNullSafe(F.col("keeper_id")).alias("is_first"))
+
+
+def groups_for_review(cat: Catalogue) -> DataFrame:
+    """One row per group, to be shown: (group_id, group_date, keeper path, other paths sorted). Plans are made from group_members()."""
+    return group_members(cat).groupBy("group_id").agg(
+        F.min("group_date").alias("group_date"), F.max(F.when(F.col("is_first"), F.col("path"))).alias("keeper"), F.array_sort(F.collect_list(F.when(~F.col("is_first"), F.col("path")))).alias("others")
     )
 
 
@@ -80,17 +84,16 @@ def clusters_for_review(cat: Catalogue) -> DataFrame:
     """One row per member with its group's date and its place: suggested keeper first, best score next, then by path."""
     rows = review_rows(cat).drop("group_id")
     members = cat["duplicate_members"].select("group_id", "file_id", "is_suggested_keeper").join(rows, "file_id").join(_dated_groups(cat), "group_id", "left")
-    order = Window.partitionBy("group_id").orderBy(F.desc("is_suggested_keeper"), F.col("iqa_score").desc_nulls_last(), "path")
-    return members.select(
-        "group_id", F.coalesce("group_date", F.lit("unknown-date")).alias("group_date"), F.row_number().over(order).alias("place"), "file_id", "path", "content_hash",
+    return places(members, "group_id", [F.desc("is_suggested_keeper"), F.col("iqa_score").desc_nulls_last(), F.asc("path")]).select(
+        "group_id", F.coalesce("group_date", F.lit("unknown-date")).alias("group_date"), "place", "file_id", "path", "content_hash",
         "year_month", "iqa_score", "flags", "max_confidence", "verdict", "is_keeper", "is_suggested_keeper",
     )
 
 
 def group_positions(members: DataFrame) -> DataFrame:
     """(group_id, file_id, place, size): i of n in a group, by file id."""
-    w = Window.partitionBy("group_id")
-    return members.select("group_id", "file_id", F.row_number().over(w.orderBy("file_id")).alias("place"), F.count("*").over(w).alias("size"))
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("size"))
+    return places(members.select("group_id", "file_id"), "group_id", [F.asc("file_id")]).join(sizes, "group_id").select("group_id", "file_id", "place", "size")
 
 
 def score_percentiles(iqa: DataFrame) -> DataFrame:
@@ -157,6 +160,11 @@ def exif_by_path(cat: Catalogue, paths: DataFrame) -> DataFrame:
     return wanted.join(cat["exif"], "file_id")
 
 
+def lookup(cat: Catalogue, file_ids: DataFrame) -> DataFrame:
+    """(id, path, content_hash) of files by id (file_id); ids without a file give no row."""
+    return cat["files"].join(file_ids.select(F.col("file_id").alias("id")).distinct(), "id", "left_semi").select("id", "path", "content_hash")
+
+
 def decisions_of(cat: Catalogue, file_ids: DataFrame) -> DataFrame:
     """(file_id, verdict, is_keeper) of the files asked for that have a decision."""
     return cat["decisions"].join(file_ids.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "verdict", "is_keeper")

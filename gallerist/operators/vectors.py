@@ -1,15 +1,15 @@
 """Cosine similarity joins and nearest neighbours over unit vectors.
 
-Up to EXACT_UP_TO vectors, the practical ceiling of brute force, are dealt into blocks of bounded size. Each two blocks
-are one piece of work, a matrix product in one task, and only pairs that pass a threshold, or a row's best k of a block,
-leave it. The work grows with the square of the number of vectors.
-
-Beyond that, or with exact=False, vectors are put into cells by the sides of random hyperplanes through their mean on
-which they lie, in TABLES independent ways, with as many planes as bring a cell to some CELL vectors. Every vector is in
-the index, and looks in its own cell and in those across its FLIPS nearest planes. Similarities are computed on the whole
-vectors, so a pair that is found is right; a pair may be missed, the rarer the more alike it is (tests measure it). A cell
-with more than a block of vectors is split into blocks, and whoever looks into it is sent to each. exact=True asks for
-all pairs at any size. Only the mean, one number a dimension, reaches the driver.
+All pairs are compared unless the caller asks for an approximation: vectors are dealt into blocks of bounded size, each two
+blocks are one piece of work, a matrix product in one task, and only pairs that pass a threshold, or a row's best k of a
+block, leave it. The work grows with the square of the number of vectors; some 50,000 are its practical ceiling on one node.
+
+exact=False puts vectors into cells by the sides of random hyperplanes through their mean on which they lie, in TABLES
+independent ways, with as many planes as bring a cell to some CELL vectors. Every vector is in the index, and looks in its own
+cell and in those across its FLIPS nearest planes. Similarities are computed on the whole vectors, so a pair that is found is
+right; a pair may be missed, the rarer the more alike it is (the README has what was measured). A cell with more than a
+block of vectors is split into blocks, and whoever looks into it is sent to each. Only the mean, one number a dimension,
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .joins import blocks_in_time
 
 BLOCK = 2048
-EXACT_UP_TO = 50_000
 TABLES, FLIPS, CELL = 3, 4, 512
 SEED = 17
 
@@ -166,11 +165,7 @@ def _look(batches, emit, step: int) -> Iterator:
     yield from all_of(*members())
 
 
-def _exactly(n: int, exact: bool | None) -> bool:
-    return n <= EXACT_UP_TO if exact is None else exact
-
-
-def cosine_pairs(df: DataFrame, threshold: float, block: int = BLOCK, exact: bool | None = None) -> DataFrame:
+def cosine_pairs(df: DataFrame, threshold: float, block: int = BLOCK, exact: bool = True) -> DataFrame:
     """(a, b, similarity) with a < b for unit vectors (id, vector) of a similarity of threshold or more."""
 
     def alike(a, x, b, y, once):
@@ -189,13 +184,13 @@ def cosine_pairs(df: DataFrame, threshold: float, block: int = BLOCK, exact: boo
             yield from alike(a, x, b, y, same)
 
     form, n = "a long, b long, similarity double", df.count()
-    if _exactly(n, exact):
+    if exact:
         return _block_pairs(df.select("id", "vector"), block, n).mapInArrow(lambda batches: _work(batches, emit), form)
     found = _visits(df, n, block).mapInArrow(lambda batches: _look(batches, lambda a, x, b, y: alike(a, x, b, y, False), block), form)
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def knn(df: DataFrame, k: int, block: int = BLOCK, exact: bool | None = None) -> DataFrame:
+def knn(df: DataFrame, k: int, block: int = BLOCK, exact: bool = True) -> DataFrame:
     """(id, neighbour, similarity, rank) of each vector's k most similar others; of equals the smaller id comes first."""
 
     def best(ids, other, p):
@@ -222,7 +217,7 @@ def knn(df: DataFrame, k: int, block: int = BLOCK, exact: bool | None = None) ->
             yield from nearest(a, x, b, y, not same)
 
     form, n = "id long, neighbour long, similarity double", df.count()
-    if _exactly(n, exact):
+    if exact:
         found = _block_pairs(df.select("id", "vector"), block, n).mapInArrow(lambda batches: _work(batches, emit), form)
     else:
         found = _visits(df, n, block).mapInArrow(lambda batches: _look(batches, lambda a, x, b, y: nearest(a, x, b, y, False), block), form)
@@ -258,7 +253,7 @@ def close_pairs(vectors: DataFrame, times: DataFrame, window: int, within: float
     return dealt.mapInArrow(lambda batches: _work(batches, emit), "a long, b long")
 
 
-def similarity_edges(vectors: DataFrame, times: DataFrame, window: int, within: float, overall: float, k: int) -> DataFrame:
+def similarity_edges(vectors: DataFrame, times: DataFrame, window: int, within: float, overall: float, k: int, exact: bool = True) -> DataFrame:
     """(a, b): pairs close in time and alike by within, and each vector's k nearest that are alike by overall."""
-    near = knn(vectors, k).where(F.col("similarity") >= overall)
+    near = knn(vectors, k, exact=exact).where(F.col("similarity") >= overall)
     return close_pairs(vectors, times, window, within).union(near.select(F.least("id", "neighbour"), F.greatest("id", "neighbour"))).distinct()

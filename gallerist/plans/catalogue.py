@@ -106,10 +106,11 @@ def finish_estimate(cat):
     return aggregates.finish_estimate(review.keeper_files(cat))
 
 
-@query("SELECT source AS folder, count(*) AS photos FROM documents GROUP BY source")
+@query("SELECT '/lib/' || source AS folder, count(*) AS photos FROM documents GROUP BY source")
 def folder_counts(cat):
-    folder = F.split("path", "/")[2].alias("folder")
-    return cat["files"].groupBy(folder).agg(F.count("*").alias("photos"))
+    from gallerist.sources import listing
+
+    return listing.folder_summary(cat["files"])
 
 
 # --- work lists ---------------------------------------------------------------------------------------------------
@@ -242,6 +243,17 @@ def dump_file_json(cat):
     return review.file_dump(cat).select("id", "dump")
 
 
+@query("""SELECT id, path, camera_model, captured_at, verdict, len(embedding) AS dim, string_split(flags, ',')[1] AS first_flag FROM files LEFT JOIN exif e ON e.file_id = id LEFT JOIN embeddings v ON v.vec_id = id
+LEFT JOIN flags_by_file b ON b.file_id = id LEFT JOIN decisions d ON d.file_id = id""")
+def dump_file_json_fields(cat):
+    """Fields as a reader of the JSON finds them."""
+    at = lambda path: F.get_json_object("dump", path)
+    return review.file_dump(cat).select(
+        at("$.id").cast("long").alias("id"), at("$.path").alias("path"), at("$.exif.camera_model").alias("camera_model"), at("$.exif.captured_at").cast("long").alias("captured_at"), at("$.decisions.verdict").alias("verdict"),
+        at("$.embedding.dim").cast("long").alias("dim"), at("$.flags[0].flag_type").alias("first_flag"),
+    )
+
+
 @query("SELECT * FROM kept")
 def keeper_files(cat):
     return review.keeper_files(cat)
@@ -314,11 +326,11 @@ def exposure_reasons(cat):
     return calibration.exposure_flags(cat["exposure"]).select("file_id", "flag_type", "reason")
 
 
-@query("""SELECT file_id, flag_type, CASE flag_type WHEN 'back_focus' THEN 'subject < p10, background sharper' WHEN 'blur' THEN 'subject < p10' || CASE WHEN bumped THEN ' (confirmed by low IQA)' ELSE '' END
-ELSE 'iqa < global p10' END AS reason FROM soft_flags""")
+@query("""SELECT file_id, flag_type, CASE flag_type WHEN 'low_iqa' THEN printf('iqa %.2f < global p10 %.2f', round(score, 2), round(q10, 2))
+ELSE printf('subject %.1f < p10 %.1f', round(s, 1), round(p10, 1)) || CASE WHEN flag_type = 'back_focus' THEN printf(', background %.1fx sharper', round(coalesce(bg, s) / s, 1)) WHEN bumped THEN ' (confirmed by low IQA)' ELSE '' END END AS reason
+FROM soft_flags JOIN judged USING (file_id)""")
 def reflag_reasons(cat):
-    flags = calibration.reflag(cat["sharpness"], cat["exif"], cat["iqa"], cat["sharpness_baseline"], MIN_SAMPLES)
-    return flags.select("file_id", "flag_type", F.regexp_replace("reason", r" [\d.]+x?", "").alias("reason"))
+    return calibration.reflag(cat["sharpness"], cat["exif"], cat["iqa"], cat["sharpness_baseline"], MIN_SAMPLES).select("file_id", "flag_type", "reason")
 
 
 @query("SELECT file_id, round(CASE WHEN s IS NULL OR span_p10 IS NULL OR span_p90 - span_p10 <= 1.1920929e-07 THEN 0.5 ELSE greatest(0.0, least(1.0, (s - span_p10) / (span_p90 - span_p10))) END, 6) AS s_relative FROM ranged")
@@ -355,21 +367,33 @@ def denoise_curve(cat):
     return _rounded(isos.withColumn("strength", X.denoise(F.col("iso"))), "strength")
 
 
-@query(f"""SELECT file_id, round(sign(w) * greatest(abs(w) - 0.75, 0), 6) + 0.0::DOUBLE AS exposure_ev, round(least(1.0, clipped_frac / 0.05), 6) AS highlight_recovery,
-round(greatest(0.0, least(1.0, (black_frac - 0.005) / 0.045)) * 0.5 * (1 - dn), 6) AS shadow_lift, round(dn, 6) AS denoise_luma, round(least(1.0, dn * 1.2), 6) AS denoise_chroma, round(rel * 0.8, 6) AS sharpen_amount, lens_model IS NOT NULL AS lens_correct
+_RECIPES = f"""SELECT file_id, sign(w) * greatest(abs(w) - 0.75, 0) + 0.0::DOUBLE AS exposure_ev, least(1.0, clipped_frac / 0.05) AS highlight_recovery,
+greatest(0.0, least(1.0, (black_frac - 0.005) / 0.045)) * 0.5 * (1 - dn) AS shadow_lift, dn AS denoise_luma, least(1.0, dn * 1.2) AS denoise_chroma, rel * 0.8 AS sharpen_amount, lens_model IS NOT NULL AS lens_correct
 FROM (SELECT r.*, e.lens_model, greatest(-3.0, least(3.0, least(log2(0.18 / p50), log2(0.95 / p99)))) AS w, {_DENOISE.replace("iso", "coalesce(e.iso, 100)")} AS dn,
 CASE WHEN s IS NULL OR span_p10 IS NULL OR span_p90 - span_p10 <= 1.1920929e-07 THEN 0.5 ELSE greatest(0.0, least(1.0, (s - span_p10) / (span_p90 - span_p10))) END AS rel
-FROM raw_stats r LEFT JOIN exif e USING (file_id) LEFT JOIN ranged g ON g.file_id = r.file_id)""")
+FROM raw_stats r LEFT JOIN exif e USING (file_id) LEFT JOIN ranged g ON g.file_id = r.file_id)"""
+
+
+@query(f"""SELECT file_id, round(exposure_ev, 6) + 0.0::DOUBLE AS exposure_ev, round(highlight_recovery, 6) AS highlight_recovery, round(shadow_lift, 6) AS shadow_lift, round(denoise_luma, 6) AS denoise_luma,
+round(denoise_chroma, 6) AS denoise_chroma, round(sharpen_amount, 6) AS sharpen_amount, lens_correct FROM ({_RECIPES})""")
 def decide_recipe(cat):
     rows = develop.recipes(cat, MIN_SAMPLES).select("file_id", "recipe.*")
     return _rounded(rows, *X.RECIPE)
 
 
-@query()
+_SHARE = lambda c: f"round(round(greatest(0, least(1, {c}))::DOUBLE, 6) * 100)::INT"
+
+
+@query(f"""SELECT file_id, replace('# One photo''s settings, made by gallerist to go over the neutral profile; the next run writes them anew.~~[Exposure]~Auto=false~Compensation=' || printf('%.3f', exposure_ev)
+|| '~~[HLRecovery]~' || CASE WHEN highlight_recovery > 0 THEN 'Enabled=true~Method=' || CASE WHEN highlight_recovery < 0.5 THEN 'Blend' ELSE 'Coloropp' END ELSE 'Enabled=false' END
+|| '~~[Shadows & Highlights]~' || CASE WHEN shadow_lift > 0 THEN 'Enabled=true~Shadows=' || {_SHARE("shadow_lift")} || '~Highlights=0' ELSE 'Enabled=false' END || '~~[White Balance]~Enabled=true~Setting=Camera'
+|| '~~[Directional Pyramid Denoising]~' || CASE WHEN denoise_luma > 0 OR denoise_chroma > 0 THEN 'Enabled=true~Method=Lab~CMethod=MAN~Luma=' || {_SHARE("denoise_luma")} || '~Chroma=' || {_SHARE("denoise_chroma")} ELSE 'Enabled=false' END
+|| '~~[PostDemosaicSharpening]~' || CASE WHEN sharpen_amount > 0 THEN 'Enabled=true~AutoContrast=false~AutoRadius=false~Contrast=' || {_SHARE("sharpen_amount")} || '~DeconvRadius=0.750' ELSE 'Enabled=false' END
+|| CASE WHEN lens_correct THEN '~~[LensProfile]~LcMode=lfauto~UseDistortion=true~UseVignette=true~UseCA=false~' ELSE '~' END, '~', chr(10)) AS profile FROM ({_RECIPES})""")
 def profile_text(cat):
     from gallerist.functions.profile import profile_text as text
 
-    return develop.recipes(cat, MIN_SAMPLES).select("file_id", "recipe_hash", text(F.col("recipe")).alias("profile"))
+    return develop.recipes(cat, MIN_SAMPLES).select("file_id", text(F.col("recipe")).alias("profile"))
 
 
 @query("SELECT a.file_id, coalesce(b.score >= a.score - 0.02, TRUE) AS passes FROM iqa a LEFT JOIN iqa b ON b.file_id = a.file_id + 1")
@@ -429,6 +453,12 @@ def time_window_pairs(cat):
     return joins.interval_pairs(times, "id", "captured_at", 600)
 
 
+@query("SELECT a.file_id AS a_id, b.file_id AS b_id, abs(a.captured_at - b.captured_at) AS apart FROM exif a JOIN exif b ON a.file_id < b.file_id AND abs(a.captured_at - b.captured_at) <= 600")
+def time_window_pairs_in_blocks(cat):
+    """Every bucket is taken for a hot one: rows are cut into blocks of four in order of time."""
+    return joins.interval_pairs(cat["exif"].select(F.col("file_id").alias("id"), "captured_at"), "id", "captured_at", 600, block=4)
+
+
 _UNIT = "unit AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
 _DOT = "list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))"
 PAIR_COSINE = 0.40
@@ -499,7 +529,7 @@ def clear_decision_result(cat):
     return decisions.clear_decision(cat["decisions"], 1, 2, 3).select("file_id", "verdict")
 
 
-@query("""SELECT file_id, CASE WHEN file_id % 4 = 0 THEN 0.5 ELSE score END AS score FROM iqa UNION ALL SELECT id, 0.5 FROM files WHERE id % 4 = 0 AND id NOT IN (SELECT file_id FROM iqa)""")
+@query("""SELECT file_id, CASE WHEN file_id IN (SELECT id FROM files WHERE id % 4 = 0) THEN 0.5 ELSE score END AS score FROM iqa UNION ALL SELECT id, 0.5 FROM files WHERE id % 4 = 0 AND id NOT IN (SELECT file_id FROM iqa)""")
 def upsert_result(cat):
     new = cat["files"].where("id % 4 = 0").select(F.col("id").alias("file_id"), F.lit(0.5).alias("score"))
     return decisions.upsert(cat["iqa"], new, ["file_id"])
@@ -507,9 +537,13 @@ def upsert_result(cat):
 
 @query("SELECT * FROM defect_flags WHERE flag_type NOT IN ('blur', 'back_focus', 'low_iqa')".replace("*", "file_id, flag_type, round(confidence, 6) AS confidence"))
 def clear_blur_flags(cat):
+    """By deletes in a store."""
     from gallerist.schemas import BLUR_FLAGS
 
-    return _rounded(cat["defect_flags"].where(~F.col("flag_type").isin(*BLUR_FLAGS)), "confidence")
+    store = _store(cat)
+    store.upsert("defect_flags", cat["defect_flags"])
+    store.delete_where("defect_flags", F.col("flag_type").isin(*BLUR_FLAGS))
+    return _rounded(store["defect_flags"].select("file_id", "flag_type", "confidence"), "confidence")
 
 
 def _store(cat):
@@ -593,7 +627,7 @@ def migrated_store(cat):
     root, spark = f"{shared_dir(cat.spark)}/catalogue-{uuid.uuid4().hex}", cat.spark
     for table, df in (("files", cat["files"]), ("raw_stats", cat["raw_stats"]), ("schema_version", spark.createDataFrame([(1,)], "version int"))):
         df.write.parquet(f"{root}/{table}/00000000-first")
-        spark.createDataFrame([("00000000-first",)], "name string").coalesce(1).write.option("lineSep", "").text(f"{root}/{table}/_written")
+        spark.createDataFrame([("00000000-first",)], "name string").coalesce(1).write.text(f"{root}/{table}/_written")
         _move_text(spark, f"{root}/{table}/_written", f"{root}/{table}/_log/00000000")
     Catalog(spark, root)
     store = Catalog(spark, root)
@@ -616,6 +650,12 @@ def exif_by_path(cat):
     return review.exif_by_path(cat, cat["files"].where("id % 20 = 0").select("path")).select("path", "file_id", "captured_at", "camera_model")
 
 
+@query("SELECT id, path, content_hash FROM files WHERE id % 20 = 0")
+def lookup_files(cat):
+    wanted = cat.source("events").where("event_id % 20 = 0").select(F.col("event_id").alias("file_id"))
+    return review.lookup(cat, wanted)
+
+
 @query("SELECT file_id, verdict, is_keeper FROM decisions WHERE file_id % 20 = 0")
 def get_decisions(cat):
     return review.decisions_of(cat, cat["files"].where("id % 20 = 0").select(F.col("id").alias("file_id")))
@@ -644,12 +684,12 @@ def base_names(cat):
 
 @query("SELECT rel_dir, original FROM tree")
 def review_tree_plan(cat):
-    return output.review_tree_plan(review.review_entries(cat), review.groups_for_review(cat))
+    return output.review_tree_plan(review.review_entries(cat), review.group_members(cat))
 
 
 @query("SELECT rel_dir, original FROM tree WHERE rel_dir LIKE 'rejected/%'")
 def review_tree_rejected(cat):
-    return output.review_tree_plan(review.review_entries(cat), review.groups_for_review(cat), ("rejected",))
+    return output.review_tree_plan(review.review_entries(cat), review.group_members(cat), ("rejected",))
 
 
 _COLLIDING = "SELECT year_month AS rel_dir, path || '/IMG_' || (file_id % 40) || '.jpg' AS original, 'IMG_' || (file_id % 40) AS stem FROM kept"
@@ -715,11 +755,134 @@ def sensor_stats(cat):
 
 @query("SELECT source AS library, count(*) AS photo_count, max(doc_id) AS last_analyzed FROM documents GROUP BY source")
 def library_totals(cat):
-    return cat["files"].groupBy(F.split("path", "/")[2].alias("library")).agg(F.count("*").alias("photo_count"), F.max("id").alias("last_analyzed"))
+    return aggregates.library_totals(cat["files"].withColumn("last_processed", F.col("id")), F.split("path", "/")[2])
 
 
-@query("SELECT x.vec_id AS file_id, list_max(x.embedding) AS best, list_position(x.embedding, list_max(x.embedding)) - 1 AS class FROM embeddings x")
+@query("""SELECT vec_id AS file_id, (list_position(embedding[5:], top) - 1)::INT AS class, round(1 / (1 + exp(-top::DOUBLE)), 5) AS confidence,
+round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, embedding[1]::DOUBLE - embedding[3]::DOUBLE / 2)), 5) AS x
+FROM (SELECT *, list_max(embedding[5:]) AS top FROM embeddings) WHERE 1 / (1 + exp(-top::DOUBLE)) >= 0.57""")
 def best_class(cat):
-    return cat["embeddings"].select("file_id", F.array_max("vector").alias("best"), (F.array_position("vector", F.array_max("vector")) - 1).cast("int").alias("class"))
+    """Vectors of 64 as one query of a detector each: a box and the scores of sixty classes."""
+    from gallerist.functions import kernels
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for i, v in zip(batch["file_id"].to_pylist(), batch["vector"].to_pylist(), strict=True):
+                v = np.array(v, np.float64)[None]
+                out += [{"file_id": i, **{k: d[k] for k in ("class", "confidence", "x")}} for d in kernels.decode_detections(v[:, 4:], v[:, :4], 0.57)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file_id", pa.int64()), ("class", pa.int32()), ("confidence", pa.float64()), ("x", pa.float64())]))
+
+    return _rounded(cat["embeddings"].mapInArrow(run, "file_id long, class int, confidence double, x double"), "confidence", "x", digits=5)
+
+
+
+
+# --- files, detectors and finishing -------------------------------------------------------------------------------
+
+
+def _raw_file(i: int) -> bytes:
+    """A raw file with a number's metadata, in either byte order: two directories, and a preview behind them."""
+    import struct
+    import time
+
+    order, preview = "<>"[i % 2], b"\xff\xd8" + bytes(8 + i % 50)
+    entry = lambda tag, kind, n, value: struct.pack(order + "HHI", tag, kind, n) + value
+    taken, model = time.strftime("%Y:%m:%d %H:%M:%S", time.gmtime(1_500_000_000 + 61 * i)).encode() + b"\0", f"M{i % 7}".encode() + b"\0"
+    capture_at, text_at, ratio_at, preview_at = 100, 200, 240, 300
+    long, short = (lambda v: struct.pack(order + "I", v)), (lambda v: struct.pack(order + "HH", v, 0))
+    first = [entry(0x0103, 3, 1, short(6)), entry(0x0110, 2, len(model), model.ljust(4, b"\0")), entry(0x0111, 4, 1, long(preview_at)), entry(0x0117, 4, 1, long(len(preview))), entry(0x8769, 4, 1, long(capture_at))]
+    capture = [entry(0x829D, 5, 1, long(ratio_at)), entry(0x8827, 3, 1, short(100 + i % 900)), entry(0x9003, 2, len(taken), long(text_at))]
+    out = bytearray(preview_at)
+    for at, part in ((0, (b"II*\0" if order == "<" else b"MM\0*") + long(8)), (text_at, taken), (ratio_at, long(14 + i % 200) + long(10))):
+        out[at : at + len(part)] = part
+    for at, entries in ((8, first), (capture_at, capture)):
+        body = struct.pack(order + "H", len(entries)) + b"".join(entries)
+        out[at : at + len(body)] = body
+    return bytes(out) + preview
 
 
+@query("""SELECT path, 'M' || (id % 7) AS camera_model, 1500000000 + 61 * id AS captured_at, (100 + id % 900)::INT AS iso, round((14 + id % 200) / 10.0::DOUBLE, 6) AS aperture, (10 + id % 50)::BIGINT AS preview_bytes FROM files""")
+def raw_headers(cat):
+    """Metadata and previews of a raw file for each file, its bytes made from its number."""
+    from gallerist.sources import exif, raw
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array([_raw_file(i) for i in batch["id"].to_pylist()], pa.binary())], names=["path", "content"])
+
+    made = cat["files"].select("id", "path").mapInArrow(run, "path string, content binary")
+    shown = raw.embedded_previews(made).select("path", F.length("preview").cast("long").alias("preview_bytes"))
+    return _rounded(exif.exif_rows(made).join(shown, "path").select("path", "camera_model", "captured_at", "iso", "aperture", "preview_bytes"), "aperture")
+
+
+class LeftHalf:
+    """A detector that takes the left half of any picture for the subject."""
+
+    name = "left-half"
+
+    def detect(self, rgb) -> list[dict]:
+        return [{"class": 0, "confidence": 1.0, "x": 0.0, "y": 0.0, "w": 0.5, "h": 1.0}]
+
+
+@query("""SELECT vec_id AS file_id, round(var_pop(l), 4) AS s_global, round(var_pop(l) FILTER (x <= 4), 4) AS s_subject, round(var_pop(l) FILTER (x > 4), 4) AS s_background, 'left-half' AS detector_used FROM (
+SELECT vec_id, x, g[8 * y + x - 7] + g[8 * y + x + 9] + g[8 * y + x] + g[8 * y + x + 2] - 4 * g[8 * y + x + 1] AS l
+FROM (SELECT vec_id, list_transform(embedding, lambda v: floor(greatest(0.0, least(1.0, (v::DOUBLE + 1) / 2)) * 255)) AS g FROM embeddings), range(1, 7) a(x), range(1, 7) b(y)) GROUP BY vec_id""")
+def detector_regions(cat):
+    """Vectors of 64 as grey pictures of eight by eight, measured inside and outside of a detector's box."""
+    from gallerist.functions import kernels
+
+    level = F.transform("vector", lambda v: F.lpad(F.hex(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v.cast("double") + 1) / 2)) * 255)), 2, "0"))
+    image = F.struct(F.col("file_id").cast("string").alias("origin"), *[F.lit(v).alias(n) for n, v in (("height", 8), ("width", 8), ("nChannels", 1), ("mode", 0))], F.unhex(F.array_join(level, "")).alias("data"))
+    rows = kernels.measure_images(cat["embeddings"].select(image.alias("image")), detector=LeftHalf())
+    return _rounded(rows.select(F.col("path").cast("long").alias("file_id"), "s_global", "s_subject", "s_background", "detector_used"), "s_global", "s_subject", "s_background", digits=4)
+
+
+class EvenPlane:
+    """A decoder whose sensor planes are of one level, told from the number in a path."""
+
+    def decode(self, path: str) -> dict:
+        import numpy as np
+
+        return {"plane": np.full((4, 4), (int(path.rsplit("_", 1)[1]) % 97 + 1) / 100, np.float32), "pattern": "RGGB", "black": 0.0, "white": 1.0}
+
+
+class PlainPicture:
+    """A renderer that makes a small picture, and none of every eleventh file."""
+
+    name = "plain-1"
+
+    def render(self, path: str, profile: str):
+        import numpy as np
+
+        i = int(path.rsplit("_", 1)[1])
+        if i % 11 == 0:
+            raise ValueError("out of ink")
+        return np.full((2, 2, 3), i % 256, np.uint8)
+
+
+@query(f"""SELECT file_id, CASE WHEN file_id % 11 = 0 THEN 'error' ELSE 'done' END AS state, CASE WHEN file_id % 11 = 0 THEN 'ValueError: out of ink' END AS error, level,
+CASE WHEN file_id % 11 <> 0 THEN round(sign(w) * greatest(abs(w) - 0.75, 0), 3) + 0.0::DOUBLE END AS exposure_ev, CASE WHEN file_id % 11 <> 0 THEN round(dn, 3) END AS denoise_luma, CASE WHEN file_id % 11 <> 0 THEN round(rel * 0.8, 3) END AS sharpen_amount
+FROM (SELECT k.file_id, round((k.file_id % 97 + 1) / 100.0::DOUBLE, 4) AS level, greatest(-3.0, least(3.0, least(log2(0.18 / ((k.file_id % 97 + 1) / 100.0::DOUBLE)), log2(0.95 / ((k.file_id % 97 + 1) / 100.0::DOUBLE))))) AS w, {_DENOISE.replace("iso", "coalesce(e.iso, 100)")} AS dn,
+CASE WHEN s IS NULL OR span_p10 IS NULL OR span_p90 - span_p10 <= 1.1920929e-07 THEN 0.5 ELSE greatest(0.0, least(1.0, (s - span_p10) / (span_p90 - span_p10))) END AS rel
+FROM kept k LEFT JOIN exif e USING (file_id) LEFT JOIN ranged g ON g.file_id = k.file_id WHERE file_format <> 'jpg')""")
+def finished_files(cat):
+    """All kept raw files measured, decided on and rendered by stand-ins, twice: the second run only tries again what failed."""
+    from gallerist import finish
+    from gallerist.storage import shared_dir
+
+    store = _store(cat)
+    with store.transaction() as tx:
+        for t in ("files", "exif", "sharpness", "decisions", "sharpness_baseline"):
+            tx.replace(t, cat[t])
+    root = f"/{shared_dir(cat.spark).removeprefix('file:').strip('/')}/finished-{store.root.rsplit('-', 1)[1]}"
+    for _ in range(2):
+        finish.finish(store, root, EvenPlane(), PlainPicture(), min_samples=MIN_SAMPLES, chunk=100_000)
+    rows = store["develop_work"].select("file_id", "state", "error").join(store["raw_stats"].select("file_id", F.col("p50").alias("level")), "file_id")
+    rows = rows.join(store["edits"].select("file_id", "exposure_ev", "denoise_luma", "sharpen_amount"), "file_id", "left")
+    return _rounded(_rounded(rows, "level", digits=4), "exposure_ev", "denoise_luma", "sharpen_amount", digits=3)

@@ -35,12 +35,9 @@ class Projection(dict):
             F.md5(F.col("text").cast("binary")).alias("content_hash"), F.col("n_chars").alias("size_bytes"), (F.col("doc_id") * 1000).alias("mtime_ns"), formats.alias("file_format"),
         )
 
-    def _of_files(self, df: DataFrame, key: str) -> DataFrame:
-        return df.join(self.source("documents").select(F.col("doc_id").alias(key)), key, "left_semi")
-
     def _exif(self) -> DataFrame:
-        e = self._of_files(self.source("events").where("event_id % 10 <> 0"), "event_id")
-        return e.select(
+        """Of every event but signups, which stand for files without metadata."""
+        return self.source("events").where("event_type <> 'signup'").select(
             F.col("event_id").alias("file_id"), F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("captured_at"),
             F.nullif("event_type", F.lit("error")).alias("camera_model"), F.concat(F.lit("L"), (F.col("user_id") % 4).cast("string")).alias("lens_model"),
             (F.lit(10) + F.col("event_id") % 600).cast("double").alias("focal_length_mm"), (F.lit(1) + F.pmod(F.floor("value"), F.lit(20))).cast("double").alias("aperture"),
@@ -48,16 +45,15 @@ class Projection(dict):
         )
 
     def _sharpness(self) -> DataFrame:
-        p = self._of_files(self.source("part"), "p_partkey")
-        return p.select(F.col("p_partkey").alias("file_id"), F.when(F.col("p_size") != 1, F.col("p_retailprice")).alias("s_subject"), (F.col("p_retailprice") * (F.col("p_size") % 4)).alias("s_background"))
+        return self.source("part").select(F.col("p_partkey").alias("file_id"), F.when(F.col("p_size") != 1, F.col("p_retailprice")).alias("s_subject"), (F.col("p_retailprice") * (F.col("p_size") % 4)).alias("s_background"))
 
     def _exposure(self) -> DataFrame:
-        c = self._of_files(self.source("customer"), "c_custkey")
-        return c.select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % 23 / 100.0).alias("clipped_highlights"), (F.col("c_custkey") % 31 / 100.0).alias("clipped_shadows"))
+        """Of the customers of all segments but one, whose files aren't measured yet."""
+        return self.source("customer").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("file_id"), (F.col("c_custkey") % 23 / 100.0).alias("clipped_highlights"), (F.col("c_custkey") % 31 / 100.0).alias("clipped_shadows"))
 
     def _iqa(self) -> DataFrame:
-        o = self._of_files(self.source("orders").where("o_orderkey % 7 <> 0"), "o_orderkey")
-        return o.select(F.col("o_orderkey").alias("file_id"), (F.floor("o_totalprice").cast("long") % 1000 / 1000.0).alias("score"))
+        """Of the orders that aren't pending."""
+        return self.source("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("file_id"), (F.floor("o_totalprice").cast("long") % 1000 / 1000.0).alias("score"))
 
     def _embeddings(self) -> DataFrame:
         return self.source("embeddings").select(F.col("vec_id").alias("file_id"), F.col("embedding").alias("vector"))
@@ -111,13 +107,13 @@ _CTES = {
     ['arw', 'cr3', 'cr2', 'nef', 'raf', 'rw2', 'dng', 'jpg', 'jpg'][(doc_id % 9 + 1)::INT] AS file_format FROM documents""",
     "exif": """SELECT event_id AS file_id, CAST(floor(epoch(ts)) AS BIGINT) AS captured_at, nullif(event_type, 'error') AS camera_model, 'L' || (user_id % 4) AS lens_model,
     (10 + event_id % 600)::DOUBLE AS focal_length_mm, (1 + ((CAST(floor(value) AS BIGINT) % 20) + 20) % 20)::DOUBLE AS aperture, (100 * 2 ** (event_id % 9))::INT AS iso
-    FROM events WHERE event_id % 10 <> 0 AND event_id IN (SELECT doc_id FROM documents)""",
+    FROM events WHERE event_type <> 'signup'""",
     "sharpness": """SELECT p_partkey AS file_id, CASE WHEN p_size <> 1 THEN p_retailprice END AS s_subject, p_retailprice * (p_size % 4) AS s_background
-    FROM part WHERE p_partkey IN (SELECT doc_id FROM documents)""",
+    FROM part""",
     "exposure": """SELECT c_custkey AS file_id, (c_custkey % 23) / 100.0::DOUBLE AS clipped_highlights, (c_custkey % 31) / 100.0::DOUBLE AS clipped_shadows
-    FROM customer WHERE c_custkey IN (SELECT doc_id FROM documents)""",
+    FROM customer WHERE c_mktsegment <> 'MACHINERY'""",
     "iqa": """SELECT o_orderkey AS file_id, (CAST(floor(o_totalprice) AS BIGINT) % 1000) / 1000.0::DOUBLE AS score
-    FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey IN (SELECT doc_id FROM documents)""",
+    FROM orders WHERE o_orderstatus <> 'P'""",
     "decisions": "SELECT doc_id AS file_id, CASE WHEN quality = 1 THEN 'keep' ELSE 'reject' END AS verdict, quality = 1 AND toxic = 0 AS is_keeper FROM labels",
     "bucketed": f"""SELECT file_id, camera_model, lens_model, {_FOCAL} AS focal_bucket, CAST(round(log2(aperture) * 3) AS INT) AS aperture_index FROM exif""",
     "samples": """SELECT b.*, s_subject AS s FROM bucketed b JOIN sharpness USING (file_id)

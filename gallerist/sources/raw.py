@@ -184,17 +184,19 @@ def read_headers(source: Ranges) -> dict:
 
 
 def embedded_previews(files: DataFrame) -> DataFrame:
-    """(path, preview, bytes_read, error) of rows of (path): the JPEG inside a file on a file system that all executors share."""
+    """(path, preview, bytes_read, error) of rows of (path, content), or of (path) for files on a file system that all executors share: the JPEG inside."""
+    by_path = "content" not in files.columns
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for path in batch["path"].to_pylist():
+            contents = [None] * batch.num_rows if by_path else batch["content"]
+            for path, content in zip(batch["path"].to_pylist(), contents, strict=True):
                 data = error = None
                 taken = 0
                 try:
-                    with Ranges(path) as source:
+                    with Ranges(path if by_path else content.as_py() or b"") as source:
                         found = read_headers(source)
                         data = source.read(found["preview_at"], found["preview_bytes"]) if "preview_at" in found else None
                         taken = source.taken
@@ -202,4 +204,4 @@ def embedded_previews(files: DataFrame) -> DataFrame:
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary()), pa.array([taken]), pa.array([error], pa.string())], names=["path", "preview", "bytes_read", "error"])
 
-    return files.select("path").mapInArrow(run, "path string, preview binary, bytes_read long, error string")
+    return files.select("path", *([] if by_path else ["content"])).mapInArrow(run, "path string, preview binary, bytes_read long, error string")

@@ -224,6 +224,26 @@ def test_one_name_a_million_times(spark):
     assert len(parts) > 1 and max(p["count"] for p in parts) < 0.7 * n
 
 
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_percentiles_by_aggregate_and_in_one_order(spark, groups):
+    from gallerist.operators import aggregates
+
+    r = np.random.default_rng(4)
+    data = [(None if g == 3 else f"g{g}", None if i % 17 == 0 else float(round(x, 1))) for i, (g, x) in enumerate(zip(r.integers(0, 5, 400), r.normal(size=400), strict=True))] + [("lone", 5.0), ("empty", None)]
+    df = spark.createDataFrame(data, "g string, x double")
+    wanted = {"low": 0.0, "p10": 0.1, "mid": 0.5, "p90": 0.9, "high": 1.0}
+    want = []
+    for g in {d[0] for d in data} if groups else {""}:
+        own = [x for k, x in data if x is not None and (not groups or k == g)]
+        if own:
+            want.append((*([g] if groups else []), *np.percentile(own, [0, 10, 50, 90, 100]).round(9).tolist(), len(own)))
+    plain = lambda found: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in found.collect()), key=str)
+    for few in (0, 10**6):
+        assert plain(aggregates.percentiles(df, groups, "x", wanted, few=few)) == sorted(want, key=str)
+    counts = aggregates.value_counts(df, ["g"], "x")
+    assert plain(aggregates.percentiles(None, groups, "x", wanted, counts)) == sorted(want, key=str)
+
+
 def test_filtered(spark):
     df = spark.createDataFrame([(1, "blur", None, None, False), (2, "", "keep", 4, True), (3, "blur,low_iqa", "reject", None, False)], "file_id long, flags string, verdict string, group_id long, is_keeper boolean")
     ids = lambda *a, **k: [r[0] for r in rows(review.filtered(df, *a, **k), "file_id")]
