@@ -37,7 +37,7 @@ from .shingles import lowered, word_hashes
 
 ORDER = 6
 MAX_GRAMS, MAX_WORDS = 1 << 20, 1 << 19  # of those looked up in place
-HELD = 2_500_000  # counts that a task holds of each kind before it hands them on
+HELD, HANDED = 2_500_000, 65_536  # counts that a task holds of each kind before it hands them on, and hands on at a time
 LEAN = 16  # occurrences that method D counts for in a class of contexts
 MARK = 0xFF
 _END_WORD = -(1 << 62) + 1  # stands for the end among the hashes of words
@@ -80,10 +80,11 @@ def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        def rows(kind: int, learnt: bool, found):
-            key, n = found
-            columns = (np.full(len(key), kind, np.int32), key.view(np.int64), n if learnt else np.zeros(len(key), np.int64), n)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "places"])
+        def rows(kind: int, learnt: bool, found) -> Iterator:
+            for s in range(0, len(found[0]), HANDED):
+                key, n = (x[s : s + HANDED] for x in found)
+                columns = (np.full(len(key), kind, np.int32), key.view(np.int64), n if learnt else np.zeros(len(key), np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "places"])
 
         # (kind, learnt): counts so far, in order of key, and those not yet put among them
         held: dict[tuple[int, bool], list] = {}
@@ -94,7 +95,7 @@ def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
             if sum(len(k) for k, _ in parts[1:]) > HELD // 4:
                 parts[:] = [_tally(parts)]
                 if len(parts[0][0]) > HELD:
-                    yield rows(kind, learnt, parts.pop())
+                    yield from rows(kind, learnt, parts.pop())
 
         for batch in batches:
             out = batch.column("held_out").to_numpy(zero_copy_only=False)
@@ -113,9 +114,10 @@ def gather(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame
                     if learnt:
                         yield from put(_WORD, True, np.unique(word_hashes(b"\n".join(texts[s:e]))[0], return_counts=True))
                     s = e
-        for (kind, learnt), parts in held.items():
+        for kind, learnt in list(held):
+            parts = held.pop((kind, learnt))
             if parts:
-                yield rows(kind, learnt, _tally(parts))
+                yield from rows(kind, learnt, parts[0] if len(parts) == 1 else _tally(parts))
 
     found = docs.select("held_out", F.col(text).alias("text")).mapInArrow(run, "kind int, key long, n long, places long")
     # what a task has counted is dealt as it is: a second count of it before the shuffle would hold much and merge nothing
