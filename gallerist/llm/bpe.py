@@ -9,7 +9,9 @@ Two drivers share the queue. encode_many() lays many short pre-tokens side by si
 at once with numpy: in each pre-token only the leftmost position of the bucket is merged at a time, so every pre-token
 sees the order of merges that it would see alone. encode_long() runs one very long pre-token, n log n in its length.
 
-Null and empty texts have no tokens. Repeated texts give equal rows; an empty table gives an empty result.
+Null and empty texts have no tokens. Repeated texts give equal rows, whatever their ids; a row without id has a null id in
+the result; an empty table gives an empty result. Of pairs of one rank the leftmost is merged first. Only the id and the
+text are read, so other columns may have any names. A text is encoded whole: its pre-tokens and ids are in memory at once.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 Reading gives one row per page (image directory). A null or malformed file gives one row with page null and error set;
 pages before the defect are kept. Directories that point back to one already read end the walk with an error. A page
-larger than max_page_bytes is reported, not decoded, so that memory stays bounded. Equal files give equal rows.
+larger than max_page_bytes is reported, not decoded, so that memory stays bounded. Equal files give equal rows, also under
+one id or none. Empty tables give empty results, and columns other than those named are left alone.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ pieces at a pre-token's last node is its count. Nodes of one depth are computed
 bytes of all nodes are looked up by a rolling hash. Of equally good segmentations the one whose last piece is longest
 counts. A pre-token of more than LONG bytes is segmented alone, in time linear in its length.
 
-Null and empty texts have no tokens; repeated texts give equal rows; an empty table gives an empty result.
+Null and empty texts have no tokens; repeated texts give equal rows, whatever their ids; a row without id has a null id in
+the result; an empty table gives an empty result. Only the id and the text are read, so other columns may have any names.
+A text is worked on whole, its pre-tokens in memory at once.
 """
 
 from __future__ import annotations

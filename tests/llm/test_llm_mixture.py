@@ -286,3 +286,19 @@ def test_quotas_of_shards_from_two_numbers():
                 k, more, last = mixing.shard_quotas(n_blocks, seats, per_shard)
                 got = [k + (i < more) if n == per_shard else last for i, n in enumerate(shards)]
                 assert got == quotients(shards, [3 * n for n in shards], seats), (n_blocks, per_shard, seats)
+
+
+# --- rows without an id, or with one twice ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op7_token_counts", "op8_byte_bpe", "op9_certified_packing"])
+def test_rows_without_an_id_or_with_one_twice(spark, tmp_path, name):
+    pytest.importorskip("public_tokenizers")
+    rows = [(1, "some words here", "s"), (1, "some words here", "s"), (1, "other words", "s"), (None, "some words here", "s"), (None, None, None), (2, "", "s")]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    same = [r for r in got if r["doc_id"] in (1, None)]
+    key = "length" if "op9" in name else "n_tokens"
+    counts = Counter(r[key] for r in same)
+    assert counts[min(r[key] for r in same)] == 1 and max(counts.values()) == 3  # the text that three rows share
