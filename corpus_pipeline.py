@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
 columns of documents. A document goes if the quality rules reject it, if line dedup or passage removal leaves nothing of
 it, or if it is a near copy of one with a smaller id; n_chars follows the text that is left.
+
+Null and empty texts fail the quality rules, so they go with the first stage. Rows that repeat an id and a text are one
+document to the stages that compare documents and stay together or go together; ids must name one text each. A row without
+id passes the stages that compare documents as it is. Nulls in other columns and columns of further names pass through all
+stages but the last. An empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
