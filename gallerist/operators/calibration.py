@@ -50,12 +50,13 @@ def reflag(sharpness: DataFrame, exif: DataFrame, iqa: DataFrame, baselines: Dat
     behind = soft & (s > 0) & (F.coalesce("bg", s) > 2 * s)
     poor = F.coalesce(score < q10, F.lit(False))
     both = soft & ~behind & poor
+    told = lambda c: F.round(c, 6)  # noqa: E731  noise far behind the digits shown doesn't tell which way a half goes
     # fixed values: the wording of reasons
-    subject = F.format_string("subject %.1f < p10 %.1f", s, p10)
+    subject = F.format_string("subject %.1f < p10 %.1f", told(s), told(p10))
     why = {
-        "back_focus": F.concat(subject, F.format_string(", background %.1fx sharper", F.coalesce("bg", s) / s)),
+        "back_focus": F.concat(subject, F.format_string(", background %.1fx sharper", told(F.coalesce("bg", s) / s))),
         "blur": F.when(both, F.concat(subject, F.lit(" (confirmed by low IQA)"))).otherwise(subject),
-        "low_iqa": F.format_string("iqa %.2f < global p10 %.2f", score, q10),
+        "low_iqa": F.format_string("iqa %.2f < global p10 %.2f", told(score), told(q10)),
     }
     flag = lambda name, test, conf, bumped: F.when(test, F.struct(F.lit(name).alias("flag_type"), conf.alias("confidence"), bumped.alias("bumped"), why[name].alias("reason")))
     flags = F.array_compact(

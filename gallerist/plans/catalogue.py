@@ -326,14 +326,14 @@ def exposure_reasons(cat):
     return calibration.exposure_flags(cat["exposure"]).select("file_id", "flag_type", "reason")
 
 
-@query("""SELECT file_id, flag_type, CASE flag_type WHEN 'low_iqa' THEN printf('iqa %.2f < global p10 %.2f', round(score, 2), round(q10, 2))
-ELSE printf('subject %.1f < p10 %.1f', round(s, 1), round(p10, 1)) || CASE WHEN flag_type = 'back_focus' THEN printf(', background %.1fx sharper', round(coalesce(bg, s) / s, 1)) WHEN bumped THEN ' (confirmed by low IQA)' ELSE '' END END AS reason
+@query("""SELECT file_id, flag_type, CASE flag_type WHEN 'low_iqa' THEN printf('iqa %.2f < global p10 %.2f', round(round(score, 6), 2), round(round(q10, 6), 2))
+ELSE printf('subject %.1f < p10 %.1f', round(round(s, 6), 1), round(round(p10, 6), 1)) || CASE WHEN flag_type = 'back_focus' THEN printf(', background %.1fx sharper', round(round(coalesce(bg, s) / s, 6), 1)) WHEN bumped THEN ' (confirmed by low IQA)' ELSE '' END END AS reason
 FROM soft_flags JOIN judged USING (file_id)""")
 def reflag_reasons(cat):
     return calibration.reflag(cat["sharpness"], cat["exif"], cat["iqa"], cat["sharpness_baseline"], MIN_SAMPLES).select("file_id", "flag_type", "reason")
 
 
-@query("SELECT file_id, round(CASE WHEN s IS NULL OR span_p10 IS NULL OR span_p90 - span_p10 <= 1.1920929e-07 THEN 0.5 ELSE greatest(0.0, least(1.0, (s - span_p10) / (span_p90 - span_p10))) END, 6) AS s_relative FROM ranged")
+@query("SELECT file_id, round(CASE WHEN s IS NULL OR span_p10 IS NULL OR span_p90 - span_p10 <= 1.1920929e-07 THEN 0.5 ELSE greatest(0.0, least(1.0, (s - span_p10) / (span_p90 - span_p10))) END, 6) AS s_relative FROM ranged WHERE file_id IN (SELECT id FROM files)")
 def relative_sharpness(cat):
     rows = develop.develop_inputs(cat, MIN_SAMPLES).join(cat["sharpness"].select("file_id"), "file_id", "left_semi")
     return _rounded(rows.select("file_id", "s_relative"), "s_relative")
