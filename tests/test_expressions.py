@@ -78,7 +78,7 @@ def test_decide_and_profile(spark):
     assert r["shadow_lift"] == pytest.approx(0.35) and r["denoise_chroma"] == pytest.approx(0.36) and r["sharpen_amount"] == pytest.approx(0.5)
     recipe = F.struct(*[F.lit(v).alias(n) for n, v in zip(X.RECIPE, (0.75, 0.8, 0.4, 0.3, 0.36, 0.5), strict=True)], F.lit(True).alias("lens_correct"))
     text = one(spark, profile_text(recipe, "t"))
-    assert text.startswith("# Generated by t.") and len(text.splitlines()) == 38
+    assert text.startswith("# One photo's settings, made by t ") and len(text.splitlines()) == 38
     for line in ("Compensation=0.750", "Method=Coloropp", "Shadows=40", "Luma=30", "Chroma=36", "Contrast=50", "LcMode=lfauto"):
         assert line in text.splitlines()
     off = F.struct(*[F.lit(0.0).alias(n) for n in X.RECIPE], F.lit(False).alias("lens_correct"))
