@@ -7,7 +7,7 @@ block, leave it. The work grows with the square of the number of vectors; some 5
 exact=False puts vectors into cells by the sides of random hyperplanes through their mean on which they lie, in TABLES
 independent ways, with as many planes as bring a cell to some CELL vectors. Every vector is in the index, and looks in its own
 cell and in those across its FLIPS nearest planes. Similarities are computed on the whole vectors, so a pair that is found is
-right; a pair may be missed, the rarer the more alike it is (the README has what was measured). A cell with more than a
+right; a pair may be missed, the rarer the more alike it is (the README has what is known of it). A cell with more than a
 block of vectors is split into blocks, and whoever looks into it is sent to each. Only the mean, one number a dimension,
 reaches the driver.
 """
