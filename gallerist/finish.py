@@ -63,27 +63,28 @@ def plan(cat: Catalog | Transaction, root: str, renderer: str, look: tuple[str,
     Statistics are those of a file's content if its edit or its row of develop_work names that content. outputs: (output_path,
     there), the sizes of files that are there; without it recorded outputs are taken as there.
     """
-    kept = review.keeper_files(cat).where(X.is_raw(F.col("file_format")))
+    kept = written(review.keeper_files(cat).where(X.is_raw(F.col("file_format"))), "kept")
     dest = output.finished_paths(kept, by_month, extension).select("file_id", F.concat(F.lit(root.rstrip("/") + "/"), "rel_path").alias("output_path"))
     edits = cat["edits"].select("file_id", *[F.col(c).alias(f"had_{c}") for c in (*develop.IDENTITY, "output_path", "output_size_bytes")])
     work = cat["develop_work"].select("file_id", F.col("content_hash").alias("measured_hash"))
     stats = cat["raw_stats"].select("file_id", F.struct(*STATS).alias("stats"))
     inputs = develop.develop_inputs(cat, min_samples)
-    rows = kept.join(dest, "file_id")
+    # merge joins throughout: these tables grow with the library, and their files are far smaller than a broadcast of them
+    rows = kept.join(dest.hint("merge"), "file_id")
     for other in (edits, work, stats, inputs):
-        rows = rows.join(other, "file_id", "left")
+        rows = rows.join(other.hint("merge"), "file_id", "left")
     known = F.col("had_content_hash").eqNullSafe(F.col("content_hash")) | F.col("measured_hash").eqNullSafe(F.col("content_hash"))
     rows = rows.withColumn("stats", F.when(known, F.col("stats")))
     there = F.lit(True)
     if outputs is not None:
-        rows = rows.join(outputs.select(F.col("output_path").alias("had_output_path"), "there"), "had_output_path", "left")
+        rows = rows.join(outputs.select(F.col("output_path").alias("had_output_path"), "there").hint("merge"), "had_output_path", "left")
         there = F.col("there").isNotNull() & F.coalesce(F.col("there") == F.col("had_output_size_bytes"), F.lit(True))
     here = F.col("had_output_path").eqNullSafe(F.col("output_path")) & there
     model, version = look or (None, None)
     for c, value in {"content_hash": F.col("content_hash"), "decider_version": F.lit(develop.DECIDER), "renderer": F.lit(renderer), "look_model": F.lit(model).cast("string"), "look_version": F.lit(version).cast("string")}.items():
         here = here & F.col(f"had_{c}").eqNullSafe(value)
     columns = ["file_id", "path", "content_hash", "output_path", "stats", "iso", "lens_model", "s_relative", "had_recipe_hash"]
-    return decided(rows.select(*columns, here.alias("here")))
+    return decided(written(rows.select(*columns, here.alias("here")), "planned"))  # cut, as recipes on top of all the joins make a plan of hundreds of MB
 
 
 def decided(rows: DataFrame) -> DataFrame:
@@ -188,7 +189,7 @@ def claim(catalog: Catalog, rows: DataFrame, run: str, since: int, lease: int =
                 work = tx["develop_work"].select("file_id", F.col("run").alias("by"), "state", "at", F.col("content_hash").alias("measured_now"))
                 held = (F.col("state") == "claimed") & (F.col("by") != run) & (F.col("at") > now - lease)
                 over = F.col("state").isin("done", "error") & ((F.col("by") == run) | ((F.col("state") == "done") & (F.col("at") >= since)))
-                mine = rows.join(work, "file_id", "left").where(~F.coalesce(held | over, F.lit(False)))
+                mine = rows.join(work.hint("merge"), "file_id", "left").where(~F.coalesce(held | over, F.lit(False)))
                 mine = written(mine.drop("by", "state", "at"), "claimed")
                 made = mine.select("file_id", F.col("measured_now").alias("content_hash"), F.lit(run).alias("run"), F.lit("claimed").alias("state"), F.lit(now).cast("long").alias("at"))
                 tx.upsert("develop_work", made)
@@ -199,13 +200,14 @@ def claim(catalog: Catalog, rows: DataFrame, run: str, since: int, lease: int =
 
 def work_on(catalog: Catalog, rows: DataFrame, run: str, decoder: models.RawDecoder, renderer: models.Renderer, look: models.LookPredictor | None, scorer: models.Scorer | None, cfg: DevelopConfig, luts: str | None, encode) -> tuple[int, int, int]:
     """(rendered, current after all, failed) of claimed rows: measured, rendered and committed."""
-    fresh = written(measured(rows.where("stats IS NULL"), decoder), "measured")
-    both = rows.drop("recipe", "recipe_hash", "current").join(fresh.select("file_id", F.struct(*STATS).alias("new"), "measure_error"), "file_id", "left")
+    spread = rows.sparkSession.sparkContext.defaultParallelism  # a chunk is a small file, but much work
+    fresh = written(measured(rows.where("stats IS NULL").repartition(spread), decoder), "measured")
+    both = rows.drop("recipe", "recipe_hash", "current").join(fresh.select("file_id", F.struct(*STATS).alias("new"), "measure_error").hint("merge"), "file_id", "left")
     kind = rows.schema["stats"].dataType
     both = both.withColumn("stats", F.coalesce("stats", F.when(F.col("measure_error").isNull(), F.col("new").cast(kind)))).drop("new")
     both = written(decided(both).withColumn("profile", profile_text(F.col("recipe"))), "decided")
-    made = written(rendered(both.where("stats IS NOT NULL AND NOT current"), renderer, look, scorer, cfg.look.guard_margin, luts, encode), "rendered")
-    done = both.join(made, "file_id", "left")
+    made = written(rendered(both.where("stats IS NOT NULL AND NOT current").repartition(spread), renderer, look, scorer, cfg.look.guard_margin, luts, encode), "rendered")
+    done = both.join(made.hint("merge"), "file_id", "left")
     model, version = (look.name, look.version) if look else (None, None)
     now = int(time.time())
     recipe = [F.col("recipe")[c].alias(c) for c in (*X.RECIPE, "lens_correct")]

@@ -17,8 +17,8 @@ IDENTITY = ("content_hash", "recipe_hash", "decider_version", "renderer", "look_
 
 def develop_inputs(cat: Catalogue, min_samples: int) -> DataFrame:
     """(file_id, iso, lens_model, s_relative) of every file: sharpness as its place in its bucket's range, else in all files'."""
-    rows = cat["files"].select(F.col("id").alias("file_id")).join(bucketed(cat["exif"]), "file_id", "left")
-    rows = rows.join(cat["exif"].select("file_id", "iso"), "file_id", "left").join(cat["sharpness"].select("file_id", F.col("s_subject").cast("double").alias("s")), "file_id", "left")
+    rows = cat["files"].select(F.col("id").alias("file_id")).join(bucketed(cat["exif"]).hint("merge"), "file_id", "left")
+    rows = rows.join(cat["exif"].select("file_id", "iso").hint("merge"), "file_id", "left").join(cat["sharpness"].select("file_id", F.col("s_subject").cast("double").alias("s")).hint("merge"), "file_id", "left")
     rows = with_baseline(rows, cat["sharpness_baseline"], min_samples)
     # without a whole key there is no bucket, but the range of all files still holds
     relative = F.when(F.col("s").isNull() | F.col("span_p10").isNull(), F.lit(X.NEUTRAL_SHARPNESS)).otherwise(X.relative_sharpness(F.col("s"), F.col("span_p10"), F.col("span_p90")))

@@ -92,7 +92,7 @@ def unique_names(plan: DataFrame) -> DataFrame:
     named = bases.select("rel_dir", "base", "arrives", parent.alias("parent"), k.alias("k")).where("parent IS NOT NULL")
     children = written(named.join(bases.select("rel_dir", F.col("base").alias("parent"), F.col("first").alias("parent_first")), ["rel_dir", "parent"]), "numbered")
     at = F.col("place") - F.col("first")  # how many files of the name come before
-    files = placed.join(bases.select("rel_dir", "base", "first"), ["rel_dir", "base"])
+    files = placed.join(bases.select("rel_dir", "base", "first").hint("merge"), ["rel_dir", "base"])
     if children.limit(1).count():
         asked = children.select("rel_dir", F.col("parent").alias("base"), F.col("arrives").alias("original"), F.col("base").alias("child"), F.lit(0).alias("n"))
         among = written(placed.select("rel_dir", "base", "original", F.lit(None).cast("string").alias("child"), F.lit(1).alias("n")).unionByName(asked), "arrivals")
@@ -132,7 +132,7 @@ def copy_estimate(needed: DataFrame) -> DataFrame:
 
 def stale_copies(expected: DataFrame, listing: DataFrame) -> DataFrame:
     """Paths that are there and not expected; both with rel_path."""
-    return listing.select("rel_path").distinct().join(expected.select("rel_path"), "rel_path", "left_anti")
+    return listing.select("rel_path").distinct().join(expected.select("rel_path").hint("merge"), "rel_path", "left_anti")
 
 
 def finished_paths(kept: DataFrame, by_month: bool = True, extension: str = ".jpg") -> DataFrame:
@@ -142,5 +142,5 @@ def finished_paths(kept: DataFrame, by_month: bool = True, extension: str = ".jp
     # the source's path keeps equal stems apart as originals
     plan = kept.select(folder.alias("rel_dir"), F.concat_ws("/", "path", base).alias("target"), "path", "file_id")
     named = unique_names(plan.select("rel_dir", F.col("target").alias("original")))
-    out = plan.join(named.withColumnRenamed("original", "target"), ["rel_dir", "target"])
+    out = plan.join(named.withColumnRenamed("original", "target").hint("merge"), ["rel_dir", "target"])
     return out.select("file_id", F.when(F.col("rel_dir") == "", F.col("name")).otherwise(F.concat_ws("/", "rel_dir", "name")).alias("rel_path"))

@@ -144,7 +144,8 @@ def keeper_files(cat: Catalogue) -> DataFrame:
     """(file_id, path, content_hash, file_format, year_month) of kept files."""
     kept = cat["decisions"].where("verdict = 'keep'").select("file_id")
     files = cat["files"].select(F.col("id").alias("file_id"), "path", "content_hash", "file_format", "size_bytes")
-    rows = kept.join(files, "file_id").join(cat["exif"].select("file_id", "captured_at"), "file_id", "left")
+    # merge joins: decisions are files of a few MB for millions of rows, which a broadcast would put into the driver
+    rows = kept.join(files.hint("merge"), "file_id").join(cat["exif"].select("file_id", "captured_at").hint("merge"), "file_id", "left")
     return rows.select("file_id", "path", "content_hash", "file_format", "size_bytes", X.year_month(F.col("captured_at")).alias("year_month"))
 
 

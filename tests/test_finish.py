@@ -140,6 +140,15 @@ def test_looks_and_the_guard(spark, made):
     assert F_.finish(store, out, Decoder(), Renderer()).rendered == 10  # without the look all are made anew
 
 
+def test_a_plan_is_cut_below_its_recipes_and_rendering_is_spread(spark, made, monkeypatch):
+    store, out, Decoder, Renderer, *_ = made
+    assert "Join" not in F_.plan(store, out, "render-1", None, 30)._jdf.queryExecution().optimizedPlan().toString()
+    parts, rendered = [], F_.rendered
+    monkeypatch.setattr(F_, "rendered", lambda rows, *a: (parts.append(rows.rdd.getNumPartitions()), rendered(rows, *a))[1])
+    F_.finish(store, out, Decoder(), Renderer())
+    assert parts == [spark.sparkContext.defaultParallelism]
+
+
 def test_a_folder_of_others_is_refused(spark, made, tmp_path):
     store, _, Decoder, Renderer, *_ = made
     (tmp_path / "photos").mkdir()
