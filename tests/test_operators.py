@@ -37,6 +37,15 @@ def test_interval_pairs_in_blocks_of_time(spark, block, window):
     assert got.columns == ["a_id", "b_id", "a_name", "b_name", "apart"] and rows(got, *got.columns) == want
 
 
+def test_blocks_grow_with_what_a_window_reaches(spark, monkeypatch):
+    """Blocks of four under a window of hundreds of rows would send each row to a hundred of them."""
+    sent, dealt = [], joins.blocks_in_time
+    monkeypatch.setattr(joins, "blocks_in_time", lambda *a: (sent.append(dealt(*a)), sent[-1])[1])
+    df = spark.range(2000).select("id", F.floor(F.col("id") / 2).alias("t"))
+    assert joins.interval_pairs(df, "id", "t", 200, block=4).count() == sum(1 for a in range(2000) for b in range(a + 1, min(2000, a + 402)) if b // 2 - a // 2 <= 200)
+    assert sent[0].count() <= 6 * 2000
+
+
 def test_an_instant_shared_by_many_rows_is_spread(spark):
     n, block = 200_000, 2048
     df = spark.range(n).select("id", F.lit(7).cast("long").alias("t")).union(spark.range(n, n + 50_000).select("id", F.col("id") * 1000))
@@ -79,6 +88,30 @@ def test_vectors_against_numpy(spark, block):
         assert [got[i][k] for k in range(1, 5)] == order
 
 
+def test_pairs_of_blocks_get_each_vector_a_bounded_number_of_times(spark):
+    n = 60_000
+    df = spark.range(n).select("id", F.array(F.cos("id"), F.sin("id")).alias("vector"))
+    dealt = vectors._block_pairs(df, 2048)
+    assert dealt.count() <= vectors.GRID * n  # in blocks of 2048 each was sent to 30 pairs
+    assert dealt.groupBy("i", "j").count().agg(F.max("count")).first()[0] <= 2 * vectors.HELD // 16
+
+
+def test_copies_among_neighbours_are_told_by_id(spark):
+    """Equal vectors have one similarity to any other, however they are dealt, so of more copies than k the smallest ids count."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(3000, 64))
+    m[np.arange(0, 3000, 3)] = m[:10][rng.integers(0, 10, 1000)]
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "id long, vector array<double>")
+    s = sum(m[:, None, c] * m[None, :, c] for c in range(64))
+    np.fill_diagonal(s, -2)
+    for block in (100, 4096):
+        got = rows(vectors.knn(df, 3, block), "id", "rank", "neighbour")
+        assert got == [(i, k + 1, int(j)) for i in range(3000) for k, j in enumerate(np.lexsort((np.arange(3000), -s[i]))[:3])]
+    near = rows(vectors.knn(df, 3, 100, least=0.9), "id", "neighbour")
+    assert near == sorted((i, j) for i, _, j in got if s[i, j] >= 0.9)
+
+
 def test_hyperplane_cells_against_all_pairs(spark):
     """Near copies among 6000 vectors: found as all pairs find them, 9 in 10 of them at least, a cell over a block included."""
     rng = np.random.default_rng(3)
