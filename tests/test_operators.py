@@ -37,6 +37,15 @@ def test_interval_pairs_in_blocks_of_time(spark, block, window):
     assert got.columns == ["a_id", "b_id", "a_name", "b_name", "apart"] and rows(got, *got.columns) == want
 
 
+def test_pairs_in_time_are_joined_once_and_not_by_broadcast(spark):
+    """Files of a few MB are many millions of rows of a broadcast."""
+    df = spark.range(1000).select("id", F.floor(F.col("id") / 2).alias("t"))
+    for block in (4, 2048):
+        plan = joins.interval_pairs(df, "id", "t", 5, block=block)._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("SortMergeJoin [" + ("i" if block == 4 else "__bucket")) == 1 and "Exchange hashpartitioning(__bucket" in plan.replace("i#", "__bucket#")
+    assert "Broadcast" not in plan
+
+
 def test_blocks_grow_with_what_a_window_reaches(spark, monkeypatch):
     """Blocks of four under a window of hundreds of rows would send each row to a hundred of them."""
     sent, dealt = [], joins.blocks_in_time
