@@ -1,8 +1,11 @@
 """Cosine similarity joins and nearest neighbours over unit vectors.
 
-All pairs are compared unless the caller asks for an approximation: vectors are dealt into blocks of bounded size, each two
-blocks are one piece of work, a matrix product in one task, and only pairs that pass a threshold, or a row's best k of a
-block, leave it. The work grows with the square of the number of vectors; some 50,000 are its practical ceiling on one node.
+All pairs are compared unless the caller asks for an approximation: vectors are dealt into blocks, each two blocks are one
+piece of work in one task, done by matrix products of a bounded size, and only pairs that pass a threshold, or a row's best k
+of a block, leave it. There are GRID blocks for as long as one is no more than HELD bytes, so up to GRID * HELD bytes of vectors
+(some 400,000 of 64 components) what is shuffled grows with the table; the comparisons grow with its square, as all pairs must.
+Products in single precision only rule pairs out, by a margin above their error; what they leave is computed in double, one
+component after the other, so a similarity doesn't depend on how the vectors were dealt, and those of equal vectors are equal.
 
 exact=False puts vectors into cells by the sides of random hyperplanes through their mean on which they lie, in TABLES
 independent ways, with as many planes as bring a cell to some CELL vectors. Every vector is in the index, and looks in its own
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 from .joins import blocks_in_time
 
 BLOCK = 2048
+GRID, HELD = 12, 16 << 20
+#: Rows and columns of a matrix product; pairs whose similarity is computed at once.
+ROWS, COLUMNS, PAIRS = 1024, 8192, 1 << 16
 TABLES, FLIPS, CELL = 3, 4, 512
 SEED = 17
 
@@ -41,42 +47,104 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _block_pairs(df: DataFrame, block: int, n: int) -> DataFrame:
-    """n rows of (id, vector) dealt to pairs of blocks: (i, j, own, id, vector), i <= j."""
-    blocks = max(1, -(-n // block))
+def _block_pairs(df: DataFrame, block: int) -> DataFrame:
+    """Rows of (id, vector) dealt to pairs of blocks: (i, j, own, id, vector), i <= j. block: the least rows of a block."""
+    df = df.where(F.col("vector").isNotNull())
+    n, dims = df.agg(F.count("*"), F.max(F.size("vector"))).first()
+    most = HELD // (8 * max(1, dims or 0))
+    blocks = max(1, -(-n // max(block, min(-(-n // GRID), most))))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     rows = df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "vector")
-    return rows.repartition(min(blocks * (blocks + 1) // 2, 20_000), "i", "j").sortWithinPartitions("i", "j")
+    # more partitions than pairs, so that few get several pairs
+    return rows.repartition(min(3 * blocks * (blocks + 1) // 2, 20_000), "i", "j").sortWithinPartitions("i", "j")
 
 
 def _work(batches, emit) -> Iterator:
+    """emit(table) for the rows of each pair of blocks."""
     import pyarrow as pa
 
-    held = None
+    key, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
-        if held is not None:
-            t = pa.concat_tables([held, t]).combine_chunks()
-        mark = t["i"].to_numpy().astype(np.int64) << 32 | t["j"].to_numpy()
-        cuts = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1).tolist(), t.num_rows]
-        for s, e in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield from emit(t.slice(s, e - s))
-        held = t.slice(cuts[-2])
-    if held is not None:
-        yield from emit(held)
+        mark = batch["i"].to_numpy().astype(np.int64) << 32 | batch["j"].to_numpy()
+        cuts = [0, *(np.flatnonzero(mark[1:] != mark[:-1]) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and key != mark[s]:
+                yield from emit(pa.Table.from_batches(held))
+                held = []
+            key = mark[s]
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield from emit(pa.Table.from_batches(held))
+
+
+def _matrix(vectors) -> np.ndarray:
+    """An Arrow column of lists of equal length as rows of doubles."""
+    parts = vectors.chunks if hasattr(vectors, "chunks") else [vectors]
+    flat = np.concatenate([np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in parts])
+    return flat.reshape(len(vectors), len(flat) // max(1, len(vectors)))
 
 
 def _sides(t):
     i, j = t["i"][0].as_py(), t["j"][0].as_py()
     own, ids = t["own"].to_numpy(), t["id"].to_numpy()
-    m = np.array(t["vector"].to_pylist(), np.float64)
+    m = _matrix(t["vector"])
     left, right = own == i, own == j
     return i == j, ids[left], m[left], ids[right], m[right]
 
 
+def _margin(x: np.ndarray, y: np.ndarray) -> float:
+    """More than a product in single precision can be off."""
+    longest = [np.sqrt(np.nan_to_num(np.einsum("nd,nd->n", m, m), posinf=0.0).max(initial=0.0)) for m in (x, y)]
+    return (x.shape[1] + 4) * 1.2e-7 * max(1.0, longest[0] * longest[1])
+
+
+def _similarities(x: np.ndarray, y: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Dot products of rows at of x and to of y, summed up in order of components."""
+    out = np.zeros(len(at))
+    for s in range(0, len(at), PAIRS):
+        left, right = x[at[s : s + PAIRS]], y[to[s : s + PAIRS]]
+        left *= right
+        for c in range(left.shape[1]):
+            out[s : s + PAIRS] += left[:, c]
+    return out
+
+
+def _passing(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(mask)
+    return np.divmod(at, mask.shape[1])
+
+
+def _top(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, k: int, least: float, others: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, neighbour, similarity) of the best k of b for each of a, of least or more; others: an id isn't its own neighbour."""
+    margin, x32, y32 = _margin(x, y), x.astype(np.float32), y.astype(np.float32)
+    for s in range(0, len(a), ROWS):
+        ids, u = a[s : s + ROWS], x[s : s + ROWS]
+        floor = np.full(len(ids), least)
+        row, place, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        r, wide = 0, ROWS
+        while r < len(b):
+            p = x32[s : s + ROWS] @ y32[r : r + wide].T
+            if others:
+                p[ids[:, None] == b[None, r : r + wide]] = -np.inf
+            if not r and p.shape[1] > k:  # what can't be among the best k of the first columns
+                floor = np.maximum(floor, np.partition(p, p.shape[1] - k, axis=1)[:, p.shape[1] - k] - margin)
+            at, to = _passing((p >= (floor - margin).astype(np.float32)[:, None]) & np.isfinite(p))
+            if len(at):
+                to = to + r
+                row, place, value = np.concatenate([row, at]), np.concatenate([place, to]), np.concatenate([value, _similarities(u, y, at, to)])
+                order = np.lexsort((b[place], -value, row))
+                row, place, value = row[order], place[order], value[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                keep = (rank < k) & (value >= least)
+                row, place, value, rank = row[keep], place[keep], value[keep], rank[keep]
+                floor[row[rank == k - 1]] = value[rank == k - 1]
+            r, wide = r + wide, min(2 * wide, COLUMNS)
+        yield ids[row], b[place], value
+
+
 def _mean(df: DataFrame) -> np.ndarray:
     """The mean vector: sums of each partition, then of these."""
 
@@ -86,7 +154,7 @@ def _mean(df: DataFrame) -> np.ndarray:
         total, n = 0.0, 0
         for batch in batches:
             if batch.num_rows:
-                total, n = total + np.array(batch["vector"].to_pylist(), np.float64).sum(axis=0), n + batch.num_rows
+                total, n = total + _matrix(batch["vector"]).sum(axis=0), n + batch.num_rows
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([n])], names=["total", "n"])
 
@@ -110,7 +178,7 @@ def _visits(df: DataFrame, n: int, block: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = ((np.array(batch["vector"].to_pylist(), np.float64) - mean) @ planes).reshape(-1, TABLES, bits)
+            y = ((_matrix(batch["vector"]) - mean) @ planes).reshape(-1, TABLES, bits)
             for table in range(TABLES):
                 side = y[:, table]
                 own = (side > 0) @ weight
@@ -151,7 +219,7 @@ def _look(batches, emit, step: int) -> Iterator:
         if not batch.num_rows:
             continue
         cell, part, home, ids = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "part", "home", "id"))
-        m = np.array(batch["vector"].to_pylist(), np.float64)
+        m = _matrix(batch["vector"])
         cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(ids)]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if (cell[s], part[s]) != key:
@@ -171,56 +239,54 @@ def cosine_pairs(df: DataFrame, threshold: float, block: int = BLOCK, exact: boo
     def alike(a, x, b, y, once):
         import pyarrow as pa
 
-        p = x @ y.T
-        at, to = np.nonzero(p >= threshold)
-        first, second, s = a[at], b[to], p[at, to]
-        keep = first < second if once else first != second
-        first, second, s = first[keep], second[keep], s[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second)), pa.array(s)], names=["a", "b", "similarity"])
+        margin, x32, y32 = _margin(x, y), x.astype(np.float32), y.astype(np.float32)
+        for s in range(0, len(a), ROWS):
+            for r in range(s // COLUMNS * COLUMNS if once else 0, len(b), COLUMNS):
+                at, to = _passing(x32[s : s + ROWS] @ y32[r : r + COLUMNS].T >= np.float32(threshold - margin))
+                at, to = at + s, to + r
+                keep = (a[at] != b[to]) & ((at < to) | (not once))
+                at, to = at[keep], to[keep]
+                similarity = _similarities(x, y, at, to)
+                keep = similarity >= threshold
+                first, second = a[at[keep]], b[to[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second)), pa.array(similarity[keep])], names=["a", "b", "similarity"])
 
     def emit(t):
         same, a, x, b, y = _sides(t)
         if len(a) and len(b):
             yield from alike(a, x, b, y, same)
 
-    form, n = "a long, b long, similarity double", df.count()
+    form = "a long, b long, similarity double"
     if exact:
-        return _block_pairs(df.select("id", "vector"), block, n).mapInArrow(lambda batches: _work(batches, emit), form)
-    found = _visits(df, n, block).mapInArrow(lambda batches: _look(batches, lambda a, x, b, y: alike(a, x, b, y, False), block), form)
+        return _block_pairs(df.select("id", "vector"), block).mapInArrow(lambda batches: _work(batches, emit), form)
+    found = _visits(df, df.count(), block).mapInArrow(lambda batches: _look(batches, lambda a, x, b, y: alike(a, x, b, y, False), block), form)
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def knn(df: DataFrame, k: int, block: int = BLOCK, exact: bool = True) -> DataFrame:
-    """(id, neighbour, similarity, rank) of each vector's k most similar others; of equals the smaller id comes first."""
+def knn(df: DataFrame, k: int, block: int = BLOCK, exact: bool = True, least: float = -np.inf) -> DataFrame:
+    """(id, neighbour, similarity, rank) of each vector's k most similar others; of equals the smaller id comes first.
 
-    def best(ids, other, p):
-        n = min(k + 16, p.shape[1])
-        cut = np.partition(p, p.shape[1] - n, axis=1)[:, p.shape[1] - n] if n < p.shape[1] else np.full(len(p), -np.inf)
-        at, to = np.nonzero((p >= cut[:, None]) & np.isfinite(p))
-        order = np.lexsort((other[to], -p[at, to], at))
-        at, to = at[order], to[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        at, to = at[place < k], to[place < k]
-        return ids[at], other[to], p[at, to]
+    least: neighbours less similar than that are left out.
+    """
 
-    def nearest(a, x, b, y, both):
+    def nearest(a, x, b, y, others):
         import pyarrow as pa
 
-        p = x @ y.T
-        p[a[:, None] == b[None, :]] = -np.inf
-        for ids, other, s in [best(a, b, p), best(b, a, p.T.copy())] if both else [best(a, b, p)]:
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other), pa.array(s)], names=["id", "neighbour", "similarity"])
+        for found in _top(a, x, b, y, k, least, others):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["id", "neighbour", "similarity"])
 
     def emit(t):
         same, a, x, b, y = _sides(t)
         if len(a) and len(b):
-            yield from nearest(a, x, b, y, not same)
+            yield from nearest(a, x, b, y, same)
+            if not same:
+                yield from nearest(b, y, a, x, False)
 
-    form, n = "id long, neighbour long, similarity double", df.count()
+    form = "id long, neighbour long, similarity double"
     if exact:
-        found = _block_pairs(df.select("id", "vector"), block, n).mapInArrow(lambda batches: _work(batches, emit), form)
+        found = _block_pairs(df.select("id", "vector"), block).mapInArrow(lambda batches: _work(batches, emit), form)
     else:
-        found = _visits(df, n, block).mapInArrow(lambda batches: _look(batches, lambda a, x, b, y: nearest(a, x, b, y, False), block), form)
+        found = _visits(df, df.count(), block).mapInArrow(lambda batches: _look(batches, lambda a, x, b, y: nearest(a, x, b, y, True), block), form)
         found = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -255,5 +321,5 @@ def close_pairs(vectors: DataFrame, times: DataFrame, window: int, within: float
 
 def similarity_edges(vectors: DataFrame, times: DataFrame, window: int, within: float, overall: float, k: int, exact: bool = True) -> DataFrame:
     """(a, b): pairs close in time and alike by within, and each vector's k nearest that are alike by overall."""
-    near = knn(vectors, k, exact=exact).where(F.col("similarity") >= overall)
+    near = knn(vectors, k, exact=exact, least=overall)
     return close_pairs(vectors, times, window, within).union(near.select(F.least("id", "neighbour"), F.greatest("id", "neighbour"))).distinct()
