@@ -6,6 +6,7 @@ from gallerist.functions import kernels, lut
 from gallerist.operators import calibration, decisions, duplicates, graph, joins, output, review, vectors
 from gallerist.operators.duplicates import DedupeConfig
 from gallerist.sources import config, exif, listing
+from gallerist.storage import shared_dir
 
 EXIF = "file_id long, captured_at long, camera_model string, lens_model string, focal_length_mm double, aperture double, iso int"
 
@@ -55,6 +56,17 @@ def test_blocks_grow_with_what_a_window_reaches(spark, monkeypatch):
     assert sent[0].count() <= 6 * 2000
 
 
+def test_blocks_in_time_leave_in_the_shared_folder_what_the_result_reads(spark):
+    def stored():
+        return {f.getPath().getName() for f in spark._jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)))}
+
+    before = stored()
+    df = spark.range(2000).select("id", F.floor(F.col("id") / 2).alias("t"))
+    pairs = joins.interval_pairs(df, "id", "t", 3, block=4)
+    assert sorted(x.split("-")[0] for x in stored() - before) == ["ordered", "pairs"]  # the input was there a second time, unordered
+    assert pairs.count() == sum(1 for a in range(2000) for b in range(a + 1, min(2000, a + 8)) if b // 2 - a // 2 <= 3)
+
+
 def test_an_instant_shared_by_many_rows_is_spread(spark):
     n, block = 200_000, 2048
     df = spark.range(n).select("id", F.lit(7).cast("long").alias("t")).union(spark.range(n, n + 50_000).select("id", F.col("id") * 1000))
