@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,17 @@ def test_blocks_in_time_leave_in_the_shared_folder_what_the_result_reads(spark):
     assert pairs.count() == sum(1 for a in range(2000) for b in range(a + 1, min(2000, a + 8)) if b // 2 - a // 2 <= 3)
 
 
+def test_full_buckets_leave_in_the_shared_folder_what_the_result_reads(spark, monkeypatch):
+    """As blocks of the usual size are cut where a bucket has more rows than one."""
+    kept, stored = [], joins.written
+    monkeypatch.setattr(joins, "written", lambda *a: (kept.append(stored(*a)), kept[-1])[1])
+    df = spark.range(3000).select("id", F.floor(F.col("id") / 2000).alias("t"))
+    assert joins.interval_pairs(df, "id", "t", 0).count() == 2000 * 1999 // 2 + 1000 * 999 // 2
+    assert joins.interval_pairs(df, "id", "t", 3).count() == 3000 * 2999 // 2
+    there = [os.path.exists(x._written_path.removeprefix("file://")) for x in kept]
+    assert there == [False, False, False, True]  # the input, the blocks' spans, their marks; pairs of blocks
+
+
 def test_an_instant_shared_by_many_rows_is_spread(spark):
     n, block = 200_000, 2048
     df = spark.range(n).select("id", F.lit(7).cast("long").alias("t")).union(spark.range(n, n + 50_000).select("id", F.col("id") * 1000))
